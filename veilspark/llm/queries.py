@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import langid, packing
+from veilspark.llm import langid, mixing, packing, quality_classifier
 from veilspark.llm.common import remainder
 
 
@@ -26,6 +26,11 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op6_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.pfair_mix(docs).drop("text")
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
     pieces = vocabulary("piece_bpe_32k.model")
@@ -33,7 +38,14 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, langs, p, pieces, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op8_language_id)}
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
+    labels = table(spark, folder, "labels").where(remainder("doc_id", 3) != 1)
+    w = quality_classifier.learn(docs, labels)
+    return quality_classifier.score(docs, w, ["doc_id", "held_out"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op6_pfair_mixing, op8_language_id, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
 
 
