@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import langid, mixing, ngram_join, packing, quality_classifier
+from veilspark.llm import langid, mixing, ngram_join, packing, quality_classifier, suffix_dedup
 from veilspark.llm.common import remainder
 
 
@@ -26,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("spans")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked(table(spark, folder, "documents"))
 
@@ -49,7 +53,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(docs, w, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_ngram_jaccard_join, op6_pfair_mixing, op8_language_id, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op6_pfair_mixing, op8_language_id, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
 
 
