@@ -270,11 +270,12 @@ def _merge(size: int):
                 if many:
                     for a, b, lo, n, _ in members:
                         put(a, b, lo, n)
-            if not open_ones or (len(group) == 1 and not group[0][1][0][4]):
+            hot = group[0][1][0][4]  # then other buckets hold contexts of this gram, too, and need these windows
+            if not hot and (not open_ones or len(group) == 1):
                 return
             prints = _windows([key[8:] for key, _, _ in group], size)
             g = int.from_bytes(group[0][0][:8], "big", signed=True)
-            if group[0][1][0][4]:  # hot: other buckets hold contexts of this gram, too
+            if hot:
                 for (_, members, many), f in zip(group, prints, strict=True):
                     a, b, lo, n, _ = members[0]
                     for i, x in enumerate(f.view(np.int64).tolist()):
