@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import langid, mixing, ngram_join, packing, quality_classifier, suffix_dedup
+from veilspark.llm import langid, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup
 from veilspark.llm.common import remainder
 
 
@@ -26,6 +26,12 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(docs, table(spark, folder, "labels"))
+    return quality_rules.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("spans")
 
@@ -34,6 +40,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked(table(spark, folder, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.digest(F.col("base")), 256).alias("base_sha256"), secret_scan.digest(F.col("spans")).alias("spans"))
+
+
 def op6_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.pfair_mix(docs).drop("text")
@@ -53,7 +65,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(docs, w, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_suffix_dedup, op4_ngram_jaccard_join, op6_pfair_mixing, op8_language_id, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_suffix_dedup, op4_ngram_jaccard_join, op5_secret_scan, op6_pfair_mixing, op8_language_id, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
 
 
