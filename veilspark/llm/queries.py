@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import langid, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup
+from veilspark.llm import embedding_dedup, langid, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup
 from veilspark.llm.common import remainder
 
 
@@ -51,6 +51,10 @@ def op6_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.pfair_mix(docs).drop("text")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
     pieces = vocabulary("piece_bpe_32k.model")
@@ -65,7 +69,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(docs, w, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_suffix_dedup, op4_ngram_jaccard_join, op5_secret_scan, op6_pfair_mixing, op8_language_id, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_suffix_dedup, op4_ngram_jaccard_join, op5_secret_scan, op6_pfair_mixing, op7_embedding_near_dedup, op8_language_id, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
 
 
