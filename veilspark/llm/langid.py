@@ -228,8 +228,8 @@ def learn(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str =
 def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, keep: list[str], text: str = "text", longest: int = 8) -> DataFrame:
     """The columns `keep` of docs, lang_pred and score: the language's share of the posterior, the log likelihood tempered by the
     root of the number of words, as words of one text are far from independent."""
-    frame = docs.select(*keep, F.col(text).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(p)
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias("_text")]))
+    shared, place = docs.sparkSession.sparkContext.broadcast(p), keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         pieces, p = Pieces.load(vocabulary, longest), shared.value
@@ -237,7 +237,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str,
         table = np.zeros((1024, p.shape[1]))
         for batch in batches:
             names, scores = [], []
-            column = batch.column(len(keep))
+            column = batch.column(place)
             _, offsets = flat(column)
             for i, j in slices(offsets):
                 texts = [LETTERS.findall(t.lower()) if langs and t is not None else [] for t in column[i:j].to_pylist()]
@@ -261,6 +261,15 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str,
                     scores.append(float(share.max() / share.sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in frame.select(*keep).dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes[: len(keep)])
     return frame.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
+
+def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """docs without those that have no letters or no language of score `least` or more; the labels of docs teach. Columns stay."""
+    langs, p = learn(docs, vocabulary, text, lang, doc_id)
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    found = identify(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), langs, p, vocabulary, list(names.values()), names[text])
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= least)
+    return found.where(sure).select(*[F.col(n).alias(c) for c, n in names.items()])
+

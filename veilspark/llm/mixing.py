@@ -115,3 +115,8 @@ def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, b
         F.expr("_p.base + ((_i + 1) * _p.period + _p.q - 1) div _p.q").cast("long").alias(f"{prefix}_deadline"),
         (slot * block + F.expr(f"_row % {block}") - F.expr("_p.missing")).cast("long").alias(f"{prefix}_position"),
     )
+
+
+def mixed_order(docs: DataFrame, **options) -> DataFrame:
+    """docs in the order of the schedule, with their own columns: a range shuffle on the position, so each output file is a stretch of the mix."""
+    return pfair_mix(docs, prefix="_mix", **options).orderBy("_mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])

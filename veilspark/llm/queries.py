@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import embedding_dedup, langid, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup
+from veilspark.llm import embedding_dedup, langid, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup
 from veilspark.llm.common import remainder
 
 
@@ -62,6 +62,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, langs, p, pieces, ["doc_id", "held_out"])
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
     labels = table(spark, folder, "labels").where(remainder("doc_id", 3) != 1)
@@ -69,7 +74,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(docs, w, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_suffix_dedup, op4_ngram_jaccard_join, op5_secret_scan, op6_pfair_mixing, op7_embedding_near_dedup, op8_language_id, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_suffix_dedup, op4_ngram_jaccard_join, op5_secret_scan, op6_pfair_mixing, op7_embedding_near_dedup, op8_language_id, op9_pii, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
 
 
