@@ -1,0 +1 @@
+"""Sensitive-data detection and sanitisation as DataFrame transformations."""
