@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilspark.functions import fixed
-from veilspark.functions.core import col, empty, strip
+from veilspark.functions.core import col, empty, let, strip
 
 
 def size_mb(length: Column | str) -> Column:
@@ -102,7 +102,8 @@ def sql_statements(text: Column | str, aware: bool = True) -> Column:
 
 def with_context(chunks: Column, n: int = fixed.TEXT_OVERLAP) -> Column:
     """Array of (idx, before, text, after): each chunk with up to n code points of its neighbours."""
-    return F.transform(chunks, lambda c, i: F.struct(i.alias("idx"), F.coalesce(F.right(F.get(chunks, i - 1), F.lit(n)), F.lit("")).alias("before"), c.alias("text"), F.coalesce(F.left(F.get(chunks, i + 1), F.lit(n)), F.lit("")).alias("after")))
+    near = lambda own: F.transform(own, lambda c, i: F.struct(i.alias("idx"), F.coalesce(F.right(F.get(own, i - 1), F.lit(n)), F.lit("")).alias("before"), c.alias("text"), F.coalesce(F.left(F.get(own, i + 1), F.lit(n)), F.lit("")).alias("after")))
+    return let(chunks, near)
 
 
 def neighbours(df: DataFrame, text: str, order: str, *keys: str, n: int = fixed.TEXT_OVERLAP) -> DataFrame:
@@ -113,8 +114,12 @@ def neighbours(df: DataFrame, text: str, order: str, *keys: str, n: int = fixed.
 
 def statement_context(statements: Column, n: int, overlap: int = fixed.STATEMENT_OVERLAP) -> Column:
     """Array of (idx, before, statements, after): groups of n statements with those around them."""
-    groups = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(statements) - 1) / n).cast("int")))
-    return F.transform(groups, lambda i: F.struct(i.alias("idx"), F.slice(statements, F.greatest(F.lit(1), i * n + 1 - overlap), F.least(F.lit(overlap), i * n)).alias("before"), F.slice(statements, i * n + 1, F.lit(n)).alias("statements"), F.slice(statements, (i + 1) * n + 1, F.lit(overlap)).alias("after")))
+
+    def grouped(own: Column) -> Column:
+        groups = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(own) - 1) / n).cast("int")))
+        return F.transform(groups, lambda i: F.struct(i.alias("idx"), F.slice(own, F.greatest(F.lit(1), i * n + 1 - overlap), F.least(F.lit(overlap), i * n)).alias("before"), F.slice(own, i * n + 1, F.lit(n)).alias("statements"), F.slice(own, (i + 1) * n + 1, F.lit(overlap)).alias("after")))
+
+    return let(statements, grouped)
 
 
 def tiles(images: DataFrame, width: str = "w", height: str = "h", overlap: int = fixed.TILE_OVERLAP) -> DataFrame:

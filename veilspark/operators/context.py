@@ -9,54 +9,70 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import clamp, col, matches
+from veilspark.functions.core import clamp, col, let, matches
 from veilspark.operators.detect import column_type
 
 SENTENCE = r"[^.!?\n]+[.!?\n]?"
 
 
-def _raised(s: Column, test: Column, score: Column, *flags: str) -> Column:
-    out = s.withField("score", F.when(test, score).otherwise(s["score"]))
-    for flag in flags:
-        out = out.withField(flag, s[flag] | test)
-    return out
+def _raised(s: Column, test: Column, score, *flags: str) -> Column:
+    """s with score(s) and its flags up where the test holds; the test is worked out once."""
+
+    def lifted(hit: Column) -> Column:
+        up = s.withField("score", score(s))
+        for flag in flags:
+            up = up.withField(flag, F.lit(True))
+        return F.when(hit, up).otherwise(s)
+
+    return let(test, lifted)
 
 
 def label_boost(spans: Column, pairs: Column) -> Column:
     """Once, if a label of the same type ends up to 50 code points before the span."""
 
-    def lifted(s: Column) -> Column:
-        near = F.exists(pairs, lambda p: (p["entity_type"] == s["entity_type"]) & (s["start"] - p["label_end"]).between(0, fixed.LABEL_GAP))
-        return _raised(s, near, clamp(s["score"] + fixed.LABEL_BOOST), "label_boosted")
+    def boosted(found: Column) -> Column:
+        near = lambda s: F.exists(found, lambda p: (p["entity_type"] == s["entity_type"]) & (s["start"] - p["label_end"]).between(0, fixed.LABEL_GAP))
+        return F.transform(spans, lambda s: _raised(s, near(s), lambda t: clamp(t["score"] + fixed.LABEL_BOOST), "label_boosted"))
 
-    return F.transform(spans, lifted)
+    return let(pairs, boosted)
 
 
 def proximity_boost(spans: Column) -> Column:
     """By the number of other spans that start within 150 code points: 1 or 2, or more."""
 
-    def lifted(s: Column) -> Column:
-        others = F.size(F.filter(spans, lambda o: F.abs(o["start"] - s["start"]) <= fixed.PROXIMITY_WINDOW)) - 1
-        boost = F.when(others <= 2, F.lit(fixed.PROXIMITY_BOOST)).otherwise(F.lit(fixed.PROXIMITY_BOOST * 2))
-        return _raised(s, others > 0, clamp(s["score"] + boost), "proximity_boosted")
+    def company(own: Column) -> Column:
+        def lifted(s: Column) -> Column:
+            def judged(others: Column) -> Column:
+                boost = F.when(others <= 2, F.lit(fixed.PROXIMITY_BOOST)).otherwise(F.lit(fixed.PROXIMITY_BOOST * 2))
+                return _raised(s, others > 0, lambda t: clamp(t["score"] + boost), "proximity_boosted")
+
+            return let(F.size(F.filter(own, lambda o: F.abs(o["start"] - s["start"]) <= fixed.PROXIMITY_WINDOW)) - 1, judged)
+
+        return F.transform(own, lifted)
 
-    return F.sort_array(F.transform(spans, lifted))
+    return F.sort_array(let(spans, company))
 
 
 def anchor_rule(spans: Column) -> Column:
     """Identity anchors (sure names and mail addresses) lift uncertain spans around them; weak or contextual ones elsewhere stand alone."""
-    anchors = F.filter(spans, lambda s: s["entity_type"].isin(*fixed.ANCHOR_TYPES) & (s["score"] >= fixed.ANCHOR_SCORE))
 
-    def judged(s: Column) -> Column:
-        inside = F.exists(anchors, lambda a: s["start"].between(a["start"] - fixed.ANCHOR_ZONE, a["end"] + fixed.ANCHOR_ZONE))
+    def judged(s: Column, anchors: Column) -> Column:
         free = ~s["entity_type"].isin(*fixed.ANCHOR_TYPES)
         contextual = s["entity_type"].isin(*fixed.CONTEXTUAL_TYPES)
         weak, unsure = s["score"] < fixed.UNCERTAIN, (s["score"] >= fixed.UNCERTAIN) & (s["score"] < fixed.HIGH)
-        lifted = F.when(contextual, clamp(F.greatest(s["score"], F.lit(fixed.CONTEXTUAL_SCORE)))).when(unsure, clamp(s["score"] + fixed.ANCHOR_BOOST)).otherwise(F.lit(fixed.ANCHOR_LIFT))
-        out = _raised(s, free & inside & (contextual | weak | unsure), lifted, "slide6_boosted", "linked_to_identity")
-        return out.withField("standalone_non_pii", s["standalone_non_pii"] | (free & ~inside & (contextual | weak)))
+        lifted = lambda t: F.when(contextual, clamp(F.greatest(t["score"], F.lit(fixed.CONTEXTUAL_SCORE)))).when(unsure, clamp(t["score"] + fixed.ANCHOR_BOOST)).otherwise(F.lit(fixed.ANCHOR_LIFT))
+
+        def placed(inside: Column) -> Column:
+            alone = s.withField("standalone_non_pii", F.lit(True))
+            return F.when(free & ~inside & (contextual | weak), alone).otherwise(_raised(s, free & inside & (contextual | weak | unsure), lifted, "slide6_boosted", "linked_to_identity"))
+
+        return let(F.exists(anchors, lambda a: s["start"].between(a["start"] - fixed.ANCHOR_ZONE, a["end"] + fixed.ANCHOR_ZONE)), placed)
+
+    def ruled(own: Column) -> Column:
+        anchors = F.filter(own, lambda s: s["entity_type"].isin(*fixed.ANCHOR_TYPES) & (s["score"] >= fixed.ANCHOR_SCORE))
+        return let(anchors, lambda found: F.transform(own, lambda s: judged(s, found)))
 
-    return F.transform(spans, judged)
+    return let(spans, ruled)
 
 
 def sentences(text: Column | str) -> Column:
@@ -65,12 +81,13 @@ def sentences(text: Column | str) -> Column:
 
 def density_boost(text: Column | str, spans: Column) -> Column:
     """All spans of a sentence that has three or more."""
-    dense = F.filter(sentences(text), lambda x: F.size(F.filter(spans, lambda s: (s["start"] >= x["start"]) & (s["start"] < x["end"]))) >= fixed.DENSITY_HITS)
 
-    def lifted(s: Column) -> Column:
-        return _raised(s, F.exists(dense, lambda x: (s["start"] >= x["start"]) & (s["start"] < x["end"])), clamp(s["score"] + fixed.DENSITY_BOOST), "density_boosted")
+    def boosted(own: Column) -> Column:
+        dense = F.filter(sentences(text), lambda x: F.size(F.filter(own, lambda s: (s["start"] >= x["start"]) & (s["start"] < x["end"]))) >= fixed.DENSITY_HITS)
+        inside = lambda s, found: F.exists(found, lambda x: (s["start"] >= x["start"]) & (s["start"] < x["end"]))
+        return let(dense, lambda found: F.transform(own, lambda s: _raised(s, inside(s, found), lambda t: clamp(t["score"] + fixed.DENSITY_BOOST), "density_boosted")))
 
-    return F.transform(spans, lifted)
+    return let(spans, boosted)
 
 
 def column_boost(spans: Column, column_name: str | None) -> Column:
@@ -78,4 +95,4 @@ def column_boost(spans: Column, column_name: str | None) -> Column:
     kind = column_type(column_name) if column_name else None
     if kind is None:
         return spans
-    return F.transform(spans, lambda s: _raised(s, s["entity_type"] == kind, clamp(F.greatest(s["score"], F.lit(fixed.COLUMN_SCORE))), "column_name_boosted"))
+    return F.transform(spans, lambda s: _raised(s, s["entity_type"] == kind, lambda t: clamp(F.greatest(t["score"], F.lit(fixed.COLUMN_SCORE))), "column_name_boosted"))

@@ -118,7 +118,7 @@ def label_pairs(text: Column | str) -> Column:
     t = col(text)
 
     def pair(m: Column) -> Column:
-        label, sign, raw = (F.regexp_extract(m["value"], LABEL_PATTERN, k) for k in (1, 2, 3))
+        label, sign, raw = (F.regexp_extract(m["value"], LABEL_PATTERN, k) for k in (1, 2, 3))  # a match is short
         value = strip(raw)
         start = m["start"] + F.length(label) + F.length(sign)
         return F.struct(F.lower(label).alias("label"), value.alias("value"), lookup(F.lower(label), fixed.LABELS, F.lit(None).cast("string")).alias("entity_type"), m["start"].alias("label_start"), (m["start"] + F.length(label)).alias("label_end"), start.alias("value_start"), (start + F.length(value)).alias("value_end"))

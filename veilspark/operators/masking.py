@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import col
+from veilspark.functions.core import col, let
 from veilspark.functions.mask import REDACTED, partial_mask, token
 
 MODES = ("redact", "mask", "tokenize")
@@ -13,7 +13,7 @@ MODES = ("redact", "mask", "tokenize")
 
 def _counted(array: Column) -> Column:
     """How many of the same entity_type stand up to each element, itself included."""
-    return F.transform(array, lambda x, i: F.size(F.filter(F.slice(array, F.lit(1), i + 1), lambda y: y["entity_type"] == x["entity_type"])))
+    return let(array, lambda own: F.transform(own, lambda x, i: F.size(F.filter(F.slice(own, F.lit(1), i + 1), lambda y: y["entity_type"] == x["entity_type"]))))
 
 
 def _replacement(value: Column, entity_type: Column, n: Column, mode: str) -> Column:
@@ -32,10 +32,12 @@ def mask_positions(text: Column | str, spans: Column, mode: str = "redact") -> C
         value = F.substring(t, x["start"] + 1, x["end"] - x["start"])
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), _replacement(value, x["entity_type"], n, mode).alias("to"))
 
-    pieces = F.zip_with(ordered, numbers, piece)
-    masked = F.aggregate(pieces, t, lambda acc, p: F.concat(F.left(acc, p["start"]), p["to"], F.substring(acc, p["end"] + 1, F.length(acc))))
-    tokens = F.map_from_entries(F.transform(pieces, lambda p: F.struct(p["to"], p["value"]))) if mode == "tokenize" else F.create_map().cast("map<string,string>")
-    return F.struct(masked.alias("masked_text"), tokens.alias("token_map"))
+    def put(pieces: Column) -> Column:
+        masked = F.aggregate(pieces, t, lambda acc, p: F.concat(F.left(acc, p["start"]), p["to"], F.substring(acc, p["end"] + 1, F.length(acc))))
+        tokens = F.map_from_entries(F.transform(pieces, lambda p: F.struct(p["to"], p["value"]))) if mode == "tokenize" else F.create_map().cast("map<string,string>")
+        return F.struct(masked.alias("masked_text"), tokens.alias("token_map"))
+
+    return let(F.zip_with(ordered, numbers, piece), put)
 
 
 ENTRY = "struct<value:string,to:string>"
@@ -47,10 +49,15 @@ def value_map(spans: Column, mode: str = "redact") -> Column:
     Tokens number each type's values by first appearance in the text, so a rerun gives the same ones.
     """
     first = F.filter(F.transform(spans, lambda s: F.struct(s["value"].alias("value"), s["entity_type"].alias("entity_type"))), lambda s: s["value"] != "")
-    values = F.transform(first, lambda s: s["value"])
-    once = F.filter(first, lambda s, i: F.array_position(values, s["value"]) == i + 1)
-    numbers = _counted(once) if mode == "tokenize" else F.transform(once, lambda x: F.lit(0))
-    return F.zip_with(once, numbers, lambda s, n: F.struct(s["value"].alias("value"), _replacement(s["value"], s["entity_type"], n, mode).alias("to")))
+
+    def distinct(found: Column) -> Column:
+        return let(F.transform(found, lambda s: s["value"]), lambda values: F.filter(found, lambda s, i: F.array_position(values, s["value"]) == i + 1))
+
+    def entries(once: Column) -> Column:
+        numbers = _counted(once) if mode == "tokenize" else F.transform(once, lambda x: F.lit(0))
+        return F.zip_with(once, numbers, lambda s, n: F.struct(s["value"].alias("value"), _replacement(s["value"], s["entity_type"], n, mode).alias("to")))
+
+    return let(let(first, distinct), entries)
 
 
 def longest_first(entries: Column) -> Column:
@@ -65,19 +72,27 @@ def replace_values(text: Column | str, entries: Column, longest: bool = True) ->
 
 def replace_once(text: Column | str, entries: Column) -> Column:
     """All values in one pass from the left, the longest first where several fit; what has been put there is not looked at again."""
-    t, ordered = col(text), longest_first(entries)
-
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        hit = F.filter(ordered, lambda e: F.substring(t, at, F.length(e["value"])) == e["value"])
-        return (
-            F.when(at > F.length(t), acc)
-            .when(F.size(hit) > 0, F.struct((at + F.length(hit[0]["value"])).alias("at"), F.concat(acc["out"], hit[0]["to"]).alias("out")))
-            .otherwise(F.struct((at + 1).alias("at"), F.concat(acc["out"], F.substring(t, at, F.lit(1))).alias("out")))
-        )
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t))), F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), step)["out"]
-    return F.when((F.size(ordered) > 0) & F.exists(ordered, lambda e: F.contains(t, e["value"])), walked).otherwise(t)
+    t = col(text)
+
+    def walked(found: Column) -> Column:
+        """Jumps from one match to the next: the first place of each value from here on, the leftmost and then the longest of them."""
+
+        def step(acc: Column, _: Column) -> Column:
+            places = F.filter(F.transform(found, lambda e, i: F.struct(F.call_function("locate", e["value"], t, acc["at"]).alias("p"), i.alias("i"), e.alias("e"))), lambda x: x["p"] > 0)
+
+            def put(hit: Column) -> Column:
+                end = hit["p"] + F.length(hit["e"]["value"])
+                moved = F.struct(end.alias("at"), F.concat(acc["out"], F.substring(t, acc["at"], hit["p"] - acc["at"]), hit["e"]["to"]).alias("out"))
+                return F.when(hit.isNull(), acc).otherwise(moved)
+
+            return let(F.array_min(places), put)
+
+        most = F.aggregate(found, F.lit(0), lambda n, e: n + ((F.length(t) - F.length(F.replace(t, e["value"], F.lit("")))) / F.length(e["value"])).cast("int"))
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+        rest = lambda acc: F.concat(acc["out"], F.substring(t, acc["at"], F.length(t)))
+        return F.when(F.size(found) == 0, t).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), most)), start, step, rest))
+
+    return let(F.filter(longest_first(entries), lambda e: F.contains(t, e["value"])), walked)
 
 
 def detokenize(text: Column | str, token_map: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.functions.core import col
+from veilspark.functions.core import col, let
 from veilspark.operators.chunking import sql_statements
 from veilspark.operators.masking import replace_values
 
@@ -87,6 +87,9 @@ def mask_sql(text: Column | str, entries: Column, joiner: str = "\n") -> Column:
 def mask_runs(runs: Column, entries: Column) -> Column:
     """Runs of a paragraph: each is masked on its own, then across them; what only shows across runs moves into the first one."""
     own = F.transform(runs, lambda r: replace_values(r, entries, longest=False))
-    full = F.array_join(own, "")
-    joined = replace_values(full, entries)
-    return F.when(joined != full, F.transform(own, lambda r, i: F.when(i == 0, joined).otherwise(""))).otherwise(own)
+
+    def across(own: Column) -> Column:
+        full = F.array_join(own, "")
+        return let(replace_values(full, entries), lambda joined: F.when(joined != full, F.transform(own, lambda r, i: F.when(i == 0, joined).otherwise(""))).otherwise(own))
+
+    return let(own, across)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import col
+from veilspark.functions.core import col, let
 from veilspark.operators.resolve import tier
 
 
@@ -33,8 +33,7 @@ def confidence_breakdown(spans: DataFrame, *keys: str) -> DataFrame:
 
 def counts_by(array: Column, field: str) -> Column:
     """map(value of the field, count) of an array of structs, by first appearance."""
-    values = F.transform(array, lambda s: s[field])
-    return F.map_from_entries(F.transform(F.array_distinct(values), lambda v: F.struct(v, F.size(F.filter(values, lambda x: x == v)).cast("bigint"))))
+    return let(F.transform(array, lambda s: s[field]), lambda values: F.map_from_entries(F.transform(F.array_distinct(values), lambda v: F.struct(v, F.size(F.filter(values, lambda x: x == v)).cast("bigint")))))
 
 
 def summary(spans: Column | str, layers: tuple[str, ...] = ("regex", "spacy", "bert")) -> Column:
