@@ -127,7 +127,7 @@ def _masked(to: str) -> str:
     )
 
 
-TOKEN = "'<<' || entity_type || '_' || lpad(cast(n AS STRING), greatest(3, length(cast(n AS STRING))), '0') || '>>'"
+TOKEN = "'<<' || entity_type || '_' || lpad(cast(n AS STRING), greatest(3, length(cast(n AS STRING)))::INTEGER, '0') || '>>'"
 REPLACED = (
     "SELECT s.doc_id, list_reduce(list_concat([s.text], coalesce(x.vs, [])), lambda a, b: replace(a, b, '[REDACTED]')) AS masked{more} FROM {source} s LEFT JOIN "
     "(SELECT doc_id, list(value ORDER BY length(value) DESC, f, o) AS vs, sum(n) AS n FROM (SELECT doc_id, value, min(start) AS f, min(ord) AS o, count(*) AS n FROM d_same GROUP BY ALL) GROUP BY doc_id) x USING (doc_id)"
@@ -155,7 +155,7 @@ def _search(order: str, name: str) -> str:
 
 
 SORTED = {"newest": "processed_at DESC NULLS FIRST", "oldest": "processed_at ASC NULLS LAST", "pii-desc": "total_pii DESC NULLS FIRST", "pii-asc": "total_pii ASC NULLS LAST", "name-az": "name ASC", "name-za": "name DESC"}
-AUDITED = "SELECT a.id, a.action, a.user_id, a.at, u.email AS user_email, f.name AS file_name FROM audit a JOIN users u ON u.id = a.user_id LEFT JOIN files f ON f.id = a.file_id"
+AUDITED = "SELECT a.id, a.action, a.user_id, a.\"at\", u.email AS user_email, f.name AS file_name FROM audit a JOIN users u ON u.id = a.user_id LEFT JOIN files f ON f.id = a.file_id"
 LINES = (
     "WITH m AS (SELECT doc_id, text, regexp_replace(text, '[0-9]{3,}', '[REDACTED]', 'g') AS masked FROM documents), s AS (SELECT doc_id, string_split(text, chr(10)) AS a, string_split(masked, chr(10)) AS b FROM m), "
     "l AS (SELECT doc_id, unnest(range(1, greatest(len(a), len(b)) + 1)) AS line_no, a, b FROM s), x AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, coalesce(a[line_no], '') AS original, coalesce(b[line_no], '') AS sanitized FROM l) "
@@ -237,7 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "file_page": files(f"SELECT id, name FROM files WHERE {DONE} ORDER BY name, id LIMIT 10 OFFSET 20"),
         "page_info": files(f"SELECT count(*) AS total, 30 < count(*) AS has_more FROM files WHERE {DONE}"),
         "admin_search": files("SELECT f.id, f.name, u.name AS uploader FROM files f JOIN users u ON u.id = f.uploaded_by WHERE contains(lower(f.name), '#00000001') OR contains(lower(u.name), '#00000001')"),
-        "audit_page": files(f"SELECT id, action, user_email, file_name FROM ({AUDITED}) ORDER BY at DESC, id LIMIT 50 OFFSET 50"),
+        "audit_page": files(f"SELECT id, action, user_email, file_name FROM ({AUDITED}) t ORDER BY t.\"at\" DESC, id LIMIT 50 OFFSET 50"),
         "audit_by_action": files(f"SELECT user_id, count(*) AS n, count(file_name) AS with_file FROM ({AUDITED}) WHERE action = 'click' GROUP BY user_id"),
         "user_file_counts": files("SELECT u.id, u.name, count(f.id) AS files FROM users u LEFT JOIN files f ON f.uploaded_by = u.id GROUP BY ALL"),
         "viewer_rollup": files(f"SELECT {_case('name', fixed.VIEWER_TYPES, _q('NAME'))} AS viewer_type, CAST(sum(n) AS BIGINT) AS n FROM ({SUMMED}) GROUP BY 1"),
