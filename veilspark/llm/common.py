@@ -6,6 +6,7 @@ is bounded by the longest text and never by the number of rows in a batch.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +46,28 @@ def durable(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _release() -> None:
+    """Gives memory that a task no longer uses back to the system: a worker serves many tasks beside others."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of a few megabytes, so that neither side of the pipe holds many long texts at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def remainder(key: str, by: int):
     """crc32 of the key as text modulo `by`, the split rule of the learned operators; null keys count as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by

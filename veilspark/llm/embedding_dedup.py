@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import components, durable
+from veilspark.llm.common import components, durable, mapped
 
 #: Recall the audit asks for, and the refinements it may ask for before the figures stand as they are.
 WANTED, MOST_REFINED = 0.97, 4
@@ -55,7 +55,7 @@ def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> Dat
                 keys.append(hashlib.blake2b(groups[-1].encode() + b"\0" + units[-1], digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(groups, pa.string()), pa.array(units, pa.binary())], names=["vec_id", "_k", "_group", "_v"])
 
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("_e"), F.col(label).cast("string").alias("_l")).mapInArrow(run, "vec_id long, _k binary, _group string, _v binary")
+    return mapped(vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("_e"), F.col(label).cast("string").alias("_l")), run, "vec_id long, _k binary, _group string, _v binary")
 
 
 def _matrix(values: list[bytes], kind: str) -> np.ndarray:
@@ -113,8 +113,8 @@ def _planted(nodes: DataFrame, trees: int, leaf: int, most: int, seed: int) -> D
         if held:
             yield flush()
 
-    dealt = nodes.select("_k", "_group", "_v").mapInArrow(codes, "tree int, group string, code int, k binary, v binary")
-    return dealt.repartitionByRange("tree", "group", "code", "k").sortWithinPartitions("tree", "group", "code", "k").mapInArrow(leaves, EDGES)
+    dealt = mapped(nodes.select("_k", "_group", "_v"), codes, "tree int, group string, code int, k binary, v binary")
+    return mapped(dealt.repartitionByRange("tree", "group", "code", "k").sortWithinPartitions("tree", "group", "code", "k"), leaves, EDGES)
 
 
 def _lists(edges: DataFrame, most: int) -> DataFrame:
@@ -202,7 +202,7 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int) ->
                         out[a] = out.get(a, 0) + int(x)
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.int64())], names=["_q", "_true"])
 
-    true = nodes.select("_k", "_group", "_v", "_times").mapInArrow(run, "_q binary, _true long").groupBy("_q").agg(F.sum("_true").alias("_true"))
+    true = mapped(nodes.select("_k", "_group", "_v", "_times"), run, "_q binary, _true long").groupBy("_q").agg(F.sum("_true").alias("_true"))
     row = true.join(links, F.col("_q") == F.col("_k"), "left").agg(F.sum("_true"), F.sum(F.least("_true", F.coalesce("_links", F.lit(0))))).first()
     return (row[1] or 0) / row[0] if row[0] else 1.0
 
@@ -217,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h, pa.binary())], names=["_k", "_group", "_v", "_times", "_h"])
 
     nodes = rows.where("_k IS NOT NULL").groupBy("_k").agg(F.first("_group").alias("_group"), F.first("_v").alias("_v"), F.count("*").alias("_times"))
-    nodes = durable(nodes.mapInArrow(halved, "_k binary, _group string, _v binary, _times long, _h binary"), "nodes")
+    nodes = durable(mapped(nodes, halved, "_k binary, _group string, _v binary, _times long, _h binary"), "nodes")
     edges = durable(_lists(_planted(nodes, trees, leaf, most, 17), most), "graph")
     refined = 0
     while True:

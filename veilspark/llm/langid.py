@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import BASE, MASK, bounded_sample, flat, slices
+from veilspark.llm.common import BASE, MASK, bounded_sample, flat, mapped, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that one task remembers before it forgets them all; bounds memory only.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Multipliers that place a hash in the two tables of pieces.
 PLACES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -187,7 +187,7 @@ def learn(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    counted = mapped(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
     pieces = Pieces.load(vocabulary, longest)
     # At the start a piece is likelier the longer it is, so that the first round already prefers whole morphemes.
@@ -212,7 +212,7 @@ def learn(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str =
                 at = np.flatnonzero(x > 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], names=["k", "piece", "n"])
 
-        uses = counted.mapInArrow(step, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n"))
+        uses = mapped(counted, step, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n"))
         q = np.full((pieces.n + 2, len(langs)), 0.02)
         for k, i, n in uses.collect():
             q[i, k] += n
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str,
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes[: len(keep)])
-    return frame.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return mapped(frame, run, f"{schema}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

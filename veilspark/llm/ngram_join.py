@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import SPACES, components, durable, flat, mix, prefix_sums, slices, span_hashes, words_of
+from veilspark.llm.common import SPACES, components, durable, flat, mapped, mix, prefix_sums, slices, span_hashes, words_of
 
 #: Ids up to this many may be broadcast: some 30 MB. More are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -95,7 +95,7 @@ def _signatures(keyed: DataFrame, text: str, n: int, bands: int, rows: int, with
                     columns, names = [*columns, pa.array(sets, pa.binary())], [*names, "_set"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return keyed.select("_a", "_b", F.col(text).cast("string").alias("_text")).mapInArrow(run, "_a long, _b long, _k binary, _n int, _bands array<long>" + ", _set binary" * with_sets)
+    return mapped(keyed.select("_a", "_b", F.col(text).cast("string").alias("_text")), run, "_a long, _b long, _k binary, _n int, _bands array<long>" + ", _set binary" * with_sets)
 
 
 def _verify(threshold: float):

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import mapped
+
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 #: Fixed patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -273,7 +275,7 @@ def _apply(docs: DataFrame, keep: list[str], text: str, model, make, schema: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *[x.split()[0] for x in schema.split(", ")]])
 
     head = [f"`{c}` {t}" for c, t in frame.select(*[F.col(f"`{c}`") for c in keep]).dtypes]
-    return frame.mapInArrow(run, ", ".join([*head, schema]))
+    return mapped(frame, run, ", ".join([*head, schema]))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import SPACES, bounded_sample, flat, mix, prefix_sums, slices, span_hashes
+from veilspark.llm.common import SPACES, bounded_sample, flat, mapped, mix, prefix_sums, slices, span_hashes
 
 _BYTE = np.arange(256)
 #: 0: parts tokens; 1: letters, digits, non-ASCII; 2: signs.
@@ -98,7 +98,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at] * len(rows)), pa.array(np.where(at == at[-1:], len(rows), 0))], names=["place", "w", "rows"])
 
-    found = sample.mapInArrow(run, "place int, w double, rows long").groupBy("place").agg(F.sum("w").alias("w"), F.sum("rows").alias("rows")).collect()
+    found = mapped(sample, run, "place int, w double, rows long").groupBy("place").agg(F.sum("w").alias("w"), F.sum("rows").alias("rows")).collect()
     w = np.zeros((1 << bits) + 1)
     for place, x, _ in found:
         w[place] = x
@@ -124,4 +124,4 @@ def score(docs: DataFrame, w: np.ndarray, keep: list[str], text: str = "text") -
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in frame.select(*keep).dtypes)
-    return frame.mapInArrow(run, f"{schema}, score double, predicted int")
+    return mapped(frame, run, f"{schema}, score double, predicted int")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import durable, flat, mix, prefix_sums, slices, span_hashes
+from veilspark.llm.common import durable, flat, mapped, mix, prefix_sums, slices, span_hashes
 
 #: Grams with more anchors than this are dealt by context instead of by gram.
 HOT = 512
@@ -84,7 +84,7 @@ def _anchored(keyed: DataFrame, size: int, k: int) -> DataFrame:
                 head = [batch.column(c).slice(i, j - i) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(np.diff(own)), pa.array(sha, pa.string()), *lists], names=["doc_id", "_a", "_b", "_bytes", "_sha", "g", "c", "lo", "n"])
 
-    return keyed.select("doc_id", "_a", "_b", "_text").mapInArrow(run, "doc_id long, _a long, _b long, _bytes long, _sha string, g array<long>, c array<long>, lo array<int>, n array<int>")
+    return mapped(keyed.select("doc_id", "_a", "_b", "_text"), run, "doc_id long, _a long, _b long, _bytes long, _sha string, g array<long>, c array<long>, lo array<int>, n array<int>")
 
 
 def _squeezed(keyed: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def _squeezed(keyed: DataFrame) -> DataFrame:
             out = [squeeze(t.encode()) if t else b"" for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["_za", "_zb", "_z"])
 
-    return keyed.select("_a", "_b", "_text").mapInArrow(run, "_za long, _zb long, _z binary")
+    return mapped(keyed.select("_a", "_b", "_text"), run, "_za long, _zb long, _z binary")
 
 
 def _opened(z: bytes) -> bytes:
@@ -238,7 +238,7 @@ def _runs(chosen: DataFrame, size: int, buckets: int) -> DataFrame:
         if items:
             yield batch_of(list(flush(items)))
 
-    return chosen.mapInArrow(run, "bucket int, run binary, _a long, _b long, s int, n int")
+    return mapped(chosen, run, "bucket int, run binary, _a long, _b long, s int, n int")
 
 
 def _windows(contexts: list[bytes], size: int) -> list[np.ndarray]:
@@ -359,7 +359,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, text: str = "text", doc_id:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["_ra", "_rb", "_removed", "_runs", "_kept", "_where", "_rest"])
 
     cut = chosen.join(spans, (F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb"))).select("_a", "_b", "_z", "_spans")
-    cut = cut.mapInArrow(run, "_ra long, _rb long, _removed long, _runs long, _kept string, _where array<struct<start:long,end:long>>, _rest binary").dropDuplicates(["_ra", "_rb"])
+    cut = mapped(cut, run, "_ra long, _rb long, _removed long, _runs long, _kept string, _where array<struct<start:long,end:long>>, _rest binary").dropDuplicates(["_ra", "_rb"])
     out = every.join(cut, (F.col("_a") == F.col("_ra")) & (F.col("_b") == F.col("_rb")), "left")
     columns = ["doc_id", F.col("_bytes").alias("n_bytes"), F.coalesce("_removed", F.lit(0)).alias("n_removed"), F.coalesce("_runs", F.lit(0)).alias("n_spans"), F.coalesce("_kept", "_sha").alias("kept_sha256"), F.coalesce("_where", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans")]
     return out.select(*columns, *([F.col("_rest").alias("kept_bytes")] if with_bytes else []))
