@@ -68,6 +68,15 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(tidy, schema)
 
 
+def unclashing(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """docs with its columns under plain numbers, the new name of each, and the columns that restore the old ones.
+
+    An operator that keeps all columns works between the two, so that no name of the caller's meets one of its own.
+    """
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def remainder(key: str, by: int):
     """crc32 of the key as text modulo `by`, the split rule of the learned operators; null keys count as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import BASE, MASK, bounded_sample, flat, mapped, slices
+from veilspark.llm.common import BASE, MASK, bounded_sample, flat, mapped, slices, unclashing
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that one task remembers before it forgets them all; bounds memory only.
@@ -268,8 +268,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str,
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """docs without those that have no letters or no language of score `least` or more; the labels of docs teach. Columns stay."""
     langs, p = learn(docs, vocabulary, text, lang, doc_id)
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    found = identify(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), langs, p, vocabulary, list(names.values()), names[text])
-    sure = (F.col("lang_pred") != "und") & (F.col("score") >= least)
-    return found.where(sure).select(*[F.col(n).alias(c) for c, n in names.items()])
+    plain, names, restored = unclashing(docs)
+    found = identify(plain, langs, p, vocabulary, list(names.values()), names[text])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*restored)
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from veilspark.llm.common import unclashing
+
 PERIOD = 1000
 
 
@@ -117,6 +119,7 @@ def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     )
 
 
-def mixed_order(docs: DataFrame, **options) -> DataFrame:
+def mixed_order(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs in the order of the schedule, with their own columns: a range shuffle on the position, so each output file is a stretch of the mix."""
-    return pfair_mix(docs, prefix="_mix", **options).orderBy("_mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, names, restored = unclashing(docs)
+    return pfair_mix(plain, source=names[source], doc_id=names[doc_id], text=names[text], prefix="_mix", **options).orderBy("_mix_position").select(*restored)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import SPACES, components, durable, flat, mapped, mix, prefix_sums, slices, span_hashes, words_of
+from veilspark.llm.common import SPACES, components, durable, flat, mapped, mix, prefix_sums, slices, span_hashes, unclashing, words_of
 
 #: Ids up to this many may be broadcast: some 30 MB. More are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -189,16 +189,17 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **option
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each linked group: the one with the least doc_id. All columns are kept."""
-    found = durable(similarity_join(docs, text, doc_id, **options), "joined")
+    plain, names, restored = unclashing(docs)
+    text, doc_id = names[text], names[doc_id]
+    found = durable(similarity_join(plain, text, doc_id, **options), "joined")
     least = found.groupBy("_root").agg(F.min(F.struct("_a", "_b")).alias("_least"))
     judged = durable(found.join(least, "_root").groupBy("_a", "_b").agg(F.count("*").alias("_rows"), F.first(F.col("_least") == F.struct("_a", "_b")).alias("_kept")), "judged")
     gone = judged.where("NOT _kept").select(F.col("_a").alias("_ga"), F.col("_b").alias("_gb"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = _keyed(docs, text, doc_id).join(gone, (F.col("_a") == F.col("_ga")) & (F.col("_b") == F.col("_gb")), "left_anti")
+    out = _keyed(plain, text, doc_id).join(gone, (F.col("_a") == F.col("_ga")) & (F.col("_b") == F.col("_gb")), "left_anti")
     again = judged.where("_kept AND _rows > 1").select(F.col("_a").alias("_ra"), F.col("_b").alias("_rb"))
     if again.isEmpty():
-        return out.select(*columns)
+        return out.select(*restored)
     # Rows repeated outright: all but one of each go, too.
     same = (F.col("_a") == F.col("_ra")) & (F.col("_b") == F.col("_rb"))
-    return out.join(again, same, "left_anti").select(*columns).union(out.join(again, same, "left_semi").dropDuplicates(["_a", "_b"]).select(*columns))
+    return out.join(again, same, "left_anti").select(*restored).union(out.join(again, same, "left_semi").dropDuplicates(["_a", "_b"]).select(*restored))

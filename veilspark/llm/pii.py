@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import mapped
+from veilspark.llm.common import mapped, unclashing
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 #: Fixed patterns.
@@ -294,7 +294,8 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", model=None) -> Da
 
 def redact(docs: DataFrame, text: str = "text", model=None) -> DataFrame:
     """docs with each span replaced by its kind in brackets; overlapping spans become one. n_chars follows if it is there."""
-    rest = [c for c in docs.columns if c != text]
+    plain, names, restored = unclashing(docs)
+    own = names[text]
 
     def make(texts, found):
         out = []
@@ -309,7 +310,8 @@ def redact(docs: DataFrame, text: str = "text", model=None) -> DataFrame:
             out.append(t)
         return [pa.array(out, pa.string())]
 
-    out = _apply(docs, rest, text, model, make, "_redacted string").withColumnRenamed("_redacted", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _apply(plain, [n for n in names.values() if n != own], own, model, make, "_redacted string").withColumnRenamed("_redacted", own)
+    if "n_chars" in names:
+        n = names["n_chars"]
+        out = out.withColumn(n, F.when(F.col(n).isNull(), F.col(n)).otherwise(F.length(own).cast("long")))
+    return out.select(*restored)

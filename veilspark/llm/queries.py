@@ -75,7 +75,14 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_suffix_dedup, op4_ngram_jaccard_join, op5_secret_scan, op6_pfair_mixing, op7_embedding_near_dedup, op8_language_id, op9_pii, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can express a query: all pairs are compared, and links are followed to their end.
+REACHED = "r AS (SELECT {key} AS node, {key} AS reach FROM {table} UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a) SELECT d.{key}, (SELECT count(*) FROM l WHERE l.a = d.{key}) AS n_links, m.c AS component_id, m.c = d.{key} AS kept FROM {table} d JOIN (SELECT node, min(reach) AS c FROM r GROUP BY node) m ON m.node = d.{key}"
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": "WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents), "
+    "g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM w WHERE len(ws) > 0)), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), "
+    "p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)), " + REACHED.format(key="doc_id", table="documents"),
+    "op7_embedding_near_dedup": "WITH RECURSIVE l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.98), " + REACHED.format(key="vec_id", table="embeddings"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
