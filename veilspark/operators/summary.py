@@ -73,3 +73,8 @@ def chunk_status(chunks: DataFrame, *keys: str, state: str = "state") -> DataFra
 def succeeded(parts: DataFrame, *keys: str, failed: str = "failed", extra: str = "exif_count") -> DataFrame:
     """A job fails only if all its parts did and nothing else was found."""
     return parts.groupBy(*keys).agg((~(F.bool_and(failed) & (F.coalesce(F.sum(extra), F.lit(0)) == 0))).alias("success"), F.count_if(failed).alias("failed_parts"), F.sum(extra).alias("extra"))
+
+
+def seconds_left(done: Column | str, total: Column | str, elapsed: Column | str) -> Column:
+    """What is left at the rate so far; null before the first is done."""
+    return F.when(col(done) > 0, (col(total) - col(done)) * col(elapsed) / col(done))
