@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import durable, flat, mapped, mix, prefix_sums, slices, span_hashes
 
 #: Grams with more anchors than this are dealt by context instead of by gram.
-HOT = 512
-RUN_BYTES = 32 << 20
-BUCKET_BYTES = 6 << 20
+HOT = 8192
+RUN_BYTES = 20 << 20
+BUCKET_BYTES = 4 << 20
 MORE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
