@@ -231,6 +231,16 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(empty).count() == 0
 
 
+def test_embeddings_of_dense_groups_that_link(spark):
+    r = np.random.default_rng(5)
+    at = np.eye(24)[:3]
+    turn = lambda a: np.cos(np.radians(a)) * at[0] + np.sin(np.radians(a)) * at[1]
+    # Two groups eight degrees apart link with each other, but each vector's likest 149 lie in its own group; the third is far.
+    rows = [(150 * g + i, (c + 0.0006 * r.standard_normal(24)).tolist(), "x") for g, c in enumerate((turn(0), turn(8), at[2])) for i in range(150)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {(r.vec_id // 150, r.n_links, r.component_id) for r in got} == {(0, 299, 0), (1, 299, 0), (2, 149, 300)}
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces.load(vocabulary("piece_bpe_32k.model"), 8)
     p = np.random.default_rng(1).random((pieces.n + 2, 2)) * 1e-3

@@ -4,7 +4,9 @@ A neighbour graph over the vectors of each label starts from leaves of random-pr
 its neighbours, forward and reverse, together, and they learn of each other (neighbours of neighbours). Neighbours that meet at a
 hub are dealt into blocks, so no group outgrows a task. A list whose entries all pass the threshold is saturated: there may be more.
 It is enlarged to everything reachable through passing entries, and that closure is compared block by block, in double precision,
-as matrix products; a row is written per vector and block, never per pair. A bounded sample of vectors is compared with all
+as matrix products; a row is written per vector and block, never per pair. A link that lists of any length leave out has saturated
+lists at both ends, so each closure's saturated vectors get a ball around one of them, and closures whose balls come within the
+threshold's angle of each other are compared as one: nothing is cut, however large the groups are. A bounded sample of vectors is compared with all
 others to audit recall, and while it falls short the graph is refined further with longer lists.
 
 Equal vectors of one label are one node from the start. Defined results: a vector that is null, empty, zero or has null or
@@ -165,10 +167,54 @@ def _compare(threshold: float):
     return run
 
 
-def _closures(edges: DataFrame, nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+def _touching(threshold: float):
+    """A pair of blocks of balls: per ball the least one that it reaches here, each step between balls that a link may cross."""
+
+    def run(table: pa.Table) -> pa.Table:
+        roots = table.column("root").to_pylist()
+        radius = table.column("_radius").to_numpy()
+        m = _matrix(table.column("_centre").to_pylist(), "<f8")
+        near = np.arccos(np.clip(m @ m.T, -1, 1)) <= radius[:, None] + radius[None, :] + np.arccos(threshold) + 1e-6
+        order = np.array(sorted(range(len(roots)), key=roots.__getitem__))
+        label = np.argsort(order)
+        while True:
+            least = np.minimum(label, np.where(near, label[None, :], len(roots)).min(axis=1))
+            if (least == label).all():
+                break
+            label = least
+        return pa.table({"a": pa.array(roots, pa.binary()), "b": pa.array([roots[order[i]] for i in label], pa.binary())})
+
+    return run
+
+
+def _joined(closed: DataFrame, passing: DataFrame, nodes: DataFrame, threshold: float, most: int, block: int) -> DataFrame:
+    """closed (node, root) with closures made one where their saturated vectors may link."""
+
+    def angles(batches):
+        for batch in batches:
+            v, c = (batch.column(i).to_pylist() for i in (2, 3))
+            at = [float(np.arccos(np.clip(np.frombuffer(a, "<f8") @ np.frombuffer(b, "<f8"), -1, 1))) for a, b in zip(v, c, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(at, pa.float64())], names=["root", "_group", "_centre", "_radius"])
+
+    full = passing.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+    own = durable(full.join(closed, F.col("u") == F.col("node")).select("root", "node"), "saturated")
+    vectors = nodes.select(F.col("_k").alias("node"), "_group", "_v")
+    centres = own.groupBy("root").agg(F.min("node").alias("node")).join(vectors, "node").select("root", F.col("_v").alias("_centre"))
+    balls = mapped(own.join(vectors, "node").join(centres, "root").select("root", "_group", "_v", "_centre"), angles, "root binary, _group string, _centre binary, _radius double")
+    balls = durable(balls.groupBy("root").agg(F.first("_group").alias("_group"), F.first("_centre").alias("_centre"), F.max("_radius").alias("_radius")), "balls")
+    size = balls.groupBy("_group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    placed = balls.join(size, "_group").withColumn("_block", F.pmod(F.xxhash64("root"), F.col("_blocks")).cast("int"))
+    placed = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_lo", F.least("_block", "_with")).withColumn("_hi", F.greatest("_block", "_with"))
+    met = placed.select("_group", "_lo", "_hi", "root", "_centre", "_radius").groupBy("_group", "_lo", "_hi").applyInArrow(_touching(threshold), "a binary, b binary")
+    merged = components(met).select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    return closed.join(merged, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+
+
+def _closures(edges: DataFrame, nodes: DataFrame, threshold: float, block: int, most: int) -> DataFrame:
     """Per vector and pair of blocks of its closure: _k, _links, _root."""
     passing = edges.where(F.col("sim") >= threshold - 0.004)  # half precision may be off by that much
-    closed = components(passing.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    closed = durable(components(passing.select(F.col("u").alias("a"), F.col("v").alias("b"))), "closed")
+    closed = durable(_joined(closed, passing, nodes, threshold, most, block), "closed")
     size = closed.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     placed = closed.join(size, "root").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     placed = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_lo", F.least("_block", "_with")).withColumn("_hi", F.greatest("_block", "_with"))
@@ -223,7 +269,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     while True:
         for _ in range(rounds):
             edges = durable(_refined(edges, nodes, most), "graph")
-        found = _closures(edges, nodes, threshold, block)
+        found = _closures(edges, nodes, threshold, block, most)
         links = found.groupBy("_k").agg(F.sum("_links").alias("_links"))
         refined += 1
         if refined >= MOST_REFINED or audit(nodes, links, threshold, queries) >= WANTED:
