@@ -241,6 +241,26 @@ def test_embeddings_of_dense_groups_that_link(spark):
     assert {(r.vec_id // 150, r.n_links, r.component_id) for r in got} == {(0, 299, 0), (1, 299, 0), (2, 149, 300)}
 
 
+def test_embeddings_of_isolated_pairs(spark):
+    r = np.random.default_rng(6)
+    a = r.standard_normal((6000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = r.standard_normal((6000, 64))
+    b -= (b * a).sum(1)[:, None] * a
+    b = 0.981 * a + np.sqrt(1 - 0.981**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, b]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).where("n_links = 1").count()
+    assert got >= 0.995 * len(rows)
+
+
+def test_audit_counts_each_vector(spark):
+    # Copies with many links are all found, a pair is not.
+    rows = [(bytes([i]), "g", np.array([1.0, 0.02 * i / 40]).tobytes(), 1) for i in range(40)] + [(bytes([100 + i]), "g", np.array([0.0, 1.0]).tobytes(), 1) for i in range(2)]
+    nodes = spark.createDataFrame(rows, "_k binary, _group string, _v binary, _times long")
+    links = spark.createDataFrame([(bytes([i]), 39) for i in range(40)], "_k binary, _links long")
+    assert embedding_dedup.audit(nodes, links, 0.98, 500) == {1: 0.0, 6: 1.0}
+
+
 def test_forward_sums_all_segmentations():
     pieces = langid.Pieces.load(vocabulary("piece_bpe_32k.model"), 8)
     p = np.random.default_rng(1).random((pieces.n + 2, 2)) * 1e-3

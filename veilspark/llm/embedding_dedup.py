@@ -6,8 +6,12 @@ hub are dealt into blocks, so no group outgrows a task. A list whose entries all
 It is enlarged to everything reachable through passing entries, and that closure is compared block by block, in double precision,
 as matrix products; a row is written per vector and block, never per pair. A link that lists of any length leave out has saturated
 lists at both ends, so each closure's saturated vectors get a ball around one of them, and closures whose balls come within the
-threshold's angle of each other are compared as one: nothing is cut, however large the groups are. A bounded sample of vectors is compared with all
-others to audit recall, and while it falls short the graph is refined further with longer lists.
+threshold's angle of each other are compared as one: nothing is cut, however large the groups are.
+
+The trees are as many as a pair at the threshold needs to meet in one leaf, which grows with the logarithm of the largest label, and
+rounds go on until the lists hardly change. A bounded sample of vectors is compared with all others to audit recall, per vector and by
+number of links, so that large groups do not hide small ones; while it falls short, new trees and longer lists are added, and if it
+still falls short after MOST_REFINED passes the operator fails rather than give such a result.
 
 Equal vectors of one label are one node from the start. Defined results: a vector that is null, empty, zero or has null or
 non-finite components, or whose label is null, links with nothing and is its own component; repeated rows link with each other; a
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import components, durable, mapped
 
-#: Recall the audit asks for, and the refinements it may ask for before the figures stand as they are.
-WANTED, MOST_REFINED = 0.97, 4
+#: Recall the audit asks for in each stratum, the passes it may ask for before the operator fails, the share of new entries at which
+#: lists count as settled, and the share of pairs at the threshold that may meet in no leaf.
+WANTED, MOST_REFINED, SETTLED, MISSED = 0.97, 6, 0.001, 0.001
 
 
 def _units(rows: list, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +124,17 @@ def _planted(nodes: DataFrame, trees: int, leaf: int, most: int, seed: int) -> D
     return mapped(dealt.repartitionByRange("tree", "group", "code", "k").sortWithinPartitions("tree", "group", "code", "k"), leaves, EDGES)
 
 
+def trees_for(size: int, threshold: float, leaf: int) -> int:
+    """Trees after which all but a share MISSED of pairs at the threshold have met in a leaf, in a label of `size` vectors.
+
+    A random plane keeps such a pair together with probability 1 - angle / pi; about a third of pairs that share the bits of a leaf
+    are parted by its edges.
+    """
+    bits = max(0.0, np.log2(max(size, 1) / leaf))
+    met = 0.7 * (1 - np.arccos(threshold) / np.pi) ** (bits + 1)
+    return int(np.ceil(np.log(MISSED) / np.log(1 - met))) if size > leaf else 1
+
+
 def _lists(edges: DataFrame, most: int) -> DataFrame:
     """Each vector's `most` likest neighbours, as edges; lists of several tasks are merged from their best entries."""
     best = F.slice(F.sort_array(F.collect_set(F.struct("sim", "v")), asc=False), 1, most)
@@ -222,13 +238,16 @@ def _closures(edges: DataFrame, nodes: DataFrame, threshold: float, block: int,
     return durable(placed.groupBy("root", "_lo", "_hi").applyInArrow(_compare(threshold), "_k binary, _links long, _root binary"), "near")
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of a sample of vectors (`queries` at most, chosen by a hash) that was found."""
+def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int) -> dict[int, float]:
+    """Mean share of its own true links that a vector of a sample found, by the bit length of the number of its links.
+
+    The sample has `queries` vectors at most, chosen by a hash.
+    """
     n = nodes.count()
     # orderBy().limit() keeps the least of each task, so one row per query reaches the driver.
     sample = nodes.orderBy(F.xxhash64("_k"), "_k").limit(min(queries, n)).select("_k", "_group", "_v").collect()
     if not sample:
-        return 1.0
+        return {}
     by: dict[str, list] = {}
     for r in sample:
         by.setdefault(r["_group"], []).append((bytes(r["_k"]), bytes(r["_v"])))
@@ -249,8 +268,12 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.int64())], names=["_q", "_true"])
 
     true = mapped(nodes.select("_k", "_group", "_v", "_times"), run, "_q binary, _true long").groupBy("_q").agg(F.sum("_true").alias("_true"))
-    row = true.join(links, F.col("_q") == F.col("_k"), "left").agg(F.sum("_true"), F.sum(F.least("_true", F.coalesce("_links", F.lit(0))))).first()
-    return (row[1] or 0) / row[0] if row[0] else 1.0
+    # One row per query at most.
+    own = true.where("_true > 0").join(links, F.col("_q") == F.col("_k"), "left").select("_true", F.least("_true", F.coalesce("_links", F.lit(0))).alias("_found")).collect()
+    strata: dict[int, list[float]] = {}
+    for r in own:
+        strata.setdefault(int(r["_true"]).bit_length(), []).append(r["_found"] / r["_true"])
+    return {k: sum(x) / len(x) for k, x in sorted(strata.items())}
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", most: int = 8, trees: int = 4, leaf: int = 64, rounds: int = 1, block: int = 512, queries: int = 500) -> DataFrame:
@@ -264,17 +287,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
 
     nodes = rows.where("_k IS NOT NULL").groupBy("_k").agg(F.first("_group").alias("_group"), F.first("_v").alias("_v"), F.count("*").alias("_times"))
     nodes = durable(mapped(nodes, halved, "_k binary, _group string, _v binary, _times long, _h binary"), "nodes")
+    largest = nodes.groupBy("_group").count().agg(F.max("count")).first()[0] or 0
+    trees = max(trees, trees_for(largest, threshold, leaf))
     edges = durable(_lists(_planted(nodes, trees, leaf, most, 17), most), "graph")
     refined = 0
     while True:
-        for _ in range(rounds):
-            edges = durable(_refined(edges, nodes, most), "graph")
+        done = 0
+        while True:
+            before, edges = edges, durable(_refined(edges, nodes, most), "graph")
+            done += 1
+            if done >= rounds and edges.join(before, ["u", "v"], "left_anti").count() <= SETTLED * edges.count():
+                break
         found = _closures(edges, nodes, threshold, block, most)
         links = found.groupBy("_k").agg(F.sum("_links").alias("_links"))
         refined += 1
-        if refined >= MOST_REFINED or audit(nodes, links, threshold, queries) >= WANTED:
+        recall = audit(nodes, links, threshold, queries)
+        if min(recall.values(), default=1.0) >= WANTED:
             break
+        if refined >= MOST_REFINED:
+            raise RuntimeError(f"recall by bit length of the number of links is {recall} after {refined} passes; {WANTED} is asked for")
         most *= 2
+        edges = durable(_lists(edges.union(_planted(nodes, trees, leaf, most, 17 + 1000 * refined)), most), "graph")
     roots = components(found.select(F.col("_k").alias("a"), F.col("_root").alias("b")))
     info = nodes.select("_k", "_times").join(links, "_k", "left").join(roots, F.col("_k") == F.col("node"), "left")
     info = info.select(F.col("_k").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("_times") - 1).alias("_links"), F.coalesce("root", "_k").alias("_root"))
