@@ -216,6 +216,17 @@ def test_mixing(docs, none, spark):
     assert mixing.pfair_mix(none).count() == 0 and mixing.mixed_order(docs).columns == docs.columns
 
 
+def test_schedule_keeps_exact_weights():
+    many = {"big": 1_000_000 // 3, **{f"s{i:02}": 1_000_000 * 2 // 57 for i in range(19)}}
+    for rows, weights in (({"a": 400_000, "b": 800_000, "c": 900}, {"a": 1 / 3, "b": 2 / 3, "c": 0.0004}), (many, {s: n**0.7 for s, n in many.items()})):
+        planned = mixing.schedule(rows, weights, 32)
+        total, first = sum(weights.values()), {s: p[0][-1] for s, p in planned.items()}  # the phase before the first source is used up
+        assert max(x[-1] for x in first.values()) > 10_000
+        for s, slots in first.items():
+            share = weights[s] / total
+            assert all(-1.01 < i - t * share and i + 1 - (t + 1) * share < 1.01 for i, t in enumerate(slots))
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(0)
     centre = r.standard_normal((6, 16))

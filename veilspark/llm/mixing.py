@@ -2,9 +2,10 @@
 
 Each source's rows are cut into blocks. Block i of a source with weight w is released at slot floor(i / w) and due before slot
 ceil((i + 1) / w); earliest deadline first then fills every slot, and no source is ever a whole block away from its target share.
-Weights are rounded to q / PERIOD, so the schedule repeats after PERIOD slots: only one period is worked out, on the driver, and a
-block's slot follows from its number. When a source is used up, a new phase starts for the rest, their weights scaled up; a phase
-ends with exactly one source, so there are as many phases as sources. What reaches the driver is one count per source.
+Weights are rounded to q / period, and the period is PERIOD times the number of blocks, so that over all slots rounding shifts a
+source by a thousandth of a block at most. The driver works out the slot of every block, a number per `block` rows, which comes to
+the rows by a join. When a source is used up, a new phase starts for the rest, their weights scaled up; a phase ends with exactly one
+source, so there are as many phases as sources. What reaches the driver is one count per source.
 
 A row's number within its source comes from salted counts and windows over (source, salt), in the order of a hash, so a source
 with a third of all rows is spread over many tasks.
@@ -16,8 +17,9 @@ positive; repeated rows are separate rows; no rows give no rows; all columns are
 from __future__ import annotations
 
 import heapq
-from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ from pyspark.sql.window import Window
 from veilspark.llm.common import unclashing
 
 PERIOD = 1000
+#: Blocks whose slots are sent to every task; more come by a shuffle.
+SENT = 2_000_000
 
 
 def rounded(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -43,39 +47,39 @@ def rounded(weights: dict[str | None, float], period: int = PERIOD) -> dict[str
     return q
 
 
-def one_period(q: dict[str | None, int]) -> dict[str | None, list[int]]:
-    """The slot of each block of each source in one period, by earliest deadline first among released blocks."""
+def until_used_up(q: dict[str | None, int], left: dict[str | None, int]) -> dict[str | None, list[int]]:
+    """The slot of each block of each source, by earliest deadline first among released blocks, until a source has none left."""
     period, slots = sum(q.values()), {s: [] for s in q}
-    waiting = [(0, str(s), s, 0) for s in q]
+    waiting = [(0, str(s), s is None, s, 0) for s in q]
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
-            _, name, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (ceil((i + 1) * period / q[s]), name, s, i))
-        due, name, s, i = heapq.heappop(ready)
+            _, name, null, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * period // q[s]), name, null, s, i))
+        due, name, null, s, i = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a block missed its deadline")
         slots[s].append(t)
-        if i + 1 < q[s]:
-            heapq.heappush(waiting, ((i + 1) * period // q[s], name, s, i + 1))
-    return slots
+        if i + 1 == left[s]:
+            return slots
+        heapq.heappush(waiting, ((i + 1) * period // q[s], name, null, s, i + 1))
+        t += 1
 
 
 def schedule(rows: dict[str | None, int], weights: dict[str | None, float], block: int) -> dict[str | None, list[tuple]]:
-    """Per source its phases: (first block, blocks, first slot, q, period, rows missing before, slots of one period)."""
+    """Per source its phases: (first block, blocks, first slot, q, period, rows missing before, slots of its blocks)."""
     left = {s: -(-n // block) for s, n in rows.items() if n}
     done, out = dict.fromkeys(left, 0), {s: [] for s in left}
     base = missing = 0
     while left:
-        q = rounded({s: weights[s] for s in left})
-        slots, period = one_period(q), sum(q.values())
-        last = {s: (left[s] - 1) // q[s] * period + slots[s][(left[s] - 1) % q[s]] for s in left}
-        ends = min(last.values())
-        gone = next(s for s in left if last[s] == ends)
+        q = rounded({s: weights[s] for s in left}, PERIOD * sum(left.values()))
+        slots, period = until_used_up(q, left), sum(q.values())
+        gone = next(s for s in left if len(slots[s]) == left[s])
+        ends = slots[gone][-1]
         for s in left:
-            used = (ends // period) * q[s] + sum(t <= ends % period for t in slots[s])
-            if used:
+            if used := len(slots[s]):
                 out[s].append((done[s], used, base, q[s], period, missing, slots[s]))
             done[s] += used
             left[s] -= used
@@ -85,7 +89,7 @@ def schedule(rows: dict[str | None, int], weights: dict[str | None, float], bloc
     return out
 
 
-PHASES = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_phases", T.ArrayType(T.StructType([*[T.StructField(c, T.LongType()) for c in ("first", "blocks", "base", "q", "period", "missing")], T.StructField("slots", T.ArrayType(T.IntegerType()))])))])
+PHASES = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_index", T.LongType()), T.StructField("_phases", T.ArrayType(T.StructType([*[T.StructField(c, T.LongType()) for c in ("first", "blocks", "base", "q", "period", "missing")]])))])
 
 
 def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = 32, power: float = 0.7, source: str = "source", doc_id: str = "doc_id", text: str | None = "text", prefix: str = "mix") -> DataFrame:
@@ -100,7 +104,13 @@ def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     known = {s: weights[s] for s in counts if s in weights} if weights else {}
     target = {s: known.get(s, sum(known.values()) / len(known) if known else n**power) for s, n in counts.items()}
     # The table of phases has one row per source; without a hint, Spark broadcasts it only if it is small enough.
-    phases = spark.createDataFrame([(s, p) for s, p in schedule(counts, target, block).items()], PHASES)
+    planned = schedule(counts, target, block)
+    phases = spark.createDataFrame([(s, k, [x[:-1] for x in p]) for k, (s, p) in enumerate(planned.items())], PHASES)
+    slots = [(k, np.concatenate([np.array(x[-1], np.int64) + x[2] for x in p])) for k, p in enumerate(planned.values())]
+    total = sum(len(x) for _, x in slots)
+    numbered = pa.table({"_at": np.concatenate([np.full(len(x), k) for k, x in slots] or [np.zeros(0, np.int64)]), "_of": np.concatenate([np.arange(len(x)) for _, x in slots] or [np.zeros(0, np.int64)]), "_slot": np.concatenate([x for _, x in slots] or [np.zeros(0, np.int64)])})
+    timed = spark.createDataFrame(numbered)
+    timed = F.broadcast(timed) if total <= SENT else timed
     salts = max(64, sum(counts.values()) // 20_000)
     keyed = keyed.withColumn("_salt", F.pmod("_hash", F.lit(salts)).cast("int"))
     before = keyed.groupBy("_source", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -108,14 +118,14 @@ def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_salt").orderBy("_hash", doc_id)) - 1)
     found = ranked.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_t"))).withColumn("_row", F.col("_rank") + F.col("_before"))
     found = found.withColumn("_block", F.expr(f"_row div {block}")).withColumn("_p", F.expr("filter(_phases, p -> _block >= p.first AND _block < p.first + p.blocks)[0]"))
-    found = found.withColumn("_i", F.expr("_block - _p.first"))
+    found = found.withColumn("_i", F.expr("_block - _p.first")).join(timed, (F.col("_index") == F.col("_at")) & (F.col("_block") == F.col("_of")))
     return found.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.col("_block").cast("long").alias(f"{prefix}_block"),
-        (slot := F.expr("_p.base + (_i div _p.q) * _p.period + _p.slots[cast(_i % _p.q as int)]")).cast("long").alias(f"{prefix}_slot"),
+        F.col("_slot").cast("long").alias(f"{prefix}_slot"),
         F.expr("_p.base + (_i * _p.period) div _p.q").cast("long").alias(f"{prefix}_release"),
         F.expr("_p.base + ((_i + 1) * _p.period + _p.q - 1) div _p.q").cast("long").alias(f"{prefix}_deadline"),
-        (slot * block + F.expr(f"_row % {block}") - F.expr("_p.missing")).cast("long").alias(f"{prefix}_position"),
+        (F.col("_slot") * block + F.expr(f"_row % {block}") - F.expr("_p.missing")).cast("long").alias(f"{prefix}_position"),
     )
 
 
