@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
+from veilspark.llm import mixing, packing
 from veilspark.llm.queries import queries, vocabulary
 
 
@@ -28,5 +29,29 @@ def test_stages(spark, small, tmp_path):
         assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
 
 
+def test_sequences_follow_the_mix(spark):
+    # Sources differ in length, and one comes first by doc_id; weights 600**0.7 to 200**0.7.
+    rows = [(i, ("one two three " * (7 if i < 600 else 11)) + str(i), "en", "a" if i < 600 else "b", 1) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = packing.ordered_packing(mixing.pfair_mix(docs, block=4), vocabulary("byte_bpe_50k.tiktoken"), "mix_position", capacity=128, stretch=40).collect()
+    share = 600**0.7 / (600**0.7 + 200**0.7)
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append(r)
+    assert sorted(by) == list(range(len(by))) and len({r.doc_id for r in out}) == 800
+    for own in by.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 128
+    seen, total = 0, 0
+    for s in sorted(by):
+        seen, total = seen + len({r.doc_id for r in by[s] if r.doc_id < 600}), total + len({r.doc_id for r in by[s]})
+        if 40 <= total <= 400:  # before a source is used up: within a stretch and a block
+            assert abs(seen - total * share) <= 24
+    assert sorted(r.doc_id for r in corpus_pipeline.pack(spark, docs, "").collect()) == list(range(800))
+
+
 def test_names():
     assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11))

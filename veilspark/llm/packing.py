@@ -8,6 +8,9 @@ its patterns are taken. Pieces then find their place by rank within their length
 
 Ranks come from salted counts, so that a length that a third of all pieces share is no single task's work.
 
+Documents with a position are packed in stretches of consecutive positions, each by best fit on its own, so that sequences follow the
+order of the documents: stretches come one after another, and within one, earlier pieces of a length go to earlier sequences.
+
 Defined results: a null text counts as empty and is one piece of one token; repeated rows are packed once each; no rows give no
 rows. Columns beside doc_id and text are ignored.
 """
@@ -29,8 +32,12 @@ from veilspark.llm.tokens import Encoder, encoded
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Each document's ids and a closing 0, cut into pieces of capacity at most, the first one shorter if any is."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, text: str = "text", doc_id: str = "doc_id", position: str | None = None) -> DataFrame:
+    """Each document's ids and a closing 0, cut into pieces of capacity at most, the first one shorter if any is.
+
+    With a position, the pieces have it too.
+    """
+    more = ["position"] if position else []
 
     def run(batches):
         encoder = Encoder.load(vocabulary)
@@ -43,9 +50,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, text: str = "text",
                 rows += [(row, k, a, b - a, zlib.crc32(own[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             if rows:
                 row, k, a, n, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(a), pa.array(n), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(a), pa.array(n), pa.array(crc), *[batch.column(2).take(pa.array(row)) for _ in more]], names=["doc_id", "piece", "start", "length", "ids_crc32", *more])
 
-    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, PIECES)
+    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(position).cast("long").alias(c) for c in more]), run, PIECES + ", position long" * len(more))
 
 
 Pattern = tuple[tuple[int, int], ...]
@@ -176,3 +183,45 @@ def pack(cut: DataFrame, capacity: int, rounds: int = 120) -> DataFrame:
 def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(durable(pieces(docs, vocabulary, capacity), "pieces"), capacity)
+
+
+def pack_stretch(cut: pa.Table, capacity: int) -> pa.Table:
+    """The pieces of a stretch, which have their position, with sequence_id from 0 and offset."""
+    cut = cut.sort_by([("position", "ascending"), ("piece", "ascending")])
+    length = cut.column("length").to_numpy()
+    by: dict[int, list[int]] = {}
+    for i, n in enumerate(length.tolist()):
+        by.setdefault(n, []).append(i)
+    used = dict.fromkeys(by, 0)
+    sequences: list[list[int]] = []
+    # The uses of a pattern are spread evenly over the stretch, so that early pieces of a length go to early sequences.
+    times = sorted(((j + 0.5) / n, pattern) for pattern, n in best_fit({n: len(x) for n, x in by.items()}, capacity).items() for j in range(n))
+    for _, pattern in times:
+        own = []
+        for n, k in pattern:
+            own += by[n][used[n] : used[n] + k]
+            used[n] += k
+        sequences.append(own)
+    sequences.sort(key=lambda own: sum(own) / len(own))
+    sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    for s, own in enumerate(sequences):
+        at = 0
+        for i in own:
+            sequence[i], offset[i] = s, at
+            at += int(length[i])
+    return cut.select(["_stretch", "doc_id", "piece", "start", "length", "ids_crc32"]).append_column("_sequence", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+
+def ordered_packing(docs: DataFrame, vocabulary: str, position: str, capacity: int = 2048, stretch: int = 4096) -> DataFrame:
+    """As best_fit_packing, with sequences in the order of the documents' positions; `stretch` documents are packed together."""
+    cut = pieces(docs, vocabulary, capacity, position=position).withColumn("_stretch", F.expr(f"position div {stretch}"))
+    packed = cut.groupBy("_stretch").applyInArrow(lambda own: pack_stretch(own, capacity), f"_stretch long, {PIECES}, _sequence long, offset long")
+    packed = durable(packed, "stretches")
+    # One row per stretch.
+    sizes = sorted((r[0], r[1]) for r in packed.groupBy("_stretch").agg(F.max("_sequence") + 1).collect())
+    firsts, first = [], 0
+    for k, n in sizes:
+        firsts.append((k, first))
+        first += n
+    before = cut.sparkSession.createDataFrame(firsts, "_k long, _first long")
+    return packed.join(F.broadcast(before), F.col("_stretch") == F.col("_k")).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_sequence")).alias("sequence_id"), "offset")
