@@ -1,6 +1,7 @@
 """Best-fit packing of token pieces into sequences of a fixed length.
 
-The lengths make a histogram with at most `capacity` entries, however large the corpus. On it the configuration linear program
+The lengths make a histogram with at most `capacity` entries, however large the corpus, and best fit works on it. On corpora of many
+lengths that is the method: the rounds of the following are too few to cover them all. On it the configuration linear program too
 (cover every length's count with as few sequence patterns as possible) is solved by multiplicative weights: lengths still badly
 covered weigh more, a knapsack dynamic program finds the pattern of most weight, and that pattern is used more. The solution is
 rounded down and the rest is packed by best fit, still on the histogram. If plain best fit over everything needs fewer sequences,
