@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place there; sequences follow the mix, whose positions are worked out again from the same rows."""
     mixed = mixing.pfair_mix(docs.select("doc_id", "source", "text"))
-    return packing.ordered_packing(mixed, vocabulary("byte_bpe_50k.tiktoken"), "mix_position")
+    return packing.ordered_packing(mixed, vocabulary("byte_bpe_50k.json"), "mix_position")
 
 
 STAGES = [("language ID", language_id), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixing", mix_sources), ("packing", pack)]

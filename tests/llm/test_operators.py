@@ -58,10 +58,9 @@ def test_tokens_equal_tokenizer():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     parts = ["a", "Zb", "é", "ß", "×", "'s", "'ll", " ", "  ", "\n", "\n\n", "\t", ".", "!!", "42", " ", "日本", "\x1c", "\x85", "😀", "the", "don't", "<|endoftext|>", "_", "\x00", "\r\n"]
     texts = ["".join(R.choice(parts) for _ in range(R.randint(0, 25))) for _ in range(500)] + [t or "" for t in TEXTS]
-    encoder = tokens.Encoder(vocabulary("byte_bpe_50k.tiktoken"), bits=8)  # a small cache is cleared on the way
+    encoder = tokens.Encoder(vocabulary("byte_bpe_50k.json"), bits=8)  # a small cache is cleared on the way
     assert [ids.tolist() for _, ids in tokens.encoded(pa.array(texts), encoder)] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -69,7 +68,7 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    got = packing.best_fit_packing(docs, vocabulary("byte_bpe_50k.tiktoken"), 128).collect()
+    got = packing.best_fit_packing(docs, vocabulary("byte_bpe_50k.json"), 128).collect()
     want = Counter()
     for r in rows():
         ids = whole.encode(r[1] or "", add_special_tokens=False).ids + [0]
@@ -88,7 +87,7 @@ def test_packing(docs, none):
             at += length
         assert at <= 128
     assert len(by) <= 1.03 * sum(r.length for r in got) / 128 + 1  # a bound that no packing need reach
-    assert packing.best_fit_packing(none, vocabulary("byte_bpe_50k.tiktoken")).count() == 0
+    assert packing.best_fit_packing(none, vocabulary("byte_bpe_50k.json")).count() == 0
 
 
 def test_packing_patterns_hold_the_counts():
@@ -96,13 +95,25 @@ def test_packing_patterns_hold_the_counts():
         r = random.Random(seed)
         counts = Counter(r.choice((r.randint(1, 100), 33, 50, 100)) for _ in range(400))
         found = Counter()
-        for pattern, n in packing.solve(dict(counts), 100, rounds=60).items():
+        for pattern, n in packing.solve(dict(counts), 100).patterns.items():
             assert sum(a * k for a, k in pattern) <= 100
             for a, k in pattern:
                 found[a] += n * k
         assert found == counts
 
 
+def test_packing_comes_from_the_program():
+    # The lengths of a corpus: most pieces are full or of medium length, a few are short.
+    r = random.Random(2)
+    counts = Counter(min(1024, 1 + int(r.lognormvariate(5.5, 0.9))) for _ in range(8000))
+    found = packing.solve(dict(counts), 1024)
+    assert found.lp_pieces >= found.pieces / 2 and found.pieces == sum(counts.values())
+    assert sum(a * n for a, n in counts.items()) / 1024 <= found.bound <= sum(found.patterns.values()) <= sum(packing.best_fit(dict(counts), 1024).values())
+    # Where nothing fits beside the longest, the bound is above the tokens' share.
+    found = packing.solve({700: 3000, 300: 10}, 1024)
+    assert found.bound > 2900 and sum(found.patterns.values()) == 3000 and found.lp_pieces > 1500
+
+
 def test_rules_statistics(docs, none):
     got = quality_rules.judge(docs, [(("capitals", ">=", 0.5),)]).collect()
     assert len(got) == len(rows()) and quality_rules.judge(none, []).count() == 0

@@ -33,7 +33,7 @@ def test_sequences_follow_the_mix(spark):
     # Sources differ in length, and one comes first by doc_id; weights 600**0.7 to 200**0.7.
     rows = [(i, ("one two three " * (7 if i < 600 else 11)) + str(i), "en", "a" if i < 600 else "b", 1) for i in range(800)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    out = packing.ordered_packing(mixing.pfair_mix(docs, block=4), vocabulary("byte_bpe_50k.tiktoken"), "mix_position", capacity=128, stretch=40).collect()
+    out = packing.ordered_packing(mixing.pfair_mix(docs, block=4), vocabulary("byte_bpe_50k.json"), "mix_position", capacity=128, stretch=40).collect()
     share = 600**0.7 / (600**0.7 + 200**0.7)
     by = {}
     for r in out:

@@ -1,16 +1,18 @@
 """Best-fit packing of token pieces into sequences of a fixed length.
 
-The lengths make a histogram with at most `capacity` entries, however large the corpus, and best fit works on it. On corpora of many
-lengths that is the method: the rounds of the following are too few to cover them all. On it the configuration linear program too
-(cover every length's count with as few sequence patterns as possible) is solved by multiplicative weights: lengths still badly
-covered weigh more, a knapsack dynamic program finds the pattern of most weight, and that pattern is used more. The solution is
-rounded down and the rest is packed by best fit, still on the histogram. If plain best fit over everything needs fewer sequences,
-its patterns are taken. Pieces then find their place by rank within their length, all in Spark.
+The lengths make a histogram with at most `capacity` entries, however large the corpus. On it a configuration linear program (cover
+every length's count with as few sequence patterns as possible) is solved by multiplicative weights: a length's price is its share
+of a sequence, times a factor that grows while it is covered less than the solution as a whole; a knapsack dynamic program over the
+prices finds the next pattern, which is used in a step of bounded width, until every length is covered. Most rounds price the least
+covered lengths and a random part of the others, some price all; those give the dual bound. The solution is then rounded: patterns
+in the order in which they were found, as often as there are pieces for them. What is left, with the shortest pieces, which the
+program is not offered, is packed by best fit on the histogram. If plain best fit over everything needs fewer sequences, as it may
+where most lengths occur once or twice, its patterns are taken. Pieces then find their place by rank within their length, all in Spark.
 
 Ranks come from salted counts, so that a length that a third of all pieces share is no single task's work.
 
-Documents with a position are packed in stretches of consecutive positions, each by best fit on its own, so that sequences follow the
-order of the documents: stretches come one after another, and within one, earlier pieces of a length go to earlier sequences.
+Documents with a position are packed in stretches of consecutive positions, each by the same method on its own, so that sequences
+follow the order of the documents: stretches come one after another, and within one, earlier pieces of a length go to earlier sequences.
 
 Defined results: a null text counts as empty and is one piece of one token; repeated rows are packed once each; no rows give no
 rows. Columns beside doc_id and text are ignored.
@@ -19,6 +21,7 @@ rows. Columns beside doc_id and text are ignored.
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -94,56 +97,99 @@ def best_fit(counts: dict[int, int], capacity: int) -> dict[Pattern, int]:
     return done
 
 
-def knapsack(lengths: np.ndarray, weight: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern of most weight: dynamic programming over capacities; times above `most` are cut down afterwards."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        best[c] = best[c - 1]
-        if k:
-            value = best[c - lengths[:k]] + weight[:k]
-            i = int(np.argmax(value))
-            if value[i] > best[c]:
-                best[c], choice[c] = value[i], i
-    pattern: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        pattern[int(choice[c])] = pattern.get(int(choice[c]), 0) + 1
-        c -= int(lengths[choice[c]])
-    return {i: min(n, int(most[i])) for i, n in pattern.items()}
-
-
-def solve(counts: dict[int, int], capacity: int, rounds: int = 120, rate: float = 0.3) -> dict[Pattern, int]:
-    """Patterns and how often each is used; together they hold exactly the counts."""
+@dataclass
+class Solution:
+    """patterns and how often each is used; of their pieces those placed by patterns of the linear program; its value and dual bound."""
+
+    patterns: dict[Pattern, int]
+    pieces: int = 0
+    lp_pieces: int = 0
+    lp_value: float = 0.0
+    bound: float = 0.0
+    rounds: int = field(default=0, compare=False)
+
+
+def knapsack(lengths: np.ndarray, price: np.ndarray, most: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Times of each length in the pattern of highest price, none above `most`, and that price.
+
+    Dynamic programming over capacities, item by item; an item's times are made of powers of two and a rest.
+    """
+    best, parts = np.zeros(capacity + 1), []
+    for i, (length, value, left) in enumerate(zip(lengths.tolist(), price.tolist(), np.minimum(most, capacity // lengths).tolist(), strict=True)):
+        k = 1
+        while left:
+            k = min(k, left)
+            w = k * length
+            with_it = best[:-w] + k * value
+            parts.append((i, k, w, with_it > best[w:]))
+            np.maximum(best[w:], with_it, out=best[w:])
+            left -= k
+            k *= 2
+    times, c = np.zeros(len(lengths), np.int64), capacity
+    for i, k, w, taken in reversed(parts):
+        if c >= w and taken[c - w]:
+            times[i] += k
+            c -= w
+    return times, float(best[capacity])
+
+
+def configurations(counts: dict[int, int], capacity: int, width: float, rate: float, priced: int) -> tuple[list[tuple[Pattern, int]], float, float, int]:
+    """The covering program over patterns: (pattern, times) in the order found, its value, a lower bound of it, and rounds."""
+    lengths = np.array(sorted(counts, reverse=True), np.int64)
+    need = np.array([counts[x] for x in lengths.tolist()], np.int64)
+    share, covered, draw = lengths / capacity, np.zeros(len(need)), np.random.default_rng(1)
+    floor, value, found, rounds = float(share @ need), 0.0, {}, 0
+    bound = floor
+    while (part := covered / need).min() < 1:
+        # Weights of lengths that lag behind grow by rate per whole cover, those of lengths ahead shrink; the more so, the further the
+        # program is from its bound.
+        over = max(0.0, value / floor - 1)
+        price = share * np.exp(np.clip(rate * (1 + 1000 * over) * (value / floor - part), -30, 30))
+        every = rounds % 500 == 0
+        if every or len(lengths) <= priced:
+            own = np.arange(len(lengths))
+        else:
+            own = np.unique(np.concatenate([np.argpartition(part, 3 * priced // 4)[: 3 * priced // 4], draw.integers(0, len(lengths), priced // 4)]))
+        times, top = knapsack(lengths[own], price[own], need[own], capacity)
+        if every:
+            bound = max(bound, float(price @ need) / top)
+        at = np.flatnonzero(times)
+        own, times = own[at], times[at]
+        step = max(1, int(width * (need[own] // times).min()))
+        covered[own] += step * times
+        value += step
+        rounds += 1
+        pattern = tuple(zip(lengths[own].tolist(), times.tolist(), strict=True))
+        found[pattern] = found.get(pattern, 0) + step
+    return list(found.items()), value, bound, rounds
+
+
+def solve(counts: dict[int, int], capacity: int, width: float = 0.1, rate: float = 0.02, priced: int = 160, short: int = 32) -> Solution:
+    """Patterns that together hold exactly the counts. Pieces of up to 1 / short of the capacity are kept for filling up what is left."""
     if not counts:
-        return {}
-    lengths = np.array(sorted(counts), np.int64)
-    need = np.array([counts[x] for x in lengths], float)
-    covered, uses = np.zeros(len(need)), {}
-    for _ in range(rounds):
-        y = np.exp(-rate * rounds * (covered / need - (covered / need).min()) / 4) / need
-        own = knapsack(lengths, y, need, capacity)
-        at, times = np.fromiter(own, int), np.fromiter(own.values(), float)
-        step = (need[at] / times).min() / 4
-        covered[at] += step * times
-        key = tuple((int(lengths[i]), n) for i, n in sorted(own.items(), reverse=True))
-        uses[key] = uses.get(key, 0.0) + step
-        if (covered / need).min() >= 1:
-            break
-    left, out = dict(counts), {}
-    for pattern, x in sorted(uses.items(), key=lambda p: (sum(a * n for a, n in p[0]) < capacity, -p[1])):
-        times = min(int(x), *(left[a] // n for a, n in pattern))
-        if times and sum(a * n for a, n in pattern) >= capacity - 1:
-            out[pattern] = times
-            for a, n in pattern:
-                left[a] -= times * n
-    for pattern, n in best_fit({a: n for a, n in left.items() if n}, capacity).items():
-        out[pattern] = out.get(pattern, 0) + n
-    plain = best_fit(counts, capacity)
-    return out if sum(out.values()) <= sum(plain.values()) else plain
+        return Solution({})
+    offered = {a: n for a, n in counts.items() if a * short > capacity}
+    found, value, bound, rounds = configurations(offered, capacity, width, rate, priced) if offered else ([], 0.0, 0.0, 0)
+    bound, best = max(bound, sum(a * n for a, n in counts.items()) / capacity), None
+    # Rounded twice: with all patterns, and without those with room to spare, whose pieces best fit may know better places for.
+    for least in (0, capacity):
+        left, out, placed = dict(counts), {}, 0
+        for pattern, x in found:
+            times = min(x, *(left[a] // n for a, n in pattern))
+            if times and sum(a * n for a, n in pattern) >= least:
+                out[pattern] = times
+                placed += times * sum(n for _, n in pattern)
+                for a, n in pattern:
+                    left[a] -= times * n
+        for pattern, n in best_fit({a: n for a, n in left.items() if n}, capacity).items():
+            out[pattern] = out.get(pattern, 0) + n
+        if best is None or (sum(out.values()), -placed) < (sum(best[0].values()), -best[1]):
+            best = out, placed
+    out, placed = best
+    plain, pieces = best_fit(counts, capacity), sum(counts.values())
+    if sum(plain.values()) < sum(out.values()):
+        return Solution(plain, pieces, 0, value, bound, rounds)
+    return Solution(out, pieces, placed, value, bound, rounds)
 
 
 def places(patterns: dict[Pattern, int]) -> list[tuple]:
@@ -164,7 +210,7 @@ def places(patterns: dict[Pattern, int]) -> list[tuple]:
 SLOTS = T.StructType([T.StructField("_length", T.LongType()), T.StructField("_slots", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("first", "n", "sequence", "times", "offset")])))])
 
 
-def pack(cut: DataFrame, capacity: int, rounds: int = 120) -> DataFrame:
+def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """cut (as `pieces` gives it, durable) with sequence_id and offset."""
     spark = cut.sparkSession
     # The salt depends on the piece alone; a hot length meets at most its share of one salt in a task.
@@ -172,7 +218,7 @@ def pack(cut: DataFrame, capacity: int, rounds: int = 120) -> DataFrame:
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counted = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.createDataFrame(places(solve(histogram, capacity, rounds)), SLOTS)
+    slots = spark.createDataFrame(places(solve(histogram, capacity).patterns), SLOTS)
     before = counted.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), "_before")
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
@@ -196,7 +242,7 @@ def pack_stretch(cut: pa.Table, capacity: int) -> pa.Table:
     used = dict.fromkeys(by, 0)
     sequences: list[list[int]] = []
     # The uses of a pattern are spread evenly over the stretch, so that early pieces of a length go to early sequences.
-    times = sorted(((j + 0.5) / n, pattern) for pattern, n in best_fit({n: len(x) for n, x in by.items()}, capacity).items() for j in range(n))
+    times = sorted(((j + 0.5) / n, pattern) for pattern, n in solve({n: len(x) for n, x in by.items()}, capacity).patterns.items() for j in range(n))
     for _, pattern in times:
         own = []
         for n, k in pattern:
@@ -213,7 +259,7 @@ def pack_stretch(cut: pa.Table, capacity: int) -> pa.Table:
     return cut.select(["_stretch", "doc_id", "piece", "start", "length", "ids_crc32"]).append_column("_sequence", pa.array(sequence)).append_column("offset", pa.array(offset))
 
 
-def ordered_packing(docs: DataFrame, vocabulary: str, position: str, capacity: int = 2048, stretch: int = 4096) -> DataFrame:
+def ordered_packing(docs: DataFrame, vocabulary: str, position: str, capacity: int = 2048, stretch: int = 16384) -> DataFrame:
     """As best_fit_packing, with sequences in the order of the documents' positions; `stretch` documents are packed together."""
     cut = pieces(docs, vocabulary, capacity, position=position).withColumn("_stretch", F.expr(f"position div {stretch}"))
     packed = cut.groupBy("_stretch").applyInArrow(lambda own: pack_stretch(own, capacity), f"_stretch long, {PIECES}, _sequence long, offset long")

@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.best_fit_packing(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

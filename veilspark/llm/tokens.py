@@ -2,12 +2,13 @@
 
 Such a tokenizer first parts a text into pretokens and then merges bytes inside each. Here the text is parted only where every
 reading of the pretoken pattern has a border, all in vector operations over the bytes; the ids of each chunk come from a
-direct-mapped cache of fixed size, and chunks that are not in it are encoded together in one call.
+direct-mapped cache of fixed size, and chunks that are not in it are encoded together in one call. Strings of added tokens, such as
+the end of a text, part a text before that, and each is one id, as the vocabulary file says.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 
 import numpy as np
@@ -59,7 +60,14 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(i) for a, i in map(bytes.split, open(path, "rb"))}
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        # The file shows a printable byte as itself, and the others as the characters from U+0100 on.
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(c): c for c in printable} | {chr(0x100 + k): c for k, c in enumerate(sorted(set(range(256)) - set(printable)))}
+        self.added = {t["content"].encode(): t["id"] for t in model["added_tokens"]}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["model"]["vocab"].items() if t.encode() not in self.added}
+        self.part = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.encoding = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.newline = self.encoding.encode_ordinary("\n")[0]
         self.bits, self.most = bits, 8 << bits
@@ -141,6 +149,22 @@ def encoded(column, encoder: Encoder):
     """(row, ids) of each text of an Arrow column, in order."""
     data, offsets = flat(column)
     for i, j in slices(offsets):
-        ids, at = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        b, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        # Added tokens never cross texts: a match counts if it ends in the text where it starts.
+        found = [(*m.span(), encoder.added[m[0]]) for m in encoder.part.finditer(b.tobytes())] if encoder.part else []
+        found = [x for x in found if np.searchsorted(own, x[0], side="right") == np.searchsorted(own, x[1], side="left")]
+        if not found:
+            ids, at = encoder.encode(b, own)
+        else:
+            cuts = np.unique(np.concatenate([own, [x for a, e, _ in found for x in (a, e)]]))
+            ids, at = encoder.encode(b, cuts)
+            # The ids of an added token's own stretch give way to its id.
+            whole = np.ones(len(ids), bool)
+            for a, _, token in found:
+                k = int(np.searchsorted(cuts, a))
+                ids[at[k]] = token
+                whole[at[k] + 1 : at[k + 1]] = False
+            at = np.concatenate([[0], np.cumsum(whole)])[at][np.searchsorted(cuts, own)]
+            ids = ids[whole]
         for row in range(i, j):
             yield row, ids[at[row - i] : at[row - i + 1]]
