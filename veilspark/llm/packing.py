@@ -171,16 +171,19 @@ def solve(counts: dict[int, int], capacity: int, width: float = 0.1, rate: float
     offered = {a: n for a, n in counts.items() if a * short > capacity}
     found, value, bound, rounds = configurations(offered, capacity, width, rate, priced) if offered else ([], 0.0, 0.0, 0)
     bound, best = max(bound, sum(a * n for a, n in counts.items()) / capacity), None
-    # Rounded twice: with all patterns, and without those with room to spare, whose pieces best fit may know better places for.
+    # Rounded twice: with all patterns, what is used up taken out of them, and without those with room to spare, whose pieces best fit
+    # may know better places for.
     for least in (0, capacity):
         left, out, placed = dict(counts), {}, 0
         for pattern, x in found:
-            times = min(x, *(left[a] // n for a, n in pattern))
-            if times and sum(a * n for a, n in pattern) >= least:
-                out[pattern] = times
-                placed += times * sum(n for _, n in pattern)
-                for a, n in pattern:
-                    left[a] -= times * n
+            while x and pattern and sum(a * n for a, n in pattern) >= least:
+                if times := min(x, *(left[a] // n for a, n in pattern)):
+                    out[pattern] = out.get(pattern, 0) + times
+                    placed += times * sum(n for _, n in pattern)
+                    for a, n in pattern:
+                        left[a] -= times * n
+                    x -= times
+                pattern = tuple((a, min(n, left[a])) for a, n in pattern if left[a])
         for pattern, n in best_fit({a: n for a, n in left.items() if n}, capacity).items():
             out[pattern] = out.get(pattern, 0) + n
         if best is None or (sum(out.values()), -placed) < (sum(best[0].values()), -best[1]):
