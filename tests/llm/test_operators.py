@@ -149,14 +149,38 @@ def brute_repeats(texts, size):
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 2])
-def test_suffix_dedup(docs, none, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def test_suffix_dedup(docs, none):
     got = suffix_dedup.remove_repeats(docs).collect()
     want = brute_repeats([r[1] for r in rows()], 200)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((r[0], *w) for r, w in zip(rows(), want))
-    if hot > 2:
-        assert suffix_dedup.remove_repeats(none).count() == 0
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_suffix_dedup_of_common_passages(spark):
+    # Passages just short of the size stand in many texts between other words: few windows repeat, and those only in part.
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passages = [noise(n) for n in (60, 120, 170, 190, 199, 215, 230, 400)]
+    texts = []
+    for i in range(600):
+        own = r.choice(passages)
+        cut = r.randint(0, 30) if i % 3 else 0
+        texts.append(noise(r.randint(0, 120)) + own[cut : len(own) - (r.randint(0, 20) if i % 5 == 0 else 0)] + noise(r.randint(0, 120)))
+    texts += ["x" * 450, "xy" * 150, texts[7], texts[7] + "é", "é" + texts[8]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 200)))
+
+
+def test_suffix_dedup_of_a_gram_in_many_contexts(spark):
+    # One gram in 20,000 contexts, of which few are equal: the words around it come from a few letters, so cores are shared, too.
+    r = random.Random(9)
+    gram = "".join(r.choice("0123456789") for _ in range(60))
+    texts = ["".join(r.choice(["lorem ", "ipsum ", "dolor "]) for _ in range(14)) + str(r.randint(0, 10**6)) + gram + str(r.randint(0, 10**6)) + "".join(r.choice(["sit ", "amet "]) for _ in range(16)) for _ in range(20_000)]
+    texts += texts[:40]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 200)))
 
 
 def test_loser_tree():

@@ -5,12 +5,16 @@ Sorting every suffix of a large corpus is out of reach, and suffixes that cannot
 1. Winnowing marks anchors: of the k-byte grams in each window of `size` bytes the one with the least hash. Equal windows mark the
    same place, so a window can only repeat if its anchor's gram does. Each anchor stands for a run of consecutive windows; the bytes
    that they cover are its context. Anchors whose gram occurs once are dropped by a pre-aggregated count.
-2. The contexts of the anchors that are left are the suffixes to sort. Each task sorts its own into runs, in which equal suffixes
-   collapse, writes them front-coded (the length of the prefix shared with the one before, and the rest), and deals them to buckets.
-3. In a bucket a loser tree merges the runs. Every head knows its common prefix with the suffix last put out, so that of two heads
-   the one with the longer such prefix is smaller without a look at a byte, and equal prefixes are never compared again.
-4. Equal suffixes are repeats. Contexts that share a gram without being equal are resolved window by window, in the bucket where
-   a gram has few of them, and otherwise by a pre-aggregated count of window fingerprints, so that no gram's contexts need fit a task.
+2. A context that occurs again as a whole is one suffix to sort. Of one that does not, though its gram occurs in other contexts, the
+   windows are told apart by their distance from the gram, first in stretches of SPAN: all windows of a stretch share a core of bytes
+   around the gram, and those whose core occurs once are dropped. A stretch that occurs again as a whole is a suffix, and of the
+   rest the single windows whose fingerprint occurs again. Every step is a pre-aggregated count, so however many contexts a gram
+   has, none of them meet in a task.
+3. The suffixes are sorted in each task into runs, in which equal ones collapse, written front-coded (the length of the prefix
+   shared with the one before, and the rest), and dealt to buckets by their fingerprint.
+4. In a bucket a loser tree merges the runs. Every head knows its common prefix with the suffix last put out, so that of two heads
+   the one with the longer such prefix is smaller without a look at a byte, and equal prefixes are never compared again. Equal
+   suffixes are repeats: fingerprints only propose, bytes decide.
 
 Texts are UTF-8 bytes; matches never cross texts. Defined results: null text counts as empty, texts shorter than `size` keep
 everything, repeated rows are copies of each other, no rows give no rows, a null doc_id stays null; other columns are ignored.
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import durable, flat, mapped, mix, prefix_sums, slices, span_hashes
 
-#: Grams with more anchors than this are dealt by context instead of by gram.
-HOT = 8192
+#: Windows in a stretch.
+SPAN = 16
 RUN_BYTES = 20 << 20
 BUCKET_BYTES = 4 << 20
 MORE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -69,6 +73,15 @@ def anchors(b: np.ndarray, offsets: np.ndarray, size: int, k: int) -> tuple[np.n
     return own, gram[x], context, lo - offsets[own], many, x - lo
 
 
+def packed(lo: np.ndarray, many: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Windows as one number each: the first one, how many less one, and the distance from the first to the anchor's gram."""
+    return (lo << 16) | ((many - 1) << 8) | place
+
+
+def unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return p >> 16, ((p >> 8) & 255) + 1, p & 255
+
+
 def _anchored(keyed: DataFrame, size: int, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -76,15 +89,15 @@ def _anchored(keyed: DataFrame, size: int, k: int) -> DataFrame:
             for i, j in slices(offsets):
                 own = offsets[i : j + 1] - offsets[i]
                 b = data[offsets[i] : offsets[j]]
-                row, gram, context, lo, many, _ = anchors(b, own, size, k)
+                row, gram, context, lo, many, place = anchors(b, own, size, k)
                 cut = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cut, pa.array(c)) for c in (gram.view(np.int64), context.view(np.int64), lo.astype(np.int32), many.astype(np.int32))]
+                lists = [pa.ListArray.from_arrays(cut, pa.array(c)) for c in (gram.view(np.int64), context.view(np.int64), packed(lo, many, place))]
                 raw = b.tobytes()
                 sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(own.tolist(), own[1:].tolist(), strict=False)]
                 head = [batch.column(c).slice(i, j - i) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(np.diff(own)), pa.array(sha, pa.string()), *lists], names=["doc_id", "_a", "_b", "_bytes", "_sha", "g", "c", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([*head, pa.array(np.diff(own)), pa.array(sha, pa.string()), *lists], names=["doc_id", "_a", "_b", "_bytes", "_sha", "g", "c", "p"])
 
-    return mapped(keyed.select("doc_id", "_a", "_b", "_text"), run, "doc_id long, _a long, _b long, _bytes long, _sha string, g array<long>, c array<long>, lo array<int>, n array<int>")
+    return mapped(keyed.select("doc_id", "_a", "_b", "_text"), run, "doc_id long, _a long, _b long, _bytes long, _sha string, g array<long>, c array<long>, p array<long>")
 
 
 def _squeezed(keyed: DataFrame) -> DataFrame:
@@ -191,19 +204,76 @@ def decoded(shared: np.ndarray, size: np.ndarray, rest: bytes) -> tuple[list[byt
     return keys, lcps
 
 
+def stretches(b: np.ndarray, lo: np.ndarray, many: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Core hash, hash, first window and number of windows of each stretch of the anchors' windows, cut at multiples of SPAN from the gram."""
+    sums = prefix_sums(b)
+    first, last = (place - many + 1) // SPAN, place // SPAN
+    count = last - first + 1
+    of = np.repeat(np.arange(len(lo)), count)
+    j = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    # Any window of the stretch holds the whole core, so the core lies in the text even if other windows of the stretch do not.
+    last_start = (lo + place)[of] - SPAN * j
+    start, end = np.maximum(last_start - SPAN + 1, lo[of]), np.minimum(last_start, (lo + many - 1)[of])
+    core = mix(span_hashes(sums, last_start, last_start - SPAN + 1 + size) + j.astype(np.uint64))
+    whole = mix(span_hashes(sums, start, end + size) + (last_start - start).astype(np.uint64))
+    return core, whole, start, end - start + 1
+
+
+def windows(b: np.ndarray, lo: np.ndarray, many: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Hash (twice), first window and number (1) of each window of the stretches."""
+    sums = prefix_sums(b)
+    start = np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    h = span_hashes(sums, start, start + size)
+    return h, h, start, np.ones(len(start), np.int64)
+
+
+def _parts(opened: DataFrame, cut, size: int) -> DataFrame:
+    """cut (stretches or windows) of the windows in `_own` of each text: _a, _b, g, c, p."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for a, b, z, own in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                lo, many, place = unpacked(np.array(own, np.int64))
+                core, whole, start, n = cut(np.frombuffer(_opened(z), np.uint8), lo, many, place, size)
+                out.append((np.full(len(core), a), np.full(len(core), b), core.view(np.int64), whole.view(np.int64), packed(start, n, np.zeros(len(n), np.int64))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["_a", "_b", "g", "c", "p"])
+
+    return mapped(opened.select("_a", "_b", "_z", "_own"), run, "_a long, _b long, g long, c long, p long")
+
+
+def _again(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of parts (_a, _b, g, c, p) those whose c occurs again, and the others whose g does, with one of each such c beside them.
+
+    Both tables of keys are written before they are joined: a join of two plain shuffles is one that Spark splits where a key is hot.
+    """
+    grams = durable(parts.groupBy("g").agg(F.count("*").alias("_times"), (F.min("c") != F.max("c")).alias("_varied")).where("_times > 1").select(F.col("g").alias("_g"), "_varied"), "keys")
+    live = durable(parts.join(grams, F.col("g") == F.col("_g")).select("_a", "_b", "c", "p", "_varied"), "live")
+    same = durable(live.where("_varied").groupBy("c").agg(F.count("*").alias("_times")).where("_times > 1").select(F.col("c").alias("_c")), "keys")
+    varied = durable(live.where("_varied").join(same, F.col("c") == F.col("_c"), "left").select("_a", "_b", "c", "p", F.col("_c").isNotNull().alias("_same")), "varied")
+    # One of each c that occurs again speaks for it among those that do not.
+    one = varied.where("_same").groupBy("c").agg(F.min(F.struct("_a", "_b", "p")).alias("_one")).select("_one.*")
+    return live.where("NOT _varied").select("_a", "_b", "c", "p").union(varied.where("_same").select("_a", "_b", "c", "p")), varied.where("NOT _same").select("_a", "_b", "p").union(one)
+
+
+def _of_text(parts: DataFrame, what, name: str) -> DataFrame:
+    return parts.groupBy(F.col("_a").alias("_pa"), F.col("_b").alias("_pb")).agg(F.collect_set(what).alias(name))
+
+
 def _runs(chosen: DataFrame, size: int, buckets: int) -> DataFrame:
     """Sorted, front-coded runs: one row per task's run and bucket."""
 
     def flush(items: list[tuple]):
-        # An item: bucket, key (gram and context), _a, _b, lo, n, hot. Equal keys collapse; one of them is sent, with its count up to 2.
+        # An item: bucket, key (the bytes), _a, _b, first window, windows. Equal keys collapse; one of them is sent, with its count up to 2.
         items.sort(key=lambda x: x[:2])
         known, i = [], 0
         while i < len(items):
-            start, bucket, keys, ids, times = i, items[i][0], [], [], []
+            bucket, keys, ids, times = items[i][0], [], [], []
             while i < len(items) and items[i][0] == bucket:
                 if keys and keys[-1] == items[i][1]:
                     times[-1] = 2
-                    known.append(items[i][2:6])
+                    known.append(items[i][2:])
                 else:
                     keys.append(items[i][1])
                     ids.append(items[i][2:])
@@ -212,7 +282,6 @@ def _runs(chosen: DataFrame, size: int, buckets: int) -> DataFrame:
             # What occurs twice in this run is known to repeat, so its first one is, too; the rest of the world needs one witness.
             blob = pickle.dumps((front_coded(keys), np.array(ids, np.int64), np.array(times, np.uint8)), protocol=5)
             yield bucket, zstandard.ZstdCompressor(level=1).compress(blob), 0, 0, 0, 0
-            del start
         for a, b, lo, n in known:
             yield -1, b"", a, b, lo, n
 
@@ -227,10 +296,9 @@ def _runs(chosen: DataFrame, size: int, buckets: int) -> DataFrame:
             for a, b, z, own in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 text = _opened(z)
                 for x in own:
-                    part = text[x["lo"] : x["lo"] + x["n"] - 1 + size]
-                    g = x["g"] & 0xFFFFFFFFFFFFFFFF
-                    to = (x["c"] if x["hot"] else x["g"]) % buckets
-                    items.append((to, g.to_bytes(8, "big") + part, a, b, x["lo"], x["n"], int(x["hot"])))
+                    lo, n = x["p"] >> 16, ((x["p"] >> 8) & 255) + 1
+                    part = text[lo : lo + n - 1 + size]
+                    items.append((x["c"] % buckets, part, a, b, lo, n))
                     held += len(part) + 200
                 if held > RUN_BYTES:
                     yield batch_of(list(flush(items)))
@@ -238,94 +306,47 @@ def _runs(chosen: DataFrame, size: int, buckets: int) -> DataFrame:
         if items:
             yield batch_of(list(flush(items)))
 
-    return mapped(chosen, run, "bucket int, run binary, _a long, _b long, s int, n int")
-
-
-def _windows(contexts: list[bytes], size: int) -> list[np.ndarray]:
-    """Fingerprints of the windows of each context."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    sums, at, out = prefix_sums(data), 0, []
-    for c in contexts:
-        start = np.arange(at, at + len(c) - size + 1)
-        out.append(span_hashes(sums, start, start + size))
-        at += len(c)
-    return out
+    return mapped(chosen.select("_a", "_b", "_z", "_own"), run, "bucket int, run binary, _a long, _b long, s int, n int")
 
 
-def _merge(size: int):
-    """The runs of a bucket merged: rows of repeated windows (g null), and windows of hot grams that are still open."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [pickle.loads(zstandard.ZstdDecompressor().decompress(x)) for x in table.column("run").to_pylist()]
-        out: dict[str, list] = {c: [] for c in ("_a", "_b", "s", "n", "g", "f", "many")}
-
-        def put(a, b, s, n, g=None, f=None, many=None):
-            for c, v in zip(out.values(), (a, b, s, n, g, f, many), strict=True):
-                c.append(v)
-
-        def resolve(group: list[tuple[bytes, list, bool]]) -> None:
-            """One gram's contexts: (key, members, whether repeated)."""
-            open_ones = any(not many for _, _, many in group)
-            for _, members, many in group:
-                if many:
-                    for a, b, lo, n, _ in members:
-                        put(a, b, lo, n)
-            hot = group[0][1][0][4]  # then other buckets hold contexts of this gram, too, and need these windows
-            if not hot and (not open_ones or len(group) == 1):
-                return
-            prints = _windows([key[8:] for key, _, _ in group], size)
-            g = int.from_bytes(group[0][0][:8], "big", signed=True)
-            if hot:
-                for (_, members, many), f in zip(group, prints, strict=True):
-                    a, b, lo, n, _ = members[0]
-                    for i, x in enumerate(f.view(np.int64).tolist()):
-                        put(a, b, lo + i, 1, g, x, many)
-                return
-            _, back, count = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
-            twice, at = count[back] > 1, 0
-            for (_, members, many), f in zip(group, prints, strict=True):
-                hits = np.flatnonzero(twice[at : at + len(f)])
-                at += len(f)
-                if many or not len(hits):
-                    continue
-                a, b, lo, _, _ = members[0]
-                for part in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1):
-                    put(a, b, lo + int(part[0]), len(part))
-
-        group: list[tuple[bytes, list, bool]] = []
-        for key, lcp, r, i in LoserTree([decoded(*p[0]) for p in parts]):
-            member, times = parts[r][1][i].tolist(), int(parts[r][2][i])
-            if group and lcp == len(key) == len(group[-1][0]):
-                group[-1] = (key, [*group[-1][1], member], True) if not group[-1][2] else (key, group[-1][1] + [member], True)
-                continue
-            if group and lcp < 8:
-                resolve(group)
-                group = []
-            group.append((key, [member], times > 1))
-        if group:
-            resolve(group)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.table([pa.array(c, t) for c, t in zip(out.values(), types, strict=True)], names=list(out))
-
-    return run
+def _merge(table: pa.Table) -> pa.Table:
+    """The runs of a bucket merged: the windows that repeat."""
+    parts = [pickle.loads(zstandard.ZstdDecompressor().decompress(x)) for x in table.column("run").to_pylist()]
+    out: list[list[int]] = []
+    key_before, first, told = None, None, False
+    for key, lcp, r, i in LoserTree([decoded(*p[0]) for p in parts]):
+        member, times = parts[r][1][i].tolist(), int(parts[r][2][i])
+        if key_before is not None and lcp == len(key) == len(key_before):
+            if not told:
+                out.append(first)
+                told = True
+            out.append(member)
+        else:
+            first, told = member, times > 1
+            if told:
+                out.append(member)
+        key_before = key
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_a", "_b", "s", "n"])
 
 
 def repeats(docs: DataFrame, size: int = 200, k: int = 32, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all texts with their length and hash, the texts that may hold repeats, the repeated windows of each as _spans of s, n)."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_a"), F.xxhash64("_text").alias("_b"), "_text")
     anchored = durable(_anchored(keyed, size, k), "anchors")
-    every = anchored.select("_a", "_b", F.inline(F.arrays_zip("g", "c", "lo", "n")))
-    grams = every.groupBy("g").agg(F.count("*").alias("_times"), (F.min("c") != F.max("c")).alias("_varied")).where("_times > 1").select(F.col("g").alias("_g"), (F.col("_varied") & (F.col("_times") > HOT)).alias("hot"))
-    left = every.join(grams, F.col("g") == F.col("_g")).groupBy("_a", "_b").agg(F.collect_set(F.struct("g", "c", "lo", "n", "hot")).alias("_own"))
-    chosen = durable(_squeezed(keyed).join(left, (F.col("_za") == F.col("_a")) & (F.col("_zb") == F.col("_b"))).select("_a", "_b", "_z", "_own"), "chosen")
-    total = chosen.agg(F.sum(F.size("_own") * (size + 90))).first()[0] or 0
-    runs = durable(_runs(chosen, size, max(16, int(total / BUCKET_BYTES))), "runs")
-    merged = durable(runs.where("bucket >= 0").select("bucket", "run").groupBy("bucket").applyInArrow(_merge(size), "_a long, _b long, s int, n int, g long, f long, many boolean"), "merged")
-    hot = merged.where("g IS NOT NULL")
-    twice = hot.groupBy("g", "f").agg(F.count("*").alias("_count"), F.max("many").alias("_many")).where("_count > 1 OR _many").select(F.col("g").alias("_g"), F.col("f").alias("_f"))
-    late = hot.where("NOT many").join(twice, (F.col("g") == F.col("_g")) & (F.col("f") == F.col("_f"))).select("_a", "_b", "s", "n")
-    found = merged.where("g IS NULL").select("_a", "_b", "s", "n").union(runs.where("bucket < 0").select("_a", "_b", "s", "n")).union(late)
-    spans = found.groupBy(F.col("_a").alias("_sa"), F.col("_b").alias("_sb")).agg(F.collect_set(F.struct("s", "n")).alias("_spans"))
+    suffixes, opened = _again(anchored.select("_a", "_b", F.inline(F.arrays_zip("g", "c", "p"))))
+    item = F.struct("c", "p")
+    whole, some = _of_text(suffixes, item, "_own"), _of_text(opened, F.col("p"), "_open")
+    left = whole.join(some, ["_pa", "_pb"], "full")
+    chosen = durable(_squeezed(keyed).join(left, (F.col("_za") == F.col("_pa")) & (F.col("_zb") == F.col("_pb"))).select(F.col("_za").alias("_a"), F.col("_zb").alias("_b"), "_z", "_own", "_open"), "chosen")
+    more, opened = _again(durable(_parts(chosen.where("_open IS NOT NULL").withColumn("_own", F.col("_open")), stretches, size), "stretches"))
+    texts = chosen.select("_a", "_b", "_z").join(_of_text(opened, F.col("p"), "_own"), F.expr("_a = _pa AND _b = _pb"))
+    last, _ = _again(durable(_parts(texts, windows, size), "windows"))
+    late = _of_text(more.union(last), item, "_late")
+    every = chosen.join(late, F.expr("_a = _pa AND _b = _pb"), "left").withColumn("_own", F.concat(F.coalesce("_own", F.array().cast(chosen.schema["_own"].dataType)), F.coalesce("_late", F.array().cast(chosen.schema["_own"].dataType)))).where("size(_own) > 0")
+    total = every.agg(F.sum(F.size("_own") * (size + 90))).first()[0] or 0
+    runs = durable(_runs(every, size, max(16, int(total / BUCKET_BYTES))), "runs")
+    merged = runs.where("bucket >= 0").select("bucket", "run").groupBy("bucket").applyInArrow(_merge, "_a long, _b long, s int, n int")
+    spans = merged.union(runs.where("bucket < 0").select("_a", "_b", "s", "n")).groupBy(F.col("_a").alias("_sa"), F.col("_b").alias("_sb")).agg(F.collect_set(F.struct("s", "n")).alias("_spans"))
     return anchored.select("doc_id", "_a", "_b", "_bytes", "_sha"), chosen.select("_a", "_b", "_z"), spans
 
 
