@@ -42,22 +42,59 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def running(values: Column, merge=lambda a, b: a + b, zero: int = 0, block: int = 512) -> Column:
+    """What merge gives for each whole number and all before it, such as running sums.
+
+    An accumulator array is copied at every element, so elements are folded in blocks, and the blocks' totals in turn: an element is
+    copied some block / 2 times, however long the array is.
+    """
+
+    def folded(own: Column, before: Column) -> Column:
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(merge(acc["at"], x))).alias("out"))
+        return F.aggregate(own, F.struct(before.cast("int").alias("at"), empty("int").alias("out")), step)["out"]
+
+    def blocked(own: Column) -> Column:
+        def joined(parts: Column) -> Column:
+            totals = folded(F.transform(parts, lambda x: F.aggregate(x, F.lit(zero), lambda a, b: merge(a, b))), F.lit(zero))
+            return let(totals, lambda ends: F.flatten(F.transform(parts, lambda x, i: folded(x, F.coalesce(F.get(ends, i - 1), F.lit(zero))))))
+
+        cut = F.transform(F.sequence(F.lit(0), ((F.size(own) - 1) / block).cast("int")), lambda i: F.slice(own, i * block + 1, F.lit(block)))
+        return F.when(F.size(own) <= block, folded(own, F.lit(zero))).otherwise(let(cut, joined))
+
+    return let(values, blocked)
+
+
+def inside(points: Column, zones: Column) -> Column:
+    """Per point whether it lies in a zone (struct of from and to, both included). All ends are sorted once, so no point looks at every zone."""
+    # At one place zones open before the points and close behind them.
+    event = lambda at, turn, place, step: F.struct(at.cast("int").alias("at"), F.lit(turn).alias("turn"), place.cast("int").alias("place"), F.lit(step).alias("step"))
+
+    def swept(ends: Column) -> Column:
+        def answered(depth: Column) -> Column:
+            own = F.filter(F.zip_with(ends, depth, lambda e, d: F.struct(e["place"].alias("place"), (d > 0).alias("hit"), e["turn"].alias("turn"))), lambda x: x["turn"] == 1)
+            return F.transform(F.sort_array(own), lambda x: x["hit"])
+
+        return let(running(F.transform(ends, lambda e: e["step"])), answered)
+
+    marks = F.transform(points, lambda p, i: event(p, 1, i, 0))
+    opened, closed = F.transform(zones, lambda z: event(z["from"], 0, F.lit(0), 1)), F.transform(zones, lambda z: event(z["to"], 2, F.lit(0), -1))
+    return F.when(F.size(zones) == 0, F.transform(points, lambda p: F.lit(False))).otherwise(let(F.sort_array(F.concat(marks, opened, closed)), swept))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of a pattern's leftmost, non-overlapping matches, in code points.
 
     Offsets follow from the lengths of the matches and of the gaps between them, so the work stays in the JVM and in one row.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))), lambda x: x["m"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), empty(MATCH).alias("out"))
+    steps = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), (F.length(g) + F.length(m)).alias("n"))), lambda x: x["m"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+    def placed(own: Column) -> Column:
+        ends = running(F.transform(own, lambda x: x["n"]))
+        return F.zip_with(own, ends, lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("value")))
 
     # Most rows match few patterns: the cheap test comes first.
-    return F.when(text.rlike(pattern), F.aggregate(steps, zero, step)["out"]).otherwise(empty(MATCH))
+    return F.when(text.rlike(pattern), let(steps, placed)).otherwise(empty(MATCH))
 
 
 def span(start: Column, ord: Column, end: Column, entity_type: Column, value: Column, score: Column, layer: Column) -> Column:

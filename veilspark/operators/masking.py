@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import col, let
+from veilspark.functions.core import col, let, running
 from veilspark.functions.mask import REDACTED, partial_mask, token
 
 MODES = ("redact", "mask", "tokenize")
 
 
 def _counted(array: Column) -> Column:
-    """How many of the same entity_type stand up to each element, itself included."""
-    return let(array, lambda own: F.transform(own, lambda x, i: F.size(F.filter(F.slice(own, F.lit(1), i + 1), lambda y: y["entity_type"] == x["entity_type"]))))
+    """How many of the same entity_type stand up to each element, itself included: sorted by type, an element's distance from its type's first."""
+
+    def numbered(ordered: Column) -> Column:
+        heads = F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)["kind"] != x["kind"]), i).otherwise(0))
+        own = let(running(heads, F.greatest), lambda first: F.transform(ordered, lambda x, i: F.struct(x["place"].alias("place"), (i - F.get(first, i) + 1).alias("n"))))
+        return F.transform(F.sort_array(own), lambda x: x["n"])
+
+    return let(F.sort_array(F.transform(array, lambda x, i: F.struct(x["entity_type"].alias("kind"), i.alias("place")))), numbered)
 
 
 def _replacement(value: Column, entity_type: Column, n: Column, mode: str) -> Column:
@@ -51,7 +57,11 @@ def value_map(spans: Column, mode: str = "redact") -> Column:
     first = F.filter(F.transform(spans, lambda s: F.struct(s["value"].alias("value"), s["entity_type"].alias("entity_type"))), lambda s: s["value"] != "")
 
     def distinct(found: Column) -> Column:
-        return let(F.transform(found, lambda s: s["value"]), lambda values: F.filter(found, lambda s, i: F.array_position(values, s["value"]) == i + 1))
+        # The first of each value once they are sorted by value and place.
+        ordered = F.sort_array(F.transform(found, lambda s, i: F.struct(s["value"].alias("value"), i.alias("place"), s["entity_type"].alias("entity_type"))))
+        once = lambda own: F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1)["value"] != x["value"]))
+        back = F.sort_array(F.transform(let(ordered, once), lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value"), x["entity_type"].alias("entity_type"))))
+        return F.transform(back, lambda x: F.struct(x["value"].alias("value"), x["entity_type"].alias("entity_type")))
 
     def entries(once: Column) -> Column:
         numbers = _counted(once) if mode == "tokenize" else F.transform(once, lambda x: F.lit(0))

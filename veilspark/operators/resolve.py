@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import SPAN, empty, let, lookup
+from veilspark.functions.core import SPAN, empty, let, lookup, running
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -14,7 +14,10 @@ def _overlaps(a: Column, b: Column) -> Column:
 
 
 def _fold(spans: Column, meets, beats) -> Column:
-    """Spans by start; each is compared with the first accepted one that it meets, and takes its place if it beats it."""
+    """Spans by start; each is compared with the first accepted one that it meets, and takes its place if it beats it.
+
+    Spans are parted where one starts behind the ends of all before it: none meets across such a place, so each part is folded on its own.
+    """
 
     def step(acc: Column, x: Column) -> Column:
         def placed(hit: Column) -> Column:
@@ -23,9 +26,20 @@ def _fold(spans: Column, meets, beats) -> Column:
 
         return let(F.coalesce(F.array_position(F.transform(acc, lambda a: meets(x, a)), F.lit(True)), F.lit(0)).cast("int"), placed)
 
-    accepted = F.aggregate(F.sort_array(spans), empty(SPAN), step)
-    # By start again; spans of one start stay in the order of acceptance.
-    return F.transform(F.sort_array(F.transform(accepted, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
+    def resolved(part: Column) -> Column:
+        accepted = F.aggregate(part, empty(SPAN), step)
+        # By start again; spans of one start stay in the order of acceptance.
+        return F.transform(F.sort_array(F.transform(accepted, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
+
+    def parted(own: Column) -> Column:
+        def cut(reach: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i)["start"] >= F.get(reach, i - 1)))
+            parts = lambda at: F.transform(at, lambda i, k: F.slice(own, i + 1, F.coalesce(F.get(at, k + 1), F.size(own)) - i))
+            return F.flatten(F.transform(let(heads, parts), lambda part: F.when(F.size(part) == 1, part).otherwise(resolved(part))))
+
+        return F.when(F.size(own) < 2, own).otherwise(let(running(F.transform(own, lambda s: s["end"]), F.greatest), cut))
+
+    return let(F.sort_array(spans), parted)
 
 
 def dedup_any_type(spans: Column) -> Column:
