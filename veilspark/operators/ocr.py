@@ -21,7 +21,7 @@ def merge_words(first: DataFrame, second: DataFrame, image: str = "img_id") -> D
 
     A word of the second engine that beats k words of the first stands k times, as each of them is replaced.
     """
-    a, b = _ends(first.withColumn("i", F.monotonically_increasing_id()), "a_"), _ends(second.withColumn("i", F.monotonically_increasing_id()), "b_")
+    a, b = _ends(first, "a_"), _ends(second, "b_")
     wide = F.greatest(F.lit(0), F.least(F.expr("a_x + a_width"), F.expr("b_x + b_width")) - F.greatest("a_x", "b_x"))
     high = F.greatest(F.lit(0), F.least(F.expr("a_y + a_height"), F.expr("b_y + b_height")) - F.greatest("a_y", "b_y"))
     area = lambda p: F.greatest(F.lit(1), F.col(f"{p}_width") * F.col(f"{p}_height"))
@@ -37,6 +37,12 @@ def reading_order(words: DataFrame, *keys: str) -> DataFrame:
     return words.orderBy(*keys, "y", "x")
 
 
+def reading_text(words: DataFrame, image: str = "img_id") -> DataFrame:
+    """Per image its words in reading order (from the top, then from the left; equal places by text), and how many they are."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "text"))), lambda w: w["text"])
+    return words.groupBy(image).agg(F.array_join(ordered, " ").alias("text"), F.count("*").alias("words"))
+
+
 def boxes(values: DataFrame, words: DataFrame, image: str = "img_id", dx: str | None = None, dy: str | None = None) -> DataFrame:
     """Boxes of the words whose text holds a value or lies in it, in any case; tile offsets are added where given."""
     a, b = F.lower("value"), F.lower("text")

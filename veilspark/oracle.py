@@ -165,7 +165,7 @@ RUNS = (
     "z AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run, c) AS n, row_number() OVER (PARTITION BY doc_id, run, c ORDER BY line_no) AS a FROM y), h AS (SELECT *, line_no - a + 1 AS f, NOT c AND n > 5 AND line_no - a + 1 > 1 AND line_no - a + n < last AND a > 3 AND a <= n - 3 AS hid FROM z) "
     "SELECT doc_id, CAST(CASE WHEN hid THEN f + 3 ELSE line_no END AS INTEGER) AS start_line, CASE WHEN hid THEN 'collapsed' ELSE 'line' END AS kind, CAST(max(line_no) AS INTEGER) AS end_line, count(*) AS n FROM h GROUP BY 1, 2, 3"
 )
-WORDS_OF = f"SELECT {_fields(WORDS)}, '{{engine}}' AS engine, row_number() OVER () AS i FROM lineitem WHERE l_orderkey < 3000 AND {{side}}"
+WORDS_OF = f"SELECT {_fields(WORDS)}, '{{engine}}' AS engine, row_number() OVER () AS i FROM lineitem WHERE {{side}}"
 BOX = {"a": WORDS_OF.format(engine="first", side="l_linenumber <= 3"), "b": WORDS_OF.format(engine="second", side="l_linenumber > 3")}
 _wide = "greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y))"
 MEET = f"a.img_id = b.img_id AND {_wide} > 0 AND {_wide} / least(greatest(1, a.width * a.height), greatest(1, b.width * b.height)) > 0.5"
@@ -254,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "occurrences": _records("SELECT doc_id, ord, CAST(row_number() OVER (PARTITION BY doc_id, value, entity_type ORDER BY ord) AS INTEGER) AS occurrence, count(*) OVER (PARTITION BY doc_id, value, entity_type) AS occurrences FROM raw"),
         "line_number": _records("SELECT doc_id, ord, CAST(len(string_split(left(text, start), chr(10))) AS INTEGER) AS line_no FROM raw JOIN records USING (doc_id)"),
         "viewer_labels": f"SELECT k, {_case('kind', fixed.VIEWER_TYPES, _q('NAME'))} AS viewer, {_cap("replace(regexp_replace(kind, '^IN_', ''), '_', ' ')")} AS label, {_case('layer', fixed.LAYER_NAMES, 'layer')} AS layer_name, {_case('lower(layer)', fixed.CHART_LAYERS, _cap("replace(layer, '_', ' ')"))} AS chart, CASE WHEN k / 25 > 0.8 THEN 'bg-green-500' WHEN k / 25 >= 0.5 THEN 'bg-yellow-500' ELSE 'bg-red-500' END AS color, CASE WHEN length('a rather long name ' || k::STRING) > 18 THEN left('a rather long name ' || k::STRING, 17) || '…' ELSE 'a rather long name ' || k::STRING END AS short FROM (SELECT n_nationkey AS k, [{', '.join(map(_q, _types))}][n_nationkey % 20 + 1] AS kind, ['regex', 'spacy', 'bert', 'rule_based', 'my_layer'][n_nationkey % 5 + 1] AS layer FROM nation)",
+        "reading_text": f"SELECT img_id, string_agg(text, ' ' ORDER BY y, x, text) AS text, count(*) AS words FROM (SELECT {_fields(WORDS)} FROM lineitem) GROUP BY 1",
         "ocr_merge": _with([], f"SELECT {_word('a')} FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {MEET} AND b.confidence > a.confidence) UNION ALL SELECT {_word('b')} FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {MEET}) UNION ALL SELECT {_word('b')} FROM a JOIN b ON {MEET} AND b.confidence > a.confidence", **BOX),
         "bbox_match": _with([], "SELECT v.img_id, v.value, b.x AS x0, b.y AS y0, b.x + b.width AS x1, b.y + b.height AS y1 FROM (SELECT DISTINCT img_id, concat('W', (img_id % 50)::STRING, '!') AS value FROM a) v JOIN b ON b.img_id = v.img_id AND (contains(lower(v.value), lower(b.text)) OR contains(lower(b.text), lower(v.value)))", **BOX),
         "tile_dedup": _with([], "SELECT img_id, engine AS entity_type, text AS value, count(*) AS tiles FROM a GROUP BY ALL", **BOX),

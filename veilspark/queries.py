@@ -617,7 +617,8 @@ def segmented_lines(spark, d):
 
 # Images
 
-WORDS = {"img_id": "l_orderkey % 200", "text": "concat('w', cast(l_partkey % 50 AS STRING))", "confidence": "l_quantity / 50", "x": "cast(l_partkey * 3 % 60 AS INT)", "y": "cast(l_suppkey * 7 % 40 AS INT)", "width": "cast(10 + l_linenumber * 3 AS INT)", "height": "cast(8 + l_linenumber AS INT)"}
+#: Twenty orders are an image, so that images grow in number with the table and not in size.
+WORDS = {"img_id": "cast(floor(l_orderkey / 20) AS BIGINT)", "text": "concat('w', cast(l_partkey % 50 AS STRING))", "confidence": "l_quantity / 50", "x": "cast(l_partkey * 3 % 60 AS INT)", "y": "cast(l_suppkey * 7 % 40 AS INT)", "width": "cast(10 + l_linenumber * 3 AS INT)", "height": "cast(8 + l_linenumber AS INT)"}
 
 
 def _words(spark, d, engine: str) -> DataFrame:
@@ -630,6 +631,11 @@ def ocr_merge(spark, d):
     return ocr.merge_words(_words(spark, d, "first"), _words(spark, d, "second"))
 
 
+@query
+def reading_text(spark, d):
+    return ocr.reading_text(_words(spark, d, "first").union(_words(spark, d, "second")))
+
+
 @query
 def bbox_match(spark, d):
     named = _words(spark, d, "first").select("img_id", F.concat(F.lit("W"), (F.col("img_id") % 50).cast("string"), F.lit("!")).alias("value")).distinct()
