@@ -67,7 +67,7 @@ def running(values: Column, merge=lambda a, b: a + b, zero: int = 0, block: int
 def inside(points: Column, zones: Column) -> Column:
     """Per point whether it lies in a zone (struct of from and to, both included). All ends are sorted once, so no point looks at every zone."""
     # At one place zones open before the points and close behind them.
-    event = lambda at, turn, place, step: F.struct(at.cast("int").alias("at"), F.lit(turn).alias("turn"), place.cast("int").alias("place"), F.lit(step).alias("step"))
+    event = lambda at, turn, place, step: F.struct(at.cast("bigint").alias("at"), F.lit(turn).alias("turn"), place.cast("int").alias("place"), F.lit(step).alias("step"))
 
     def swept(ends: Column) -> Column:
         def answered(depth: Column) -> Column:
@@ -81,6 +81,23 @@ def inside(points: Column, zones: Column) -> Column:
     return F.when(F.size(zones) == 0, F.transform(points, lambda p: F.lit(False))).otherwise(let(F.sort_array(F.concat(marks, opened, closed)), swept))
 
 
+def stretches(text: Column, body, block: int = 4096) -> Column:
+    """body(part), where part(start, length) is a part of the text, in code points.
+
+    To find a place in a text means to read it from its start; so it is cut into blocks once, and a part is taken from its blocks.
+    """
+
+    def held(blocks: Column) -> Column:
+        def part(start: Column, length: Column) -> Column:
+            first = F.floor(start / block).cast("int")
+            own = F.array_join(F.slice(blocks, first + 1, F.floor((start + length) / block).cast("int") - first + 1), "")
+            return F.substring(own, start - first * block + 1, length)
+
+        return body(part)
+
+    return let(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / block).cast("int")), lambda i: F.substring(text, i * block + 1, F.lit(block))), held)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of a pattern's leftmost, non-overlapping matches, in code points.
 

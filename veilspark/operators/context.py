@@ -30,11 +30,17 @@ def _raised(s: Column, test: Column, score, *flags: str) -> Column:
 def label_boost(spans: Column, pairs: Column) -> Column:
     """Once, if a label of the same type ends up to 50 code points before the span."""
 
-    def boosted(found: Column) -> Column:
-        near = lambda s: F.exists(found, lambda p: (p["entity_type"] == s["entity_type"]) & (s["start"] - p["label_end"]).between(0, fixed.LABEL_GAP))
-        return F.transform(spans, lambda s: _raised(s, near(s), lambda t: clamp(t["score"] + fixed.LABEL_BOOST), "label_boosted"))
+    def boosted(found: Column, own: Column) -> Column:
+        def typed(kinds: Column) -> Column:
+            # Each type has a range of places of its own, so one sweep serves all of them.
+            place = lambda kind, at: F.array_position(kinds, kind).cast("bigint") * (1 << 40) + at
+            zones = F.transform(found, lambda p: F.struct(place(p["entity_type"], p["label_end"]).alias("from"), (place(p["entity_type"], p["label_end"]) + fixed.LABEL_GAP).alias("to")))
+            hits = inside(F.transform(own, lambda s: place(s["entity_type"], s["start"])), zones)
+            return F.zip_with(own, hits, lambda s, hit: _raised(s, hit, lambda t: clamp(t["score"] + fixed.LABEL_BOOST), "label_boosted"))
 
-    return let(pairs, boosted)
+        return F.when((F.size(found) == 0) | (F.size(own) == 0), own).otherwise(let(F.array_distinct(F.transform(found, lambda p: p["entity_type"])), typed))
+
+    return let(pairs, lambda found: let(spans, lambda own: boosted(found, own)))
 
 
 def proximity_boost(spans: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import col, let, running
+from veilspark.functions.core import col, let, running, stretches
 from veilspark.functions.mask import REDACTED, partial_mask, token
 
 MODES = ("redact", "mask", "tokenize")
@@ -34,16 +34,29 @@ def mask_positions(text: Column | str, spans: Column, mode: str = "redact") -> C
     ordered = F.sort_array(F.transform(spans, lambda s, i: F.struct((-s["start"]).alias("k"), i.alias("i"), s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"))))
     numbers = _counted(ordered) if mode == "tokenize" else F.transform(ordered, lambda x: F.lit(0))
 
-    def piece(x: Column, n: Column) -> Column:
-        value = F.substring(t, x["start"] + 1, x["end"] - x["start"])
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), _replacement(value, x["entity_type"], n, mode).alias("to"))
+    def masked(part) -> Column:
+        def piece(x: Column, n: Column) -> Column:
+            def of(value: Column) -> Column:
+                return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), _replacement(value, x["entity_type"], n, mode).alias("to"))
 
-    def put(pieces: Column) -> Column:
-        masked = F.aggregate(pieces, t, lambda acc, p: F.concat(F.left(acc, p["start"]), p["to"], F.substring(acc, p["end"] + 1, F.length(acc))))
-        tokens = F.map_from_entries(F.transform(pieces, lambda p: F.struct(p["to"], p["value"]))) if mode == "tokenize" else F.create_map().cast("map<string,string>")
-        return F.struct(masked.alias("masked_text"), tokens.alias("token_map"))
+            return let(part(x["start"], x["end"] - x["start"]), of)
 
-    return let(F.zip_with(ordered, numbers, piece), put)
+        def put(pieces: Column) -> Column:
+            def joined(forward: Column) -> Column:
+                last = lambda i: F.coalesce(F.get(forward, i - 1)["end"], F.lit(0))
+                parts = F.transform(forward, lambda p, i: F.concat(part(last(i), p["start"] - last(i)), p["to"]))
+                rest = part(last(F.size(forward)), F.length(t) - last(F.size(forward)))
+                # Spans that overlap are replaced one after another, from the last.
+                across = F.aggregate(pieces, t, lambda acc, p: F.concat(F.left(acc, p["start"]), p["to"], F.substring(acc, p["end"] + 1, F.length(acc))))
+                meets = F.exists(F.transform(forward, lambda p, i: (last(i) > p["start"]) | (p["end"] < p["start"])), lambda x: x)
+                return F.when(F.size(forward) == 0, t).when(meets, across).otherwise(F.concat(F.array_join(parts, ""), rest))
+
+            tokens = F.map_from_entries(F.transform(pieces, lambda p: F.struct(p["to"], p["value"]))) if mode == "tokenize" else F.create_map().cast("map<string,string>")
+            return F.struct(let(F.reverse(pieces), joined).alias("masked_text"), tokens.alias("token_map"))
+
+        return let(F.zip_with(ordered, numbers, piece), put)
+
+    return stretches(t, masked)
 
 
 ENTRY = "struct<value:string,to:string>"
