@@ -34,29 +34,36 @@ from veilspark.llm.common import durable, mapped
 from veilspark.llm.tokens import Encoder, encoded
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+CUT = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int, text: str = "text", doc_id: str = "doc_id", position: str | None = None) -> DataFrame:
-    """Each document's ids and a closing 0, cut into pieces of capacity at most, the first one shorter if any is.
-
-    With a position, the pieces have it too.
-    """
-    more = ["position"] if position else []
+def tokenized(docs: DataFrame, vocabulary: str, capacity: int, text: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs, and _pieces: its ids and a closing 0, cut into pieces of capacity at most, the first one shorter if any is."""
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
 
     def run(batches):
         encoder = Encoder.load(vocabulary)
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for row, own in encoded(batch.column(1), encoder):
+            columns, ends = ([], [], [], []), [0]
+            for _, own in encoded(batch.column(len(keep)), encoder):
                 own = np.append(own, np.uint32(0)).astype("<u4")
                 first = len(own) % capacity or capacity
                 cuts = [0, *range(first, len(own) + 1, capacity)]
-                rows += [(row, k, a, b - a, zlib.crc32(own[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            if rows:
-                row, k, a, n, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(k.astype(np.int32)), pa.array(a), pa.array(n), pa.array(crc), *[batch.column(2).take(pa.array(row)) for _ in more]], names=["doc_id", "piece", "start", "length", "ids_crc32", *more])
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    for c, v in zip(columns, (k, a, b - a, zlib.crc32(own[a:b])), strict=True):
+                        c.append(v)
+                ends.append(len(columns[0]))
+            own = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CUT.value_type, strict=True)], fields=list(CUT.value_type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), own)], names=[*keep, "_pieces"])
+
+    head = [f"`{c}` {t}" for c, t in frame.dtypes[: len(keep)]]
+    return mapped(frame, run, ", ".join([*head, "_pieces array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"]))
 
-    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(position).cast("long").alias(c) for c in more]), run, PIECES + ", position long" * len(more))
+
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per piece of each document."""
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("_t"))
+    return tokenized(slim, vocabulary, capacity, "_t", ["doc_id"]).select("doc_id", F.inline("_pieces"))
 
 
 Pattern = tuple[tuple[int, int], ...]
@@ -262,9 +269,15 @@ def pack_stretch(cut: pa.Table, capacity: int) -> pa.Table:
     return cut.select(["_stretch", "doc_id", "piece", "start", "length", "ids_crc32"]).append_column("_sequence", pa.array(sequence)).append_column("offset", pa.array(offset))
 
 
-def ordered_packing(docs: DataFrame, vocabulary: str, position: str, capacity: int = 2048, stretch: int = 16384) -> DataFrame:
-    """As best_fit_packing, with sequences in the order of the documents' positions; `stretch` documents are packed together."""
-    cut = pieces(docs, vocabulary, capacity, position=position).withColumn("_stretch", F.expr(f"position div {stretch}"))
+def ordered_packing(docs: DataFrame, vocabulary: str, place, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), capacity: int = 2048, stretch: int = 16384) -> DataFrame:
+    """As best_fit_packing, with sequences in the order of the documents' positions; `stretch` documents are packed together.
+
+    place is given the documents with their columns doc_id, `keep` and _tie (a hash of the text) in place of the text, and returns
+    them with `position`: texts are tokenized where they are read, and never shuffled.
+    """
+    slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in keep], F.xxhash64(f"`{text}`").alias("_tie"), F.col(f"`{text}`").alias("_t"))
+    cut = place(durable(tokenized(slim, vocabulary, capacity, "_t", ["doc_id", *keep, "_tie"]), "tokenized"))
+    cut = cut.select("doc_id", "position", F.inline("_pieces")).withColumn("_stretch", F.expr(f"position div {stretch}"))
     packed = cut.groupBy("_stretch").applyInArrow(lambda own: pack_stretch(own, capacity), f"_stretch long, {PIECES}, _sequence long, offset long")
     packed = durable(packed, "stretches")
     # One row per stretch.
