@@ -6,7 +6,8 @@ on rows it has not seen, and is kept if it is precise there; what it covers is s
 list is emitted as one ordered conditional expression.
 
 Defined results: a null text has no words and fails the base rule; repeated rows are judged alike; without labelled rows, or with
-one label only, the list is empty and the base rule decides; other columns are ignored by the statistics and kept.
+one label only, the list is empty and the base rule decides; other columns are ignored by the statistics and kept, but for those named
+as a result (n_words and so on), which the results replace.
 """
 
 from __future__ import annotations
@@ -16,18 +17,14 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import bounded_sample
+from veilspark.functions.core import let
+from veilspark.llm.common import bounded_sample, unclashing
 
 WORDS = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _pairs(hashes: Column, step: int) -> Column:
     """Hashes of each element and the one `step` after it, where there is one."""
     return F.slice(F.zip_with(hashes, F.slice(hashes, F.lit(step + 1), F.size(hashes)), lambda a, b: F.xxhash64(a, b)), F.lit(1), F.greatest(F.size(hashes) - step, F.lit(0)))
@@ -48,16 +45,22 @@ def _repeated(windows: Column, width: int) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(let(ordered, places), covered))
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct_words", "base_failed", "rule", "kept")
+
+
 def with_statistics(docs: DataFrame, text: str = "text", width: int = 8) -> DataFrame:
     """docs with the statistics as columns; see STATISTICS."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    split = docs.withColumn("_words", F.filter(F.split(t, WORDS), lambda w: w != "")).withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    plain, names, restored = unclashing(docs)
+    t = F.coalesce(F.col(names[text]).cast("string"), F.lit(""))
+    split = plain.withColumn("_words", F.filter(F.split(t, WORDS), lambda w: w != "")).withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     hashed = split.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
     windows, step = hashed, 1
-    while step < width:
+    while 2 * step <= width:
         windows, step = windows.withColumn("_h", _pairs(F.col("_h"), step)), 2 * step
+    if step < width:  # two windows of a power of two that overlap
+        windows = windows.withColumn("_h", _pairs(F.col("_h"), width - step))
     out = windows.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[c for c, old in zip(restored, docs.columns, strict=True) if old not in RESULTS],
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -120,6 +123,12 @@ def _grow(rows: list[dict[str, float]], bad: list[bool], longest: int, cuts: int
     return rule
 
 
+def tightest(rule: Rule) -> Rule:
+    """The rule without conditions that another of its conditions implies."""
+    implied = lambda c, d: c[:2] == d[:2] and c != d and (d[2] > c[2] if c[1] == ">=" else d[2] < c[2])
+    return tuple(c for i, c in enumerate(rule) if c not in rule[:i] and not any(implied(c, d) for d in rule))
+
+
 def _worth(rule: Rule, rows: list[dict[str, float]], bad: list[bool]) -> tuple[float, int]:
     """Precision with one doubt on either side, and bad rows covered."""
     hit = [b for r, b in zip(rows, bad, strict=True) if holds(rule, r)]
@@ -136,7 +145,7 @@ def cover(rows: list[dict[str, float]], bad: list[bool], precise: float = 0.9, m
         rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: _worth(r, *unseen)[0], default=())
         if not rule or _worth(rule, *unseen)[0] < precise or _worth(rule, rows, bad)[0] < precise:
             break
-        rules.append(rule)
+        rules.append(tightest(rule))
         left = [i for i in range(len(rows)) if not holds(rule, rows[i])]
         rows, bad = [rows[i] for i in left], [bad[i] for i in left]
         if not any(bad):
