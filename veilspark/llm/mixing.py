@@ -1,17 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows are cut into blocks. Block i of a source with weight w is released at slot floor(i / w) and due before slot
-ceil((i + 1) / w); earliest deadline first then fills every slot, and no source is ever a whole block away from its target share.
-Weights are rounded to q / period, and the period is PERIOD times the number of blocks, so that over all slots rounding shifts a
-source by a thousandth of a block at most. The driver works out the slot of every block, a number per `block` rows, which comes to
-the rows by a join. When a source is used up, a new phase starts for the rest, their weights scaled up; a phase ends with exactly one
-source, so there are as many phases as sources. What reaches the driver is one count per source.
+Each source's rows are cut into blocks. In the ideal mix every source that has rows left advances at its weight's share of the
+weights of all such sources, so a source's progress by any slot follows in closed form from the weights and the numbers of blocks.
+A block is released at the last whole slot at which the ideal mix has not begun it and due at the first by which it is done; earliest
+deadline first then fills every slot, and no source is ever a whole block away from its ideal progress. Shares are exact to
+double precision; when a source is used up the others go on in their proportions.
+
+Blocks grow with the table, so that there are most_blocks at most: the driver works out their slots in one pass, and the table of
+slots that comes to the rows by a broadcast join has that size at most. What reaches the driver is one count per source.
 
 A row's number within its source comes from salted counts and windows over (source, salt), in the order of a hash, so a source
 with a third of all rows is spread over many tasks.
 
 Defined results: null is a source of its own; sources without a given weight get the mean of the given ones; weights must be
-positive; repeated rows are separate rows; no rows give no rows; all columns are kept, and the new ones end in the given prefix.
+positive; repeated rows are separate rows; no rows give no rows; all columns are kept but those named as the new ones, which are
+replaced; the new ones begin with the given prefix.
 """
 
 from __future__ import annotations
@@ -22,111 +25,116 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from veilspark.llm.common import unclashing
 
-PERIOD = 1000
-#: Blocks whose slots are sent to every task; more come by a shuffle.
-SENT = 2_000_000
-
-
-def rounded(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Shares q of the period, at least 1 each, that add up to it (largest remainders first)."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    q = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (q[s] - exact[s], str(s)))
-    i = 0
-    while (gap := period - sum(q.values())) != 0:
-        s = order[i % len(order)] if gap > 0 else max(q, key=lambda s: (q[s] - exact[s] if q[s] > 1 else -period, str(s)))
-        q[s] += 1 if gap > 0 else -1
-        i += 1
-    return q
-
-
-def until_used_up(q: dict[str | None, int], left: dict[str | None, int]) -> dict[str | None, list[int]]:
-    """The slot of each block of each source, by earliest deadline first among released blocks, until a source has none left."""
-    period, slots = sum(q.values()), {s: [] for s in q}
-    waiting = [(0, str(s), s is None, s, 0) for s in q]
+#: What a window's ends may be off by in double precision, in slots.
+EXACT = 1e-9
+NEW = ("block", "slot", "release", "deadline", "position")
+
+
+def windows(blocks: np.ndarray, weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Release and deadline of each block of each source.
+
+    By virtual time v a source has done min(w * v, blocks) of its blocks, and the slot is the sum of that over all sources.
+    """
+    ends = blocks / weights
+    order = np.argsort(ends, kind="stable")
+    done, rate = np.concatenate([[0.0], np.cumsum(blocks[order])]), weights.sum() - np.concatenate([[0.0], np.cumsum(weights[order])])
+    ends = ends[order]
+
+    def slot(v: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(ends, v, side="left")
+        return done[k] + np.maximum(rate[k], 0.0) * v
+
+    out = []
+    for n, w in zip(blocks.tolist(), weights.tolist(), strict=True):
+        at = slot(np.arange(int(n) + 1) / w)
+        out.append((np.floor(at[:-1] + EXACT).astype(np.int64), np.ceil(at[1:] - EXACT).astype(np.int64)))
+    return out
+
+
+def earliest_deadline_first(spans: list[tuple[np.ndarray, np.ndarray]], names: list[tuple]) -> list[np.ndarray]:
+    """The slot of each block: in each slot the released block that is due first, the least name on a tie."""
+    rank = {k: i for i, k in enumerate(sorted(range(len(names)), key=names.__getitem__))}
+    release, due = [a.tolist() for a, _ in spans], [b.tolist() for _, b in spans]
+    slots = [[0] * len(a) for a in release]
+    waiting = [(a[0], rank[k], k, 0) for k, a in enumerate(release) if a]
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    t = 0
-    while True:
+    for t in range(sum(map(len, release))):
         while waiting and waiting[0][0] <= t:
-            _, name, null, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // q[s]), name, null, s, i))
-        due, name, null, s, i = heapq.heappop(ready)
-        if due <= t:
+            _, r, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (due[k][i], r, k, i))
+        last, r, k, i = heapq.heappop(ready)
+        if last <= t:
             raise AssertionError("a block missed its deadline")
-        slots[s].append(t)
-        if i + 1 == left[s]:
-            return slots
-        heapq.heappush(waiting, ((i + 1) * period // q[s], name, null, s, i + 1))
-        t += 1
-
-
-def schedule(rows: dict[str | None, int], weights: dict[str | None, float], block: int) -> dict[str | None, list[tuple]]:
-    """Per source its phases: (first block, blocks, first slot, q, period, rows missing before, slots of its blocks)."""
-    left = {s: -(-n // block) for s, n in rows.items() if n}
-    done, out = dict.fromkeys(left, 0), {s: [] for s in left}
-    base = missing = 0
-    while left:
-        q = rounded({s: weights[s] for s in left}, PERIOD * sum(left.values()))
-        slots, period = until_used_up(q, left), sum(q.values())
-        gone = next(s for s in left if len(slots[s]) == left[s])
-        ends = slots[gone][-1]
-        for s in left:
-            if used := len(slots[s]):
-                out[s].append((done[s], used, base, q[s], period, missing, slots[s]))
-            done[s] += used
-            left[s] -= used
-        del left[gone]
-        missing += -rows[gone] % block
-        base += ends + 1
-    return out
-
-
-PHASES = T.StructType([T.StructField("_name", T.StringType()), T.StructField("_index", T.LongType()), T.StructField("_phases", T.ArrayType(T.StructType([*[T.StructField(c, T.LongType()) for c in ("first", "blocks", "base", "q", "period", "missing")]])))])
+        slots[k][i] = t
+        if i + 1 < len(release[k]):
+            heapq.heappush(waiting, (release[k][i + 1], r, k, i + 1))
+    return [np.array(s, np.int64) for s in slots]
+
+
+def schedule(rows: dict[str | None, int], weights: dict[str | None, float], block: int) -> pa.Table:
+    """Per block: source number (in the order of rows), block, slot, release, deadline, and the position of its first row."""
+    names = list(rows)
+    many = np.array([-(-rows[s] // block) for s in names], float)
+    spans = windows(many, np.array([weights[s] for s in names], float)) if names else []
+    slots = earliest_deadline_first(spans, [(s is not None, s or "") for s in names])
+    # The last block of a source may be short; rows behind it move up.
+    size = np.full(int(many.sum()), block, np.int64)
+    for s, own in zip(names, slots, strict=True):
+        size[own[-1]] -= -rows[s] % block
+    first = np.cumsum(size) - size
+    none = [np.zeros(0, np.int64)]
+    joined = lambda parts: np.concatenate([*none, *parts])
+    slot = joined(slots)
+    return pa.table(
+        {
+            "_at": joined([np.full(len(s), k) for k, s in enumerate(slots)]),
+            "_of": joined([np.arange(len(s)) for s in slots]),
+            "_slot": slot,
+            "_release": joined([a for a, _ in spans]),
+            "_deadline": joined([b for _, b in spans]),
+            "_first": first[slot],
+        }
+    )
 
 
-def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = 32, power: float = 0.7, source: str = "source", doc_id: str = "doc_id", text: str | None = "text", prefix: str = "mix") -> DataFrame:
+def pfair_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = 32, power: float = 0.7, source: str = "source", doc_id: str = "doc_id", text: str | None = "text", tie: str | None = None, prefix: str = "mix", most_blocks: int = 1 << 20) -> DataFrame:
     """docs with {prefix}_block, {prefix}_slot, {prefix}_release, {prefix}_deadline and {prefix}_position (gapless from 0).
 
-    weights default to each source's rows to the given power, which raises small sources.
+    weights default to each source's rows to the given power, which raises small sources. block is the least number of rows in a
+    block. Rows of one source and doc_id are told apart by `text`, or by `tie`, where its xxhash64 is at hand.
     """
     spark = docs.sparkSession
-    tie = F.xxhash64(text) if text and text in docs.columns else F.lit(0)
-    keyed = docs.withColumn("_hash", F.xxhash64(F.lit(11), F.col(doc_id), tie)).withColumn("_source", F.col(source).cast("string"))
-    counts = {r[0]: r[1] for r in keyed.groupBy("_source").agg(F.count("*").alias("n")).collect()}
+    plain, names, restored = unclashing(docs)
+    source, doc_id = names[source], names[doc_id]
+    mark = F.col(names[tie]) if tie else F.xxhash64(names[text]) if text and text in names else F.lit(0)
+    # Null has a key of its own, so that plain equality joins it, too.
+    key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
+    keyed = plain.withColumn("_hash", F.xxhash64(F.lit(11), F.col(doc_id), mark)).withColumn("_source", key)
+    found = {r[0]: r[1] for r in keyed.groupBy("_source").agg(F.count("*").alias("n")).collect()}
+    counts = {(k[1:] if k else None): found[k] for k in sorted(found)}
     known = {s: weights[s] for s in counts if s in weights} if weights else {}
     target = {s: known.get(s, sum(known.values()) / len(known) if known else n**power) for s, n in counts.items()}
-    # The table of phases has one row per source; without a hint, Spark broadcasts it only if it is small enough.
-    planned = schedule(counts, target, block)
-    phases = spark.createDataFrame([(s, k, [x[:-1] for x in p]) for k, (s, p) in enumerate(planned.items())], PHASES)
-    slots = [(k, np.concatenate([np.array(x[-1], np.int64) + x[2] for x in p])) for k, p in enumerate(planned.values())]
-    total = sum(len(x) for _, x in slots)
-    numbered = pa.table({"_at": np.concatenate([np.full(len(x), k) for k, x in slots] or [np.zeros(0, np.int64)]), "_of": np.concatenate([np.arange(len(x)) for _, x in slots] or [np.zeros(0, np.int64)]), "_slot": np.concatenate([x for _, x in slots] or [np.zeros(0, np.int64)])})
-    timed = spark.createDataFrame(numbered)
-    timed = F.broadcast(timed) if total <= SENT else timed
-    salts = max(64, sum(counts.values()) // 20_000)
+    total = sum(counts.values())
+    block = max(block, -(-total // max(1, most_blocks - len(counts))))
+    # most_blocks rows at most.
+    timed = F.broadcast(spark.createDataFrame(schedule(counts, target, block)))
+    salts = max(64, total // 20_000)
     keyed = keyed.withColumn("_salt", F.pmod("_hash", F.lit(salts)).cast("int"))
+    numbers = spark.createDataFrame([("" if s is None else f"={s}", k) for k, s in enumerate(counts)], "_name string, _index long")
     before = keyed.groupBy("_source", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.select(F.col("_source").alias("_s"), F.col("_salt").alias("_t"), "_before").join(phases, F.col("_s").eqNullSafe(F.col("_name")))
+    before = before.join(numbers, F.col("_source") == F.col("_name")).select(F.col("_source").alias("_s"), F.col("_salt").alias("_t"), "_before", "_index")
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_salt").orderBy("_hash", doc_id)) - 1)
-    found = ranked.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_t"))).withColumn("_row", F.col("_rank") + F.col("_before"))
-    found = found.withColumn("_block", F.expr(f"_row div {block}")).withColumn("_p", F.expr("filter(_phases, p -> _block >= p.first AND _block < p.first + p.blocks)[0]"))
-    found = found.withColumn("_i", F.expr("_block - _p.first")).join(timed, (F.col("_index") == F.col("_at")) & (F.col("_block") == F.col("_of")))
-    return found.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("_block").cast("long").alias(f"{prefix}_block"),
-        F.col("_slot").cast("long").alias(f"{prefix}_slot"),
-        F.expr("_p.base + (_i * _p.period) div _p.q").cast("long").alias(f"{prefix}_release"),
-        F.expr("_p.base + ((_i + 1) * _p.period + _p.q - 1) div _p.q").cast("long").alias(f"{prefix}_deadline"),
-        (F.col("_slot") * block + F.expr(f"_row % {block}") - F.expr("_p.missing")).cast("long").alias(f"{prefix}_position"),
-    )
+    placed = ranked.join(before, (F.col("_source") == F.col("_s")) & (F.col("_salt") == F.col("_t"))).withColumn("_row", F.col("_rank") + F.col("_before"))
+    placed = placed.withColumn("_block", F.expr(f"_row div {block}")).join(timed, (F.col("_index") == F.col("_at")) & (F.col("_block") == F.col("_of")))
+    own = {"block": F.col("_block"), "slot": F.col("_slot"), "release": F.col("_release"), "deadline": F.col("_deadline"), "position": F.col("_first") + F.expr(f"_row % {block}")}
+    taken = {f"{prefix}_{c}" for c in NEW}
+    kept = [c for c, old in zip(restored, docs.columns, strict=True) if old not in taken]
+    return placed.select(*kept, *[own[c].cast("long").alias(f"{prefix}_{c}") for c in NEW])
 
 
 def mixed_order(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
