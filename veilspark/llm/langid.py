@@ -14,6 +14,8 @@ Rows with a null or repeated doc_id are kept as they come. Other columns are ign
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +26,17 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import BASE, MASK, bounded_sample, flat, mapped, slices, unclashing
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _class(first: str) -> str:
+    """The characters whose Unicode category starts with one of the given letters, as ranges of a pattern's class."""
+    own = np.array([unicodedata.category(chr(c))[0] in first for c in range(sys.maxunicode + 1)])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edge[::2], edge[1::2], strict=True))
+
+
+#: A word: a letter, then letters and the marks that go with them.
+LETTERS = re.compile(f"[{_class('L')}][{_class('LM')}]*")
 #: Words that one task remembers before it forgets them all; bounds memory only.
 REMEMBERED = 150_000
 #: Multipliers that place a hash in the two tables of pieces.
@@ -32,17 +44,17 @@ PLACES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 class Pieces:
-    """The pieces of a sentencepiece vocabulary that are made of letters, lower case, up to `longest` characters."""
+    """The pieces of a sentencepiece vocabulary that are made of letters, in lower case."""
 
-    _loaded: dict[tuple[str, int], Pieces] = {}
+    _loaded: dict[str, Pieces] = {}
 
-    def __init__(self, path: str, longest: int) -> None:
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-        kept = sorted({p.lower() for p in pieces if LETTERS.fullmatch(p.removeprefix("▁")) and len(p) <= longest})
-        self.ids, self.longest = {p: i for i, p in enumerate(kept)}, longest
+        kept = sorted({p.lower() for p in pieces if LETTERS.fullmatch(p.removeprefix("▁"))})
+        self.ids, self.longest = {p: i for i, p in enumerate(kept)}, max(map(len, kept))
         self.n = len(kept)
         self.bits = 20
         hashes = np.array([self.hash_of(p) for p in kept], np.uint64)
@@ -85,10 +97,10 @@ class Pieces:
         return out
 
     @classmethod
-    def load(cls, path: str, longest: int) -> Pieces:
-        if (path, longest) not in cls._loaded:
-            cls._loaded[path, longest] = cls(path, longest)
-        return cls._loaded[path, longest]
+    def load(cls, path: str) -> Pieces:
+        if path not in cls._loaded:
+            cls._loaded[path] = cls(path)
+        return cls._loaded[path]
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """For words of one length n (with their start mark): ids[word, end, size - 1], the piece of that size that ends there.
@@ -149,7 +161,10 @@ def word_scores(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
 
 
 def expected(words: list[str], times: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of words of one language, by forward and backward sums; p: one language."""
+    """Expected uses of each piece over all segmentations of words of one language, by forward and backward sums; p: one language.
+
+    The sums of each place are kept as fractions of a power of e of its own, so words of any length stay within double precision.
+    """
     out = np.zeros(pieces.n + 2)
     marked = ["▁" + w for w in words]
     for own in by_length(marked):
@@ -157,39 +172,45 @@ def expected(words: list[str], times: np.ndarray, pieces: Pieces, p: np.ndarray)
         n1, sizes, w = ids.shape
         prob = p[ids, 0]
         alpha, beta = np.zeros((n1, w)), np.zeros((n1, w))
+        up, down = np.zeros((n1, w)), np.zeros((n1, w))
         alpha[0] = beta[-1] = 1
         for end in range(1, n1):
+            up[end] = up[end - 1]
             for size in range(1, min(end, sizes) + 1):
-                alpha[end] += alpha[end - size] * prob[end, size - 1]
-        weight = count / np.maximum(alpha[-1], 1e-300)
+                alpha[end] += alpha[end - size] * np.exp(up[end - size] - up[end]) * prob[end, size - 1]
+            top = np.maximum(alpha[end], 1e-300)
+            alpha[end] /= top
+            up[end] += np.log(top)
         for start in range(n1 - 2, -1, -1):
+            down[start] = down[start + 1]
             for size in range(1, min(n1 - 1 - start, sizes) + 1):
-                beta[start] += beta[start + size] * prob[start + size, size - 1]
+                beta[start] += beta[start + size] * np.exp(down[start + size] - down[start]) * prob[start + size, size - 1]
+            top = np.maximum(beta[start], 1e-300)
+            beta[start] /= top
+            down[start] += np.log(top)
         for end in range(1, n1):
             for size in range(1, min(end, sizes) + 1):
-                out += np.bincount(ids[end, size - 1], weight * alpha[end - size] * prob[end, size - 1] * beta[end], len(out))
+                share = alpha[end - size] * prob[end, size - 1] * beta[end] * np.exp(np.minimum(up[end - size] + down[end] - up[-1], 700))
+                out += np.bincount(ids[end, size - 1], count * share, len(out))
     return out
 
 
-def learn(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_docs: int = 3000, rounds: int = 3, longest: int = 8, longest_word: int = 40) -> tuple[list[str], np.ndarray]:
-    """Languages, and probs[piece, language] from about max_docs labelled documents at most (their whole texts).
-
-    Words over longest_word letters are left out of the learning, not of the scoring.
-    """
+def learn(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_docs: int = 3000, rounds: int = 3) -> tuple[list[str], np.ndarray]:
+    """Languages, and probs[piece, language] from about max_docs labelled documents at most (their whole texts)."""
     sample = bounded_sample(labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(doc_id, text, lang), doc_id, max_docs)
 
     def count(batches):
         for batch in batches:
             by: dict[str, Counter] = {}
             for t, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                by.setdefault(name, Counter()).update(w for w in LETTERS.findall(t.lower()) if len(w) <= longest_word)
+                by.setdefault(name, Counter()).update(LETTERS.findall(t.lower()))
             rows = [(name, w, n) for name, words in by.items() for w, n in words.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["lang", "word", "n"])
 
     counted = mapped(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
-    pieces = Pieces.load(vocabulary, longest)
+    pieces = Pieces.load(vocabulary)
     # At the start a piece is likelier the longer it is, so that the first round already prefers whole morphemes.
     size = np.array([len(x) for x in pieces.ids] + [0, 0], float)
     start = 1e-4 ** (1 / np.maximum(size, 1)) * 1e-3
@@ -200,7 +221,7 @@ def learn(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str =
         shared = sent(p)
 
         def step(batches, shared=shared):
-            own, sums = Pieces.load(vocabulary, longest), {}
+            own, sums = Pieces.load(vocabulary), {}
             for batch in batches:
                 names = np.array(batch.column(0).to_pylist(), object)
                 words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(float)
@@ -225,14 +246,14 @@ def learn(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str =
     return langs, p
 
 
-def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, keep: list[str], text: str = "text", longest: int = 8) -> DataFrame:
+def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs, lang_pred and score: the language's share of the posterior, the log likelihood tempered by the
     root of the number of words, as words of one text are far from independent."""
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias("_text")]))
     shared, place = docs.sparkSession.sparkContext.broadcast(p), keep.index(text) if text in keep else len(keep)
 
     def run(batches):
-        pieces, p = Pieces.load(vocabulary, longest), shared.value
+        pieces, p = Pieces.load(vocabulary), shared.value
         known: dict[str, int] = {}
         table = np.zeros((1024, p.shape[1]))
         for batch in batches:
