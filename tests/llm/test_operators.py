@@ -1,10 +1,13 @@
 """The corpus operators against brute force, on small tables with nulls, copies, empty and long texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +127,22 @@ def test_rules_statistics(docs, none):
         lines = [x for x in (r.text or "").split("\n") if words(x)]
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in r.text or "")
+
+
+def test_rules_in_spark_equal_rules_in_python(spark, docs):
+    rules = [(("words", ">=", 30.0), ("distinct_words", "<=", 0.9)), (("capitals", ">=", 0.2),), (("marks_per_word", ">=", 0.1), ("word_length", "<=", 4.0), ("repeated_words", ">=", 0.05))]
+    judged = quality_rules.judge(docs.withColumnsRenamed({"score": "n_words", "n_chars": "_words", "lang": "_h"}), rules)
+    assert len(judged.columns) == len(set(judged.columns)) and "_words" in judged.columns
+    for r in judged.select("rule", "kept", "base_failed", *[F.expr(sql).cast("double").alias(name) for name, sql in quality_rules.STATISTICS.items()]).collect():
+        want = next((k for k, rule in enumerate(rules, 1) if quality_rules.holds(rule, r.asDict())), None)
+        assert r.rule == want and r.kept == (want is None and not r.base_failed)
+    for width in (1, 3, 5, 8, 11):
+        for r in quality_rules.with_statistics(docs.select("text"), width=width).collect():
+            w = words(r.text)
+            count = Counter(tuple(w[i : i + width]) for i in range(len(w) - width + 1))
+            assert r.n_repeat_words == len({j for i in range(len(w) - width + 1) if count[tuple(w[i : i + width])] > 1 for j in range(i, i + width)})
+    assert quality_rules.tightest((("a", "<=", 0.57), ("b", ">=", 1.0), ("a", "<=", 0.497), ("a", ">=", 0.1))) == (("b", ">=", 1.0), ("a", "<=", 0.497), ("a", ">=", 0.1))
 
 
 def test_rules_learn():
@@ -230,12 +249,36 @@ def test_components(spark):
 
 def test_secrets(spark, docs, none):
     key, token = "AKIA" + "A1B2" * 5, "Zx9+" * 10
-    texts = [f'api_key = "abc123def" {key}', "token: token: abcdefgh", f"user_id: alice99 {token} https://h.example/x", token, f"{token} " + "w " * 600 + "user_id: alice99", "0" * 23, "f" * 24 + " PassWord=geheim7"]
-    got = secret_scan.scan(spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] * 2, "doc_id long, text string, spans string").drop("spans")).collect()
+    texts = [f'api_key = "abc123def" {key}', "token: token: abcdefgh", f"user_id: alice99 {token} https://h.example/x", token, f"{token} " + "w " * 600 + "user_id: alice99", "0" * 23, "f" * 24 + " PassWord=geheim7", f"username: {token}", f"login: bob77 {'Q' * 230}7{'q' * 20}"]
+    got = secret_scan.scan(spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] * 2, "doc_id long, text string, spans string")).collect()
     kinds = {(r.doc_id, tuple(s.kind for s in r.spans)) for r in got}
-    assert len(got) == 14
-    assert kinds == {(0, ("assign", "access")), (1, ()), (2, ("identifier", "opaque", "endpoint")), (3, ()), (4, ()), (5, ()), (6, ("hex", "assign"))}
-    assert secret_scan.scan(docs.drop("_text", "score")).count() == len(rows()) and secret_scan.scan(none).count() == 0
+    assert len(got) == 18
+    assert kinds == {(0, ("assign", "access")), (1, ()), (2, ("identifier", "opaque", "endpoint")), (3, ()), (4, ()), (5, ()), (6, ("hex", "assign")), (7, ()), (8, ("identifier", "opaque"))}
+    assert secret_scan.scan(docs).count() == len(rows()) and secret_scan.scan(none).count() == 0
+    clash = spark.createDataFrame([(1, texts[2], 7, "x", 5, "y")], "doc_id long, text string, _a int, _identifier string, assign int, _la string")
+    row = secret_scan.scan(clash).first()
+    assert (row._a, row._identifier, row._la) == (7, "x", "y") and len(row.spans) == 3 and row.assign == []
+
+
+def slow_links(text, scope):
+    """Every weak candidate against every part."""
+    find = lambda p: [(m.start(), m.end()) for m in re.finditer(p, text)]
+    own = {"assign": [(m.start(), m.end()) for m in re.finditer(secret_scan.ASSIGN, text) if len(m[2]) >= 6], "access": find(secret_scan.ACCESS), "hex": find(secret_scan.HEX)}
+    own |= {"_identifier": find(secret_scan.IDENTIFIER), "_opaque": find(secret_scan.OPAQUE), "_endpoint": find(secret_scan.ENDPOINT)}
+    near = lambda w, q: (q[1] <= w[0] <= q[1] + scope) or (q[0] - scope <= w[1] <= q[0])
+    out = [(a, secret_scan.KINDS.index(k), k, b) for k in ("assign", "access", "hex") for a, b in own[k]]
+    for name, needed in secret_scan.NEEDS.items():
+        out += [(*w[:1], secret_scan.KINDS.index(name[1:]), name[1:], w[1]) for w in own[name] if all(any(near(w, q) for c in secret_scan.PARTS[p] for q in own[c]) for p in needed)]
+    return sorted(out)
+
+
+def test_secret_links_equal_brute_force(spark):
+    r = random.Random(12)
+    parts = ["AKIA" + "C3D4" * 4, "user_id: ann_1 ", "login=bob@x.de ", "k7J/" * 9 + " ", "https://a.b/c?d=1 ", "f0" * 13 + " ", "token: s3cret99 ", "word ", "und ", "x" * 60 + " ", "é "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(120)]
+    for scope in (30, 100):
+        got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scope=scope).collect()
+        assert {x.doc_id: [tuple(s) for s in x.spans] for x in got} == {i: slow_links(t, scope) for i, t in enumerate(texts)}
 
 
 def test_mixing(docs, none, spark):
@@ -247,19 +290,78 @@ def test_mixing(docs, none, spark):
     seen = 0
     for i, r in enumerate(out[:1500]):  # before the first source is used up
         seen += r.source == "big"
-        assert abs(seen - (i + 1) * 0.3) < 20
+        if i % 10 == 9:
+            assert abs(seen - (i + 1) * 0.3) < 10
     assert mixing.pfair_mix(none).count() == 0 and mixing.mixed_order(docs).columns == docs.columns
+    clash = docs.withColumnsRenamed({"n_chars": "_before", "score": "_hash", "lang": "mix_block", "_text": "_source"})
+    mixed = mixing.pfair_mix(clash, block=2)
+    assert mixed.columns == ["doc_id", "text", "source", "_source", "_before", "_hash", "a.b", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"] or set(mixed.columns) == {*clash.columns, "mix_slot", "mix_release", "mix_deadline", "mix_position"}
+    assert {r["_hash"] for r in mixed.collect()} == {0.5, None} and len(mixed.columns) == len(set(mixed.columns))
+
+
+def slow_schedule(rows, weights, block):
+    """Fractions, a scan of all sources in every slot, and the progress of the ideal mix found phase by phase."""
+    left = {s: Fraction(-(-n // block)) for s, n in rows.items()}
+    blocks, share = dict(left), {s: Fraction(weights[s]) for s in rows}
+    marks, t = [(Fraction(0), {s: Fraction(0) for s in rows})], Fraction(0)
+    while left:
+        total = sum(share[s] for s in left)
+        step = min(left[s] * total / share[s] for s in left)
+        t += step
+        done = dict(marks[-1][1])
+        for s in left:
+            done[s] += step * share[s] / total
+        left = {s: blocks[s] - done[s] for s in left if done[s] < blocks[s]}
+        marks.append((t, done))
+
+    def when(s, amount):
+        for (t0, a), (t1, b) in zip(marks, marks[1:]):
+            if b[s] >= amount > a[s]:
+                return t0 + (amount - a[s]) / (b[s] - a[s]) * (t1 - t0)
+        return Fraction(0)
+
+    spans = {s: [(math.floor(when(s, Fraction(i))), math.ceil(when(s, Fraction(i + 1)))) for i in range(int(n))] for s, n in blocks.items()}
+    at, out = dict.fromkeys(rows, 0), {s: [] for s in rows}
+    for slot in range(int(sum(blocks.values()))):
+        due, _, _, s = min((spans[s][i][1], s is not None, s or "", s) for s, i in at.items() if i < len(spans[s]) and spans[s][i][0] <= slot)
+        assert slot < due
+        out[s].append((slot, *spans[s][at[s]]))
+        at[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("sources", [3, 7, 20])
+def test_schedule_equals_brute_force(sources):
+    r = random.Random(sources)
+    rows = {f"s{i:02}": r.choice((1, 5, 40, 200, 700)) for i in range(sources)} | {None: 33}
+    weights = {s: r.randint(1, 64) / 64 for s in rows}
+    got = mixing.schedule(rows, weights, 4).to_pylist()
+    want = slow_schedule(rows, weights, 4)
+    names = list(rows)
+    assert [(x["_at"], x["_of"], x["_slot"], x["_release"], x["_deadline"]) for x in got] == [(k, i, *x) for k, s in enumerate(names) for i, x in enumerate(want[s])]
+    by = sorted(got, key=lambda x: x["_slot"])
+    size = lambda x: min(4, rows[names[x["_at"]]] - 4 * x["_of"])
+    assert [x["_first"] for x in by] == [sum(size(y) for y in by[:i]) for i in range(len(by))]
 
 
 def test_schedule_keeps_exact_weights():
-    many = {"big": 1_000_000 // 3, **{f"s{i:02}": 1_000_000 * 2 // 57 for i in range(19)}}
-    for rows, weights in (({"a": 400_000, "b": 800_000, "c": 900}, {"a": 1 / 3, "b": 2 / 3, "c": 0.0004}), (many, {s: n**0.7 for s, n in many.items()})):
-        planned = mixing.schedule(rows, weights, 32)
-        total, first = sum(weights.values()), {s: p[0][-1] for s, p in planned.items()}  # the phase before the first source is used up
-        assert max(x[-1] for x in first.values()) > 10_000
-        for s, slots in first.items():
-            share = weights[s] / total
-            assert all(-1.01 < i - t * share and i + 1 - (t + 1) * share < 1.01 for i, t in enumerate(slots))
+    for rows, weights in (({"a": 40_000, "b": 40_000, "c": 40_000}, dict.fromkeys("abc", 1.0)), ({"a": 40_000, "b": 80_000, "c": 90}, {"a": 1 / 3, "b": 2 / 3, "c": 0.0004})):
+        table = mixing.schedule(rows, weights, 1)
+        total, seen = sum(weights.values()), 0
+        for k, s in enumerate(rows):
+            slots = np.sort(table.column("_slot").to_numpy()[table.column("_at").to_numpy() == k])
+            share, i = weights[s] / total, np.arange(len(slots))
+            early = slots < min(n * total / weights[x] for x, n in rows.items())  # before the first source is used up
+            assert (np.abs(i + 1 - (slots + 1) * share)[early] < 1 + 1e-6).all() and (np.abs(i - slots * share)[early] < 1 + 1e-6).all()
+            seen += early.sum()
+        assert seen > 90_000
+
+
+def test_many_sources_are_planned_in_seconds():
+    rows = {f"host{i}": 1 + i % 90 for i in range(10_000)}
+    began = time.time()
+    table = mixing.schedule(rows, {s: n**0.7 for s, n in rows.items()}, 4)
+    assert time.time() - began < 20 and sorted(table.column("_slot").to_pylist()) == list(range(table.num_rows))
 
 
 def test_embeddings(spark):
@@ -308,13 +410,13 @@ def test_audit_counts_each_vector(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = langid.Pieces.load(vocabulary("piece_bpe_32k.model"), 8)
+    pieces = langid.Pieces.load(vocabulary("piece_bpe_32k.model"))
     p = np.random.default_rng(1).random((pieces.n + 2, 2)) * 1e-3
     p[-1] = 0
 
     def brute(w):
         total = np.ones(2) if not w else np.zeros(2)
-        for k in range(1, min(8, len(w)) + 1):
+        for k in range(1, len(w) + 1):
             i = pieces.ids.get(w[:k], pieces.n if k == 1 else None)
             if i is not None:
                 total = total + p[i] * brute(w[k:])
@@ -325,15 +427,46 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got[:4], [np.log(brute("▁" + w)) for w in sample]) and np.isfinite(got).all()
 
 
+def test_expected_uses_equal_brute_force():
+    pieces = langid.Pieces.load(vocabulary("piece_bpe_32k.model"))
+    p = np.random.default_rng(2).random((pieces.n + 2, 1)) * 1e-3
+    p[-1] = 0
+
+    def cuts(w):
+        if not w:
+            yield ()
+        for k in range(1, len(w) + 1):
+            i = pieces.ids.get(w[:k], pieces.n if k == 1 else None)
+            if i is not None:
+                yield from ((i, *rest) for rest in cuts(w[k:]))
+
+    sample, times, want = ["there", "a", "straße", "日本x", "undergo"], np.array([1.0, 3.0, 2.0, 1.0, 5.0]), np.zeros(pieces.n + 2)
+    for w, n in zip(sample, times):
+        every = list(cuts("▁" + w))
+        weight = np.array([np.prod([p[i, 0] for i in c]) for c in every])
+        for c, x in zip(every, weight / weight.sum()):
+            for i in c:
+                want[i] += n * x
+    assert np.allclose(langid.expected(sample, times, pieces, p), want)
+    long = langid.expected(["ab" * 3000], np.ones(1), pieces, p)  # no word is too long to learn from
+    size = np.array([len(x) for x in pieces.ids] + [1, 0])
+    assert np.isclose((long * size).sum(), 6001)
+
+
+def test_letters():
+    assert langid.LETTERS.findall("½ ² x² 1a ünd हिन्दी ١ n̈o _ab_") == ["x", "a", "ünd", "हिन्दी", "n̈o", "ab"]
+
+
 def test_langid(spark, docs, none):
     said = {"en": "the quick brown fox jumps over the lazy dog and then sleeps near the old river", "de": "der schnelle braune fuchs springt und schläft dann nicht weit vom alten fluss"}
     train = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(said.items())] * 5, "doc_id long, text string, lang string")
     path = vocabulary("piece_bpe_32k.model")
     langs, p = langid.learn(train, path)
-    asked = spark.createDataFrame([(1, "the old dog near the river"), (2, "nicht weit vom fuchs"), (3, "12 ..."), (4, None)], "doc_id long, text string")
-    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, langs, p, path, ["doc_id"]).collect()} == {1: "en", 2: "de", 3: "und", 4: "und"}
+    asked = spark.createDataFrame([(1, "the old dog near the river"), (2, "nicht weit vom fuchs"), (3, "12 ..."), (4, None), (5, "½ ²")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, langs, p, path, ["doc_id"]).collect()} == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und"}
     got = langid.identify(docs, langs, p, path, ["doc_id"]).collect()
     assert len(got) == len(rows()) and all(0 <= r.score <= 1 for r in got)
+    assert langid.identify(none, langs, p, path, ["doc_id"]).count() == 0
     langs, p = langid.learn(none, path)
     assert {r.lang_pred for r in langid.identify(docs, langs, p, path, ["doc_id"]).collect()} == {"und"}
     assert langid.keep_identified(docs, path).columns == docs.columns
@@ -353,6 +486,83 @@ def test_pii(spark, docs, none):
     assert (y[chosen] == 1).mean() > 0.93 and chosen[y == 1].mean() > 0.85
 
 
+def test_scans_are_linear():
+    for make in (lambda n: "a" * n + " x@", lambda n: "7" * n + ".", lambda n: "a." * (n // 2) + "@", lambda n: "1." * (n // 2), lambda n: "a@a." * (n // 4), lambda n: "+1 " * (n // 3), lambda n: "x (at) " * (n // 7), lambda n: "- " * (n // 2) + "(at) y"):
+        took = []
+        for n in (500_000, 1_000_000):
+            t, best = make(n), []
+            for _ in range(2):
+                began = time.process_time()
+                pii.spans_of([t], *pii.train()) if n < 0 else (pii.fixed(t), pii.proposed(t))
+                best.append(time.process_time() - began)
+            took.append(min(best))
+        assert took[1] < 2.6 * took[0] + 0.05, (make(20), took)
+
+
+def slow_features(text, bits):
+    """Tokens and pairs one by one, hashed by the rule of the module."""
+    m = (1 << 64) - 1
+
+    def mixed(h):
+        for _ in range(2):
+            h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & m
+        return h ^ (h >> 32)
+
+    tokens_ = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-\x7f]+", text.encode())
+    h = [mixed(sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(t)) & m) for t in tokens_]
+    out = []
+    for i, x in enumerate(h):
+        out.append(x >> (64 - bits))
+        if i == 0:
+            out.append(x >> (64 - bits))
+            continue
+        pair = mixed((h[i - 1] * 0x9E3779B97F4A7C15 + x) & m)
+        pair = int(quality_classifier.SAME_AS_FIRST) if h[i - 1] == x else int(quality_classifier.SAME_AS_SECOND) if i > 1 and h[i - 2] == x else pair
+        out.append(pair >> (64 - bits))
+    return Counter(out)
+
+
+def slow_leader(rows_, labels, bits, rounds, alpha, beta, l1, l2):
+    """The updates coordinate by coordinate, in dictionaries."""
+    z, n, order = Counter(), Counter(), np.random.default_rng(0)
+    w = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(rounds):
+        for k in order.permutation(len(rows_)):
+            own = {i: w(i) for i in rows_[k]}
+            error = 1 / (1 + math.exp(-sum(own[i] * x for i, x in rows_[k].items()))) - labels[k]
+            for i, x in rows_[k].items():
+                g = error * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * own[i]
+                n[i] += g * g
+    return {i: w(i) for i in z}
+
+
+def test_classifier_equals_brute_force(spark):
+    bits, options = 18, {"rounds": 5, "alpha": 1.0, "beta": 1.0, "l1": 0.2, "l2": 0.5}
+    r = random.Random(21)
+    texts = [" ".join(r.choice(["buy", "buy", "now!!", "the", "hat", "é", "a-b"]) for _ in range(r.randint(0, 12))) for _ in range(40)]
+    labels = [int("now" not in t) for t in texts]
+    bias = lambda c: {i: n / math.sqrt(max(1, sum(c.values()))) for i, n in c.items()} | {1 << bits: 1.0}
+    slow = [bias(slow_features(t, bits)) for t in texts]
+    data = "".join(texts).encode()
+    fast = quality_classifier.counted(*quality_classifier.features(np.frombuffer(data, np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]]), bits), bits)
+    for a, (at, x) in zip(slow, fast):
+        assert a.keys() == set(at.tolist()) and np.allclose([a[i] for i in at.tolist()], x)
+    want = slow_leader(slow, labels, bits, *options.values())
+    w = quality_classifier.follow_leader(fast, np.array(labels, float), bits, *options.values())
+    assert np.allclose([w[i] for i in want], list(want.values())) and np.count_nonzero(w) == sum(x != 0 for x in want.values())
+    # One shard of the whole sample, however the rows are dealt to tasks.
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, quality int")
+    order = [x.doc_id for x in frame.orderBy(F.xxhash64(F.lit(5), "doc_id")).collect()]
+    want = slow_leader([slow[i] for i in order], [labels[i] for i in order], bits, *options.values())
+    for tasks in (1, 7):
+        w = quality_classifier.learn(frame.repartition(tasks), marks, shards=1, bits=bits)
+        assert np.allclose([w[i] for i in want], list(want.values()))
+    got = {x.doc_id: x.score for x in quality_classifier.score(frame, w, ["doc_id"]).collect()}
+    assert all(np.isclose(got[i], 1 / (1 + math.exp(-sum(w[k] * x for k, x in slow[i].items())))) for i in got)
+
+
 def test_classifier(spark, docs, none):
     good, bad = [prose(30) for _ in range(60)], [" ".join(["buy!!"] * 5 + [prose(10)]) for _ in range(60)]
     train = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
@@ -360,6 +570,7 @@ def test_classifier(spark, docs, none):
     w = quality_classifier.learn(train, labels)
     asked = quality_classifier.score(spark.createDataFrame([(1, prose(25)), (2, "buy!! buy!! " + prose(9))], "doc_id long, text string"), w, ["doc_id"])
     assert {r.doc_id: r.predicted for r in asked.collect()} == {1: 1, 2: 0}
-    assert quality_classifier.score(docs, w, ["doc_id"]).count() == len(rows())
+    assert quality_classifier.score(docs, w, ["doc_id", "a.b", "_text", "score"]).columns == ["doc_id", "a.b", "_text", "score", "score", "predicted"]
+    assert quality_classifier.score(docs, w, ["doc_id"]).count() == len(rows()) and quality_classifier.score(none, w, ["doc_id"]).count() == 0
     flat = quality_classifier.learn(none, labels)
     assert {r.score for r in quality_classifier.score(docs, flat, ["doc_id"]).collect()} == {0.5}
