@@ -36,14 +36,25 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame, what: str = "cut") -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, so a lost executor costs one task.
 
-    Spark deletes the files when the session ends.
+    Spark deletes the files when the session ends; `dropped` does so before that. What df was shuffled into is needed no more once it is
+    written, and executors delete it as soon as the driver has collected its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of durable tables from which nothing will be read again: what came of them must be durable itself."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._durable_at)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _release() -> None:

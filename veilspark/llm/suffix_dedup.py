@@ -8,7 +8,7 @@ Sorting every suffix of a large corpus is out of reach, and suffixes that cannot
 2. A context that occurs again as a whole is one suffix to sort. Of one that does not, though its gram occurs in other contexts, the
    windows are told apart by their distance from the gram, first in stretches of SPAN: all windows of a stretch share a core of bytes
    around the gram, and those whose core occurs once are dropped. A stretch that occurs again as a whole is a suffix, and of the
-   rest the single windows whose fingerprint occurs again. Every step is a pre-aggregated count, so however many contexts a gram
+   rest the single windows whose fingerprint occurs again, joined where neighbours occur again together. Every step is a pre-aggregated count, so however many contexts a gram
    has, none of them meet in a task.
 3. The suffixes are sorted in each task into runs, in which equal ones collapse, written front-coded (the length of the prefix
    shared with the one before, and the rest), and dealt to buckets by their fingerprint.
@@ -31,8 +31,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from veilspark.llm.common import durable, flat, mapped, mix, prefix_sums, slices, span_hashes
+from veilspark.llm.common import dropped, durable, flat, mapped, mix, prefix_sums, slices, span_hashes
 
 #: Windows in a stretch.
 SPAN = 16
@@ -243,18 +244,40 @@ def _parts(opened: DataFrame, cut, size: int) -> DataFrame:
     return mapped(opened.select("_a", "_b", "_z", "_own"), run, "_a long, _b long, g long, c long, p long")
 
 
-def _again(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of parts (_a, _b, g, c, p) those whose c occurs again, and the others whose g does, with one of each such c beside them.
+def _again(parts: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """Of parts (_a, _b, g, c, p) those whose c occurs again, and the others whose g does, with one of each such c beside them; and
+    the tables that both are read from.
 
     Both tables of keys are written before they are joined: a join of two plain shuffles is one that Spark splits where a key is hot.
     """
     grams = durable(parts.groupBy("g").agg(F.count("*").alias("_times"), (F.min("c") != F.max("c")).alias("_varied")).where("_times > 1").select(F.col("g").alias("_g"), "_varied"), "keys")
     live = durable(parts.join(grams, F.col("g") == F.col("_g")).select("_a", "_b", "c", "p", "_varied"), "live")
+    dropped(grams)
     same = durable(live.where("_varied").groupBy("c").agg(F.count("*").alias("_times")).where("_times > 1").select(F.col("c").alias("_c")), "keys")
     varied = durable(live.where("_varied").join(same, F.col("c") == F.col("_c"), "left").select("_a", "_b", "c", "p", F.col("_c").isNotNull().alias("_same")), "varied")
+    dropped(same)
     # One of each c that occurs again speaks for it among those that do not.
     one = varied.where("_same").groupBy("c").agg(F.min(F.struct("_a", "_b", "p")).alias("_one")).select("_one.*")
-    return live.where("NOT _varied").select("_a", "_b", "c", "p").union(varied.where("_same").select("_a", "_b", "c", "p")), varied.where("NOT _same").select("_a", "_b", "p").union(one)
+    return live.where("NOT _varied").select("_a", "_b", "c", "p").union(varied.where("_same").select("_a", "_b", "c", "p")), varied.where("NOT _same").select("_a", "_b", "p").union(one), (live, varied)
+
+
+def _neighbours(found: DataFrame) -> DataFrame:
+    """Single windows that occur again, as longer suffixes: _a, _b, c, p.
+
+    Every window is held against a witness, the least of its fingerprint; neighbours whose witnesses are neighbours, too, are one
+    suffix there and here, so that their bytes are sent once and not once for each window.
+    """
+    at = found.select("_a", "_b", "c", F.shiftright("p", 16).alias("s")).distinct()
+    least = durable(at.groupBy("c").agg(F.min(F.struct("_a", "_b", "s")).alias("_w")).select(F.col("c").alias("_c"), F.col("_w._a").alias("_wa"), F.col("_w._b").alias("_wb"), F.col("_w.s").alias("_ws")), "witnesses")
+    pairs = at.join(least, F.col("c") == F.col("_c")).where("NOT (_a = _wa AND _b = _wb AND s = _ws)").withColumn("_off", F.expr("s - _ws"))
+    ends = ["_a", "_b", "_wa", "_wb", "_off"]
+    islands = pairs.withColumn("_island", F.col("s") - F.row_number().over(Window.partitionBy(*ends).orderBy("s")))
+    # A number of windows is packed into eight bits.
+    runs = islands.groupBy(*ends, "_island", F.expr("s div 128").alias("_part")).agg(F.min("s").alias("s"), F.count("*").alias("n"))
+    runs = runs.withColumn("c", F.xxhash64("_wa", "_wb", F.expr("s - _off"), "n"))
+    packed_at = lambda first: F.expr(f"shiftleft({first}, 16) + shiftleft(n - 1, 8)").alias("p")
+    here, there = runs.select("_a", "_b", "c", packed_at("s")), runs.select(F.col("_wa").alias("_a"), F.col("_wb").alias("_b"), "c", packed_at("(s - _off)"))
+    return here.union(there.distinct())
 
 
 def _of_text(parts: DataFrame, what, name: str) -> DataFrame:
@@ -333,21 +356,31 @@ def repeats(docs: DataFrame, size: int = 200, k: int = 32, text: str = "text", d
     """(all texts with their length and hash, the texts that may hold repeats, the repeated windows of each as _spans of s, n)."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_a"), F.xxhash64("_text").alias("_b"), "_text")
     anchored = durable(_anchored(keyed, size, k), "anchors")
-    suffixes, opened = _again(anchored.select("_a", "_b", F.inline(F.arrays_zip("g", "c", "p"))))
+    heads = durable(anchored.select("doc_id", "_a", "_b", "_bytes", "_sha"), "heads")
+    suffixes, opened, read = _again(anchored.select("_a", "_b", F.inline(F.arrays_zip("g", "c", "p"))))
     item = F.struct("c", "p")
-    whole, some = _of_text(suffixes, item, "_own"), _of_text(opened, F.col("p"), "_open")
-    left = whole.join(some, ["_pa", "_pb"], "full")
+    left = _of_text(suffixes, item, "_own").join(_of_text(opened, F.col("p"), "_open"), ["_pa", "_pb"], "full")
     chosen = durable(_squeezed(keyed).join(left, (F.col("_za") == F.col("_pa")) & (F.col("_zb") == F.col("_pb"))).select(F.col("_za").alias("_a"), F.col("_zb").alias("_b"), "_z", "_own", "_open"), "chosen")
-    more, opened = _again(durable(_parts(chosen.where("_open IS NOT NULL").withColumn("_own", F.col("_open")), stretches, size), "stretches"))
+    dropped(anchored, *read)
+    cut = durable(_parts(chosen.where("_open IS NOT NULL").select("_a", "_b", "_z", F.col("_open").alias("_own")), stretches, size), "stretches")
+    more, opened, read = _again(cut)
+    dropped(cut)
     texts = chosen.select("_a", "_b", "_z").join(_of_text(opened, F.col("p"), "_own"), F.expr("_a = _pa AND _b = _pb"))
-    last, _ = _again(durable(_parts(texts, windows, size), "windows"))
-    late = _of_text(more.union(last), item, "_late")
-    every = chosen.join(late, F.expr("_a = _pa AND _b = _pb"), "left").withColumn("_own", F.concat(F.coalesce("_own", F.array().cast(chosen.schema["_own"].dataType)), F.coalesce("_late", F.array().cast(chosen.schema["_own"].dataType)))).where("size(_own) > 0")
-    total = every.agg(F.sum(F.size("_own") * (size + 90))).first()[0] or 0
-    runs = durable(_runs(every, size, max(16, int(total / BUCKET_BYTES))), "runs")
+    cut = durable(_parts(texts, windows, size), "windows")
+    last, _, also = _again(cut)
+    joined = durable(_neighbours(last), "joined")
+    late = durable(_of_text(more.union(joined), item, "_late"), "late")
+    dropped(cut, joined, *read, *also)
+    none = F.array().cast(chosen.schema["_own"].dataType)
+    every = chosen.join(late, F.expr("_a = _pa AND _b = _pb"), "left").withColumn("_own", F.concat(F.coalesce("_own", none), F.coalesce("_late", none))).where("size(_own) > 0")
+    total = (chosen.agg(F.sum(F.size("_own"))).first()[0] or 0) + (late.agg(F.sum(F.size("_late"))).first()[0] or 0)
+    runs = durable(_runs(every, size, max(16, int(total * (size + 90) / BUCKET_BYTES))), "runs")
     merged = runs.where("bucket >= 0").select("bucket", "run").groupBy("bucket").applyInArrow(_merge, "_a long, _b long, s int, n int")
+    dropped(late)
     spans = merged.union(runs.where("bucket < 0").select("_a", "_b", "s", "n")).groupBy(F.col("_a").alias("_sa"), F.col("_b").alias("_sb")).agg(F.collect_set(F.struct("s", "n")).alias("_spans"))
-    return anchored.select("doc_id", "_a", "_b", "_bytes", "_sha"), chosen.select("_a", "_b", "_z"), spans
+    spans = durable(spans, "spans")
+    dropped(runs)
+    return heads, chosen.select("_a", "_b", "_z"), spans
 
 
 def _covered(spans: list[dict], size: int) -> list[tuple[int, int]]:
