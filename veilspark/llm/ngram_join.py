@@ -169,6 +169,8 @@ def similarity_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = components(found.select(F.col("_k").alias("a"), F.col("_root").alias("b")))
     info = classes.select("_k", "_times").join(links, "_k", "left").join(roots, F.col("_k") == F.col("node"), "left")
     info = info.select(F.col("_k").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("_times") - 1).alias("_links"), F.coalesce("root", "_k").alias("_root"))
+    # Written, so that this is a join of two plain shuffles, which Spark splits where a class is large; so are the least rows below.
+    info = durable(info, "classes")
     return signed.select("_a", "_b", "_k").join(info, F.col("_k") == F.col("_class")).select("_a", "_b", "_links", "_class", "_root")
 
 
@@ -178,7 +180,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **option
     Rows without words stand alone.
     """
     found = durable(similarity_join(docs, text, doc_id, **options), "joined")
-    least = found.groupBy("_root").agg(F.min(F.struct("_a", "_b")).alias("_least"))
+    least = durable(found.groupBy("_root").agg(F.min(F.struct("_a", "_b")).alias("_least")), "least")
     found = found.join(least, "_root").groupBy("_a", "_b").agg(F.max("_links").alias("_links"), F.first("_least").alias("_least"))
     found = found.select(F.col("_a").alias("_fa"), F.col("_b").alias("_fb"), "_links", "_least")
     slim = _keyed(docs, text, doc_id).select(F.col(doc_id).alias("doc_id"), "_a", "_b")
@@ -192,7 +194,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
     plain, names, restored = unclashing(docs)
     text, doc_id = names[text], names[doc_id]
     found = durable(similarity_join(plain, text, doc_id, **options), "joined")
-    least = found.groupBy("_root").agg(F.min(F.struct("_a", "_b")).alias("_least"))
+    least = durable(found.groupBy("_root").agg(F.min(F.struct("_a", "_b")).alias("_least")), "least")
     judged = durable(found.join(least, "_root").groupBy("_a", "_b").agg(F.count("*").alias("_rows"), F.first(F.col("_least") == F.struct("_a", "_b")).alias("_kept")), "judged")
     gone = judged.where("NOT _kept").select(F.col("_a").alias("_ga"), F.col("_b").alias("_gb"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
