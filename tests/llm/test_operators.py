@@ -389,6 +389,26 @@ def test_embeddings_of_dense_groups_that_link(spark):
     assert {(r.vec_id // 150, r.n_links, r.component_id) for r in got} == {(0, 299, 0), (1, 299, 0), (2, 149, 300)}
 
 
+def test_embeddings_of_a_poor_graph(spark, monkeypatch):
+    # Neighbours are drawn at random and never refined: the audit sees that, and every label is compared as a whole.
+    r = np.random.default_rng(11)
+    data = [(i, v.tolist(), int(i % 3 == 0)) for i, v in enumerate(r.standard_normal((300, 8)))]
+    data += [(1000 + i, (np.array(v) + 0.01 * r.standard_normal(8)).tolist(), g) for i, v, g in data]
+
+    def drawn(nodes, trees, leaf, most, seed):
+        return nodes.select(F.col("_k").alias("u"), F.col("_k").alias("v"), F.lit(0.0).alias("sim"))
+
+    monkeypatch.setattr(embedding_dedup, "_planted", drawn)
+    monkeypatch.setattr(embedding_dedup, "_refined", lambda edges, nodes, most: edges)
+    report = []
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), block=64, passes=1, report=report).collect()
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in data}
+    label = {i: g for i, _, g in data}
+    links = Counter(x for i in unit for j in unit if j < i and label[i] == label[j] and unit[i] @ unit[j] >= 0.98 for x in (i, j))
+    assert report[0] and min(report[0].values()) < 0.1 and report[1] is None
+    assert {r.vec_id: r.n_links for r in got} == {i: links[i] for i in unit}
+
+
 def test_embeddings_of_isolated_pairs(spark):
     r = np.random.default_rng(6)
     a = r.standard_normal((6000, 64))
@@ -397,8 +417,9 @@ def test_embeddings_of_isolated_pairs(spark):
     b -= (b * a).sum(1)[:, None] * a
     b = 0.981 * a + np.sqrt(1 - 0.981**2) * b / np.linalg.norm(b, axis=1)[:, None]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, b]))]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).where("n_links = 1").count()
-    assert got >= 0.995 * len(rows)
+    report = []
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), report=report).where("n_links = 1").count()
+    assert got >= 0.995 * len(rows) and min(report[-1].values()) >= embedding_dedup.WANTED
 
 
 def test_audit_counts_each_vector(spark):

@@ -11,7 +11,8 @@ threshold's angle of each other are compared as one: nothing is cut, however lar
 The trees are as many as a pair at the threshold needs to meet in one leaf, which grows with the logarithm of the largest label, and
 rounds go on until the lists hardly change. A bounded sample of vectors is compared with all others to audit recall, per vector and by
 number of links, so that large groups do not hide small ones; while it falls short, new trees and longer lists are added, and if it
-still falls short after MOST_REFINED passes the operator fails rather than give such a result.
+still falls short after `passes` of them every label is compared as one closure, block by block, which is exact. The figures of each
+audit are given to the caller.
 
 Equal vectors of one label are one node from the start. Defined results: a vector that is null, empty, zero or has null or
 non-finite components, or whose label is null, links with nothing and is its own component; repeated rows link with each other; a
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import components, durable, mapped
 
-#: Recall the audit asks for in each stratum, the passes it may ask for before the operator fails, the share of new entries at which
-#: lists count as settled, and the share of pairs at the threshold that may meet in no leaf.
-WANTED, MOST_REFINED, SETTLED, MISSED = 0.97, 6, 0.001, 0.001
+#: Recall the audit asks for in each stratum, the share of new entries at which lists count as settled, and the share of pairs at the
+#: threshold that may meet in no leaf.
+WANTED, SETTLED, MISSED = 0.97, 0.001, 0.001
 
 
 def _units(rows: list, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +154,8 @@ def _refined(edges: DataFrame, nodes: DataFrame, most: int, block: int = 64) ->
 
     # u is sent to the place `at`: its neighbour's and its own.
     sent = edges.select(F.col("u"), F.col("v").alias("at")).union(edges.select(F.col("v"), F.col("u").alias("at"))).union(edges.select("u", F.col("u").alias("at"))).distinct()
-    crowd = sent.groupBy("at").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    sent = durable(sent, "sent")
+    crowd = durable(sent.groupBy("at").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")), "crowd")
     placed = sent.join(crowd, "at").withColumn("_block", F.pmod(F.xxhash64("u"), F.col("_blocks")))
     half = nodes.select("_k", "_h")
     fresh = placed.join(half, F.col("u") == F.col("_k")).select("at", "_block", "_k", "_h").groupBy("at", "_block").applyInArrow(meet, EDGES)
@@ -230,8 +232,13 @@ def _closures(edges: DataFrame, nodes: DataFrame, threshold: float, block: int,
     """Per vector and pair of blocks of its closure: _k, _links, _root."""
     passing = edges.where(F.col("sim") >= threshold - 0.004)  # half precision may be off by that much
     closed = durable(components(passing.select(F.col("u").alias("a"), F.col("v").alias("b"))), "closed")
-    closed = durable(_joined(closed, passing, nodes, threshold, most, block), "closed")
-    size = closed.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    return _compared(durable(_joined(closed, passing, nodes, threshold, most, block), "closed"), nodes, threshold, block)
+
+
+def _compared(closed: DataFrame, nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All pairs of blocks of each closure (node, root): _k, _links, _root."""
+    # Written, so that the join is one of two plain shuffles, which Spark splits where a closure is large; so below.
+    size = durable(closed.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")), "sizes")
     placed = closed.join(size, "root").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     placed = placed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_lo", F.least("_block", "_with")).withColumn("_hi", F.greatest("_block", "_with"))
     placed = placed.select("root", "node", "_block", "_lo", "_hi").join(nodes.select("_k", "_v", "_times"), F.col("node") == F.col("_k"))
@@ -276,8 +283,11 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int) ->
     return {k: sum(x) / len(x) for k, x in sorted(strata.items())}
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", most: int = 8, trees: int = 4, leaf: int = 64, rounds: int = 1, block: int = 512, queries: int = 500) -> DataFrame:
-    """Per row of vectors: vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", most: int = 8, trees: int = 4, leaf: int = 64, rounds: int = 1, block: int = 512, queries: int = 500, passes: int = 4, report: list | None = None) -> DataFrame:
+    """Per row of vectors: vec_id, n_links, component_id, kept.
+
+    report, where given, gets the recall of each pass (see `audit`), and None for the exact comparison, if it came to that.
+    """
     rows = durable(nodes_of(vectors, vec_id, embedding, label), "vectors")
 
     def halved(batches):
@@ -290,8 +300,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     largest = nodes.groupBy("_group").count().agg(F.max("count")).first()[0] or 0
     trees = max(trees, trees_for(largest, threshold, leaf))
     edges = durable(_lists(_planted(nodes, trees, leaf, most, 17), most), "graph")
-    refined = 0
-    while True:
+    for refined in range(1, passes + 1):
         done = 0
         while True:
             before, edges = edges, durable(_refined(edges, nodes, most), "graph")
@@ -300,20 +309,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
                 break
         found = _closures(edges, nodes, threshold, block, most)
         links = found.groupBy("_k").agg(F.sum("_links").alias("_links"))
-        refined += 1
         recall = audit(nodes, links, threshold, queries)
+        if report is not None:
+            report.append(recall)
         if min(recall.values(), default=1.0) >= WANTED:
             break
-        if refined >= MOST_REFINED:
-            raise RuntimeError(f"recall by bit length of the number of links is {recall} after {refined} passes; {WANTED} is asked for")
         most *= 2
         edges = durable(_lists(edges.union(_planted(nodes, trees, leaf, most, 17 + 1000 * refined)), most), "graph")
+    else:
+        first = durable(nodes.groupBy("_group").agg(F.min("_k").alias("root")), "labels")
+        found = _compared(durable(nodes.select(F.col("_k").alias("node"), "_group").join(first, "_group").select("node", "root"), "closed"), nodes, threshold, block)
+        links = found.groupBy("_k").agg(F.sum("_links").alias("_links"))
+        if report is not None:
+            report.append(None)
     roots = components(found.select(F.col("_k").alias("a"), F.col("_root").alias("b")))
     info = nodes.select("_k", "_times").join(links, "_k", "left").join(roots, F.col("_k") == F.col("node"), "left")
     info = info.select(F.col("_k").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("_times") - 1).alias("_links"), F.coalesce("root", "_k").alias("_root"))
     info = durable(info, "classes")
-    least = rows.join(info, F.col("_k") == F.col("_class")).groupBy("_root").agg(F.min("vec_id").alias("_least"))
-    named = info.join(least, "_root")
+    # The least id of each class first, so that a component meets by classes and not by rows.
+    own = rows.where("_k IS NOT NULL").groupBy("_k").agg(F.min("vec_id").alias("_own"))
+    least = durable(info.join(own, F.col("_k") == F.col("_class")).groupBy("_root").agg(F.min("_own").alias("_least")), "least")
+    named = durable(info.join(least, "_root"), "named")
     out = rows.select("vec_id", "_k").join(named, F.col("_k") == F.col("_class"), "left")
     component = F.coalesce("_least", "vec_id")
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
