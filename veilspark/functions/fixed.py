@@ -110,3 +110,13 @@ TEXT_OVERLAP, STATEMENT_OVERLAP, SAMPLE_ROWS = 500, 2, 500
 GRID, TILE_OVERLAP, SMALL_IMAGE = 4, 50, 400
 COLLAPSE_OVER, COLLAPSE_CONTEXT = 5, 3
 ANCHOR_CHARS, MOST_ORIGINAL, LEAST_BRIDGE, MOST_MASKED = 10, 400, 2, 200
+
+# The shapes of masked values, in the order in which they are tried; each must fit the whole value.
+MASK_SHAPES: list[tuple[str, str]] = [
+    ("PHONE", r"(?=.*\*)\+?[\d\s\-*()]{8,}"),
+    ("IP_ADDRESS", r"\d+\.\*+\.\*+\..*"),
+    ("IP_ADDRESS", r"\*+\.\*+\.\*+\.\*+"),
+    ("CARD_NUMBER", r"[X\d*][\sX\d*\-]{11,19}"),
+    ("PAN", r"[A-Z*]{5}[\dA-Z*]{5}"),
+    ("AADHAAR", r"[\dX*\-\s]{12,16}"),
+]
