@@ -71,3 +71,40 @@ def test_csv_reader(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,note\n01,"a ""b""\nc"\n2,NA\n3,\n')
     assert [tuple(r) for r in readers.csv_files(spark, str(tmp_path / "a.csv")).collect()] == [("01", 'a "b"\nc'), ("2", "NA"), ("3", "")]
     assert readers.csv_files_blanked(spark, str(tmp_path / "a.csv")).collect()[1].note == ""
+
+
+def test_files_follow_their_plans(spark):
+    from veilspark.operators import detect
+    from veilspark.plans import engines
+
+    asked = []
+
+    def names(text):
+        asked.append(text)
+        return detect.no_names(text)
+
+    rows = spark.createDataFrame([(1, "csv", "PAN ABCDE1234F"), (2, ".TXT", "PAN ABCDE1234F"), (3, "exe", "PAN ABCDE1234F"), (4, "png", None)], "id long, file_type string, text string")
+    got = {r.id: r for r in engines.sanitize_files(rows, providers=engines.Providers(spacy=names)).collect()}
+    assert got[1].masked_text == got[2].masked_text == "PAN [REDACTED]" and got[1].error is None
+    assert (got[3].masked_text, got[3].error) == (None, "unknown file type") and got[4].error is None
+    assert len(asked) == 2  # of the four combinations of the two layers given, those with names
+
+
+def test_matches_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from veilspark.functions.core import matches
+
+    def took(n):
+        frame = spark.createDataFrame([("x12 " * n,)], "t string")
+        best = []
+        for _ in range(3):
+            began = time.time()
+            assert frame.select(matches(F.col("t"), "[0-9]+").alias("m")).select(F.size("m"), F.get("m", F.lit(n - 1))["start"]).first() == (n, 4 * n - 3)
+            best.append(time.time() - began)
+        return min(best)
+
+    took(1000)
+    assert took(64_000) < 2.6 * took(32_000) + 0.5

@@ -255,6 +255,8 @@ def oracle_sql() -> dict[str, str]:
         "line_number": _records("SELECT doc_id, ord, CAST(len(string_split(left(text, start), chr(10))) AS INTEGER) AS line_no FROM raw JOIN records USING (doc_id)"),
         "viewer_labels": f"SELECT k, {_case('kind', fixed.VIEWER_TYPES, _q('NAME'))} AS viewer, {_cap("replace(regexp_replace(kind, '^IN_', ''), '_', ' ')")} AS label, {_case('layer', fixed.LAYER_NAMES, 'layer')} AS layer_name, {_case('lower(layer)', fixed.CHART_LAYERS, _cap("replace(layer, '_', ' ')"))} AS chart, CASE WHEN k / 25 > 0.8 THEN 'bg-green-500' WHEN k / 25 >= 0.5 THEN 'bg-yellow-500' ELSE 'bg-red-500' END AS color, CASE WHEN length('a rather long name ' || k::STRING) > 18 THEN left('a rather long name ' || k::STRING, 17) || '…' ELSE 'a rather long name ' || k::STRING END AS short FROM (SELECT n_nationkey AS k, [{', '.join(map(_q, _types))}][n_nationkey % 20 + 1] AS kind, ['regex', 'spacy', 'bert', 'rule_based', 'my_layer'][n_nationkey % 5 + 1] AS layer FROM nation)",
         "reading_text": f"SELECT img_id, string_agg(text, ' ' ORDER BY y, x, text) AS text, count(*) AS words FROM (SELECT {_fields(WORDS)} FROM lineitem) GROUP BY 1",
+        "focused_view": LINES + "SELECT doc_id, line_no, original, sanitized FROM x WHERE original <> sanitized",
+        "confident_words": f"SELECT img_id, engine, count(*) AS n FROM (SELECT {_fields(WORDS)}, CASE WHEN l_linenumber <= 3 THEN 'first' ELSE 'second' END AS engine FROM lineitem) WHERE confidence > 0.5 GROUP BY 1, 2",
         "ocr_merge": _with([], f"SELECT {_word('a')} FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {MEET} AND b.confidence > a.confidence) UNION ALL SELECT {_word('b')} FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {MEET}) UNION ALL SELECT {_word('b')} FROM a JOIN b ON {MEET} AND b.confidence > a.confidence", **BOX),
         "bbox_match": _with([], "SELECT v.img_id, v.value, b.x AS x0, b.y AS y0, b.x + b.width AS x1, b.y + b.height AS y1 FROM (SELECT DISTINCT img_id, concat('W', (img_id % 50)::STRING, '!') AS value FROM a) v JOIN b ON b.img_id = v.img_id AND (contains(lower(v.value), lower(b.text)) OR contains(lower(b.text), lower(v.value)))", **BOX),
         "tile_dedup": _with([], "SELECT img_id, engine AS entity_type, text AS value, count(*) AS tiles FROM a GROUP BY ALL", **BOX),
@@ -263,7 +265,8 @@ def oracle_sql() -> dict[str, str]:
         "encrypt_roundtrip": "SELECT c_custkey, c_name AS plain, true AS encrypted, '[DECRYPTION_FAILED]' AS wrong_key, c_name AS passed_on FROM customer",
         "encryption_probe": "SELECT 'partial' AS verdict",
         "pipeline_plan": files(f"SELECT id, CASE WHEN file_type = 'png' THEN 'D' WHEN file_type IN ('csv', 'json') THEN 'A' WHEN {PLAN_SIZE} THEN 'B' ELSE 'C' END AS rule, CASE file_type WHEN 'png' THEN 16 WHEN 'csv' THEN 10000 WHEN 'json' THEN 1500 WHEN 'txt' THEN CASE WHEN {PLAN_SIZE} THEN 100000 ELSE 30000 END ELSE CASE WHEN {PLAN_SIZE} THEN 15 ELSE 5 END END AS chunk_size, file_type IN ('txt', 'pdf') AND NOT {PLAN_SIZE} AS use_bert FROM files"),
-        "sanitize_files": documents(REPLACED.format(source="docs", more=", CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'unknown file type' END AS error").replace("AS masked", "AS masked_text"), **_dedup("raw", "same")),
+        # A file of an unknown type is not masked, and its text is not given out.
+        "sanitize_files": documents("SELECT doc_id, CASE WHEN error IS NULL THEN masked_text END AS masked_text, error FROM (" + REPLACED.format(source="docs", more=", CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'unknown file type' END AS error").replace("AS masked", "AS masked_text") + ")", **_dedup("raw", "same")),
         "pii_report": _records("SELECT 1 AS \"Line\", entity_type AS \"Entity Type\", value AS \"Original Value\", '[REDACTED]' AS \"Masked Value\", printf('%.2f', score) AS \"Confidence\", 'regex' AS \"Layer\" FROM raw"),
         "joined_chunks": "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
         "audit_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

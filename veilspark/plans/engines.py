@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
+from veilspark.functions.core import SPAN, empty
 from veilspark.functions.text import clean
 from veilspark.operators import chunking, context, detect, masking, resolve, summary
 from veilspark.plans.config import Plan
@@ -35,7 +36,7 @@ def gated_spans(text: Column, plan: Plan | None = None, providers: Providers | N
         own.append(p.spacy(text))
     if plan is not None and plan.use_bert:
         own.append(detect.bert_layer(p.bert, keep_organisations=True)(text))
-    return resolve.dedup_same_type(detect.union_of(*own))
+    return resolve.dedup_same_type(detect.union_of(*own)) if own else empty(SPAN)
 
 
 def gated(docs: DataFrame, text: str = "text", mode: str = "redact", plan: Plan | None = None, providers: Providers | None = None, min_score: float = 0.0) -> DataFrame:
@@ -87,13 +88,42 @@ def detect_text(spark, text: str, mode: str = "redact", profile: str = "contextu
     return PROFILES[profile](spark.createDataFrame([(text,)], "text string"), mode=mode)
 
 
-def sanitize_files(files: DataFrame, mode: str = "redact", profile: str = "gated") -> DataFrame:
-    """Files (name, file_type, text) with their plan and masked text; rows of unknown types get an error instead."""
+def sanitize_files(files: DataFrame, mode: str = "redact", profile: str = "gated", providers: Providers | None = None) -> DataFrame:
+    """Files (name, file_type, text) with their plan and masked text; a file of an unknown type keeps its text unmasked out of the
+    result and has an error instead.
+
+    Each file is masked by the layers of its own plan. Plans are few, so each combination of layers is a branch of the query over
+    its own files.
+    """
     from veilspark.plans.config import plan_column
 
     planned = files.withColumn("plan", plan_column("file_type", F.octet_length("text") / (1024 * 1024)))
-    out = PROFILES[profile](planned, mode=mode)
-    return out.withColumn("error", F.when(F.col("plan").isNull(), "unknown file type"))
+    p, layers = providers or Providers(), ("use_regex", "use_spacy", "use_bert")
+    # A layer without a provider finds nothing, so plans that differ in it alone are one.
+    given = {"use_regex": True, "use_spacy": p.spacy is not detect.no_names, "use_bert": p.bert is not detect.no_names}
+    if profile != "gated":
+        done = PROFILES[profile](planned.where("plan IS NOT NULL"), mode=mode, providers=p)
+    else:
+        done = None
+        free = [k for k in layers if given[k]]
+        for bits in range(1 << len(free)):
+            on = {k: bool(bits >> i & 1) for i, k in enumerate(free)}
+            test = F.col("plan").isNotNull()
+            for k, v in on.items():
+                test &= F.col(f"plan.{k}") == v
+            part = gated(planned.where(test), mode=mode, plan=Layers(**{k: on.get(k, False) for k in layers}), providers=p)
+            done = part if done is None else done.unionByName(part)
+    failed = planned.where("plan IS NULL").select(*planned.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in done.schema.fields[len(planned.columns) :]])
+    return done.withColumn("error", F.lit(None).cast("string")).unionByName(failed.withColumn("error", F.lit("unknown file type")))
+
+
+@dataclass
+class Layers:
+    """The layers that a plan switches on."""
+
+    use_regex: bool = True
+    use_spacy: bool = False
+    use_bert: bool = False
 
 
 def status() -> dict[str, bool]:

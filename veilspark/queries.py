@@ -663,6 +663,20 @@ def exif_text(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", ocr.exif_text(lat, lon, fields).alias("text"))
 
 
+@query
+def focused_view(spark, d):
+    """Changed lines only."""
+    docs = table(spark, d, "documents").withColumn("masked", F.regexp_replace("text", "[0-9]{3,}", "[REDACTED]"))
+    return diff.focused(diff.diff_lines(docs, "text", "masked", "doc_id")).select("doc_id", "line_no", "original", "sanitized")
+
+
+@query
+def confident_words(spark, d):
+    """Recognised words above a confidence, of all orders."""
+    words = _words(spark, d, "first").union(_words(spark, d, "second"))
+    return ocr.confident(words, 0.5).groupBy("img_id", "engine").agg(F.count("*").alias("n"))
+
+
 # Encryption, plans, sources, streams
 
 KEY = "0123456789abcdef0123456789abcdef"
