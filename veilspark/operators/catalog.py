@@ -142,6 +142,12 @@ def accepted(uploads: DataFrame, name: str = "name", size: str = "size") -> tupl
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 
+def looked_up(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(id), each id once, with the file of that id, and whether there is one."""
+    ids = wanted.select("id").where("id IS NOT NULL").distinct()
+    return ids.join(files.withColumn("found", F.lit(True)), "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def insert_files(files: DataFrame, new: DataFrame) -> DataFrame:
     return files.unionByName(new.withColumn("status", F.lit("PROCESSING")), allowMissingColumns=True)
 

@@ -83,6 +83,11 @@ def value_map(spans: Column, mode: str = "redact") -> Column:
     return let(let(first, distinct), entries)
 
 
+def distinct_values(spans: DataFrame, *keys: str) -> DataFrame:
+    """Each value that is not empty once, over all spans with the same keys, by rows: copies are dropped before they are shuffled."""
+    return spans.where(F.col("value") != "").select(*keys, "value").distinct()
+
+
 def longest_first(entries: Column) -> Column:
     """Entries by falling length of the value; equal lengths keep their order."""
     return F.transform(F.sort_array(F.transform(entries, lambda e, i: F.struct((-F.length(e["value"])).alias("k"), i.alias("i"), e.alias("e")))), lambda x: x["e"])
@@ -93,8 +98,11 @@ def replace_values(text: Column | str, entries: Column, longest: bool = True) ->
     return F.aggregate(longest_first(entries) if longest else entries, col(text), lambda acc, e: F.replace(acc, e["value"], e["to"]))
 
 
-def replace_once(text: Column | str, entries: Column) -> Column:
-    """All values in one pass from the left, the longest first where several fit; what has been put there is not looked at again."""
+def replace_once(text: Column | str, entries: Column, ordered: bool = False) -> Column:
+    """All values in one pass from the left, the longest first where several fit; what has been put there is not looked at again.
+
+    ordered: the entries are `longest_first` already, so that many texts with the same entries do not each sort them.
+    """
     t = col(text)
 
     def walked(found: Column) -> Column:
@@ -115,7 +123,7 @@ def replace_once(text: Column | str, entries: Column) -> Column:
         rest = lambda acc: F.concat(acc["out"], F.substring(t, acc["at"], F.length(t)))
         return F.when(F.size(found) == 0, t).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), most)), start, step, rest))
 
-    return let(F.filter(longest_first(entries), lambda e: F.contains(t, e["value"])), walked)
+    return let(F.filter(entries if ordered else longest_first(entries), lambda e: F.contains(t, e["value"])), walked)
 
 
 def detokenize(text: Column | str, token_map: Column) -> Column:

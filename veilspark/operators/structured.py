@@ -26,8 +26,10 @@ def json_indent(text: Column | str) -> Column:
 
 
 def json_items(text: Column | str) -> Column:
-    """Elements of a JSON array, each as JSON text."""
-    return F.from_json(col(text), T.ArrayType(T.StringType()))
+    """Elements of a JSON array, each as JSON text: texts keep their quotes, the keys of objects their order."""
+    t = col(text)
+    plain, typed = F.from_json(t, T.ArrayType(T.StringType())), F.from_json(t, "array<variant>")
+    return F.zip_with(plain, typed, lambda p, v: F.when(p.isNull(), "null").when(F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(p))
 
 
 def json_merge(parts: Column) -> Column:
@@ -35,6 +37,13 @@ def json_merge(parts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.flatten(parts), ","), F.lit("]"))
 
 
+def json_update(parts: Column) -> Column:
+    """JSON objects put together as one: a key stands where it came first, with its last value."""
+    read = lambda x: F.from_json(x, "map<string,variant>")
+    none = F.create_map().cast("map<string,variant>")
+    return F.to_json(F.aggregate(parts, none, lambda acc, x: F.map_zip_with(acc, F.coalesce(read(x), none), lambda _, a, b: F.coalesce(b, a))))
+
+
 def mask_leaves(value: Column, kind: T.DataType, mask) -> Column:
     """mask() over every string leaf of a typed column; keys and numbers stay. The recursion is over the schema, at plan time."""
     if isinstance(kind, T.StringType):

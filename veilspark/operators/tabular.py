@@ -10,7 +10,7 @@ from veilspark.functions.core import SPAN
 from veilspark.operators.chunking import chunk_of, head_sample, with_row_index
 from veilspark.operators.context import column_boost
 from veilspark.operators.detect import pattern_spans
-from veilspark.operators.masking import replace_once, value_map
+from veilspark.operators.masking import longest_first, replace_once, value_map
 from veilspark.operators.resolve import dedup_same_type
 
 SEPARATOR = " | "
@@ -42,9 +42,9 @@ def sanitize_table(df: DataFrame, mode: str = "redact", columns: list[str] | Non
     columns = columns or df.columns
     indexed = with_row_index(df)
     found = column_detections(column_texts(indexed, columns, rows=rows, sample=sample))
-    maps = found.select("chunk", "column", value_map(F.filter("spans", lambda s: s["score"] >= min_score), mode).alias("entries"))
+    maps = found.select("chunk", "column", longest_first(value_map(F.filter("spans", lambda s: s["score"] >= min_score), mode)).alias("entries"))
     per_chunk = maps.groupBy("chunk").agg(*[F.max(F.when(F.col("column") == c, F.col("entries"))).alias(f"_e{i}") for i, c in enumerate(columns)])
     out = indexed.withColumn("chunk", chunk_of("row_idx", rows)).join(per_chunk, "chunk")
-    masked = {c: replace_once(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.col(f"_e{i}")) for i, c in enumerate(columns)}
+    masked = {c: replace_once(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.col(f"_e{i}"), ordered=True) for i, c in enumerate(columns)}
     kept: list[Column] = [masked[c].alias(c) if c in masked else F.col(f"`{c}`") for c in df.columns]
     return out.select("row_idx", *kept), found

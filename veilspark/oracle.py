@@ -176,6 +176,13 @@ PLAN_SIZE = "size / (1024.0 * 1024.0) > 5"
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _found()
+    # Without overlap a tile's crop is its core.
+    found["tile_grid_plain"] = f"SELECT * REPLACE (core_left AS x_start, core_top AS y_start, core_right AS x_end, core_bottom AS y_end) FROM ({found['tile_grid']})"
+    return found
+
+
+def _found() -> dict[str, str]:
     documents = lambda body, **more: _with(["docs"], body, raw=_raw("docs"), **more)
     files = lambda body: _with(["files", "users", "audit"], body)
     return {
@@ -269,5 +276,24 @@ def oracle_sql() -> dict[str, str]:
         "sanitize_files": documents("SELECT doc_id, CASE WHEN error IS NULL THEN masked_text END AS masked_text, error FROM (" + REPLACED.format(source="docs", more=", CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'unknown file type' END AS error").replace("AS masked", "AS masked_text") + ")", **_dedup("raw", "same")),
         "pii_report": _records("SELECT 1 AS \"Line\", entity_type AS \"Entity Type\", value AS \"Original Value\", '[REDACTED]' AS \"Masked Value\", printf('%.2f', score) AS \"Confidence\", 'regex' AS \"Layer\" FROM raw"),
         "joined_chunks": "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+        "size_gates": files("SELECT id, size / 1048576.0 > 5 AS chunked, size / 1048576.0 <= 100 AS valid FROM files"),
+        "paragraph_pack_whole": _with([], "SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, cs[i] AS text FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM fin)", **PACK | {"parts": PACK["parts"].replace("length(p) > 600", "false")}),
+        "files_by_age": files(" UNION ALL ".join(f"SELECT '{k}' AS since, id FROM files WHERE {DONE}" + (f" AND processed_at * 400 >= 31536000 - {n} * 86400" if n else "") for k, n in {"7d": 7, "30d": 30, "90d": 90, "1y": 365, "ever": None}.items())),
+        "types_seen": documents("SELECT entity_type, min(ord) AS first, count(*) AS n FROM raw GROUP BY 1"),
+        "exif_hits": _records("SELECT k, CAST(count(value) FILTER (contains(concat('Artist: ', email, '; ', pan), value)) AS INTEGER) AS hits FROM v LEFT JOIN raw ON doc_id = k GROUP BY k"),
+        "encrypted_fields": "SELECT c_custkey, c_name, c_mktsegment, true AS hidden, c_name AS node_name, CAST(c_custkey AS BIGINT) AS node_key FROM customer",
+        "fresh_requests": "SELECT n_nationkey, 40 - n_nationkey * 3 <= 30 AND n_nationkey * 3 - 40 <= 5 AS accepted, false AS forged FROM nation",
+        "insert_files": files("SELECT id, name, status, total_pii FROM files UNION ALL SELECT -o_orderkey, concat('new_', o_orderkey::VARCHAR, '.txt'), 'PROCESSING', NULL FROM orders"),
+        "files_looked_up": files("SELECT a.file_id AS id, f.name, f.id IS NOT NULL AS found FROM (SELECT DISTINCT file_id FROM audit WHERE file_id IS NOT NULL) a LEFT JOIN files f ON f.id = a.file_id"),
+        "report_json": _records(f"SELECT doc_id, ord, CAST(json_object('id', ord, 'entity_type', entity_type, 'original', value, 'masked', '[REDACTED]', 'start', start, 'end', stop, 'confidence', score, 'layer', 'regex') AS VARCHAR) AS json FROM raw"),
+        "json_leaf_detection": _with(["v"], "SELECT k, unnest(['email', 'inner.pan']) AS path, '[REDACTED]' AS masked FROM v"),
+        "json_array_parts": _with(["v"], "SELECT k, concat('[\"', email, '\",{\"z\":1,\"a\":\"x\"},null,', k::VARCHAR, ',true]') AS j FROM v"),
+        "json_object_parts": _with(["v"], "SELECT k, concat('{\"z\":', k::VARCHAR, ',\"mail\":\"', email, '\",\"a\":2}') AS j FROM v"),
+        "json_indent": "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 2 END AS INTEGER) AS indent FROM nation",
+        "replace_in_order": _with(["v", "records"], "SELECT doc_id, replace(replace(text, 'A', '<x>'), 'Aadhaar', '[A]') AS masked FROM records"),
+        "time_left": files("SELECT job, CASE WHEN n > 0 THEN round((t - n) * (job * 60) / CAST(n AS DOUBLE), 6) END AS seconds FROM (SELECT id % 13 AS job, count(*) AS t, count(*) FILTER (id % 4 IN (0, 2)) AS n FROM audit GROUP BY 1)"),
+        "entities_of_type": _records("SELECT doc_id, ord, value FROM raw WHERE entity_type = 'PAN'"),
+        "page_values": _records("SELECT DISTINCT CAST(floor(doc_id / 50) AS BIGINT) AS page, value FROM raw"),
+        "file_ids": _with(["v"], "SELECT k, print AS file_id FROM v"),
         "audit_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     }

@@ -397,7 +397,7 @@ def column_texts(spark, d):
 @query
 def sanitize_table(spark, d):
     rows = values(spark, d).select("k", "email", "pan", F.concat_ws(" / ", "phone", "upi").alias("contact")).orderBy("k")
-    return tabular.sanitize_table(rows, columns=["email", "pan", "contact"], rows=500)[0].drop("row_idx")
+    return tabular.sanitize_table(rows, columns=["email", "pan", "contact"])[0].drop("row_idx")
 
 
 @query
@@ -733,5 +733,139 @@ def audit_counts(spark, d):
     return jobs.audit_counts(table(spark, d, "events").select("ts", "event_type")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
+# Gates, leaves, lookups and what else is not in a query above
+
+
+@query
+def size_gates(spark, d):
+    return files(spark, d).select("id", chunking.needs_chunking("size").alias("chunked"), chunking.valid_size("size").alias("valid"))
+
+
+@query
+def paragraph_pack_whole(spark, d):
+    """Paragraphs are never cut."""
+    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return documents(spark, d).select("doc_id", F.posexplode(chunking.pack_paragraphs(text, 600, sentences=False)).alias("idx", "text"))
+
+
+@query
+def tile_grid_plain(spark, d):
+    images = table(spark, d, "part").select(F.col("p_partkey").alias("img_id"), (F.col("p_partkey") * 37 % 3000 + 2).cast("int").alias("w"), (F.col("p_partkey") * 53 % 2000 + 3).cast("int").alias("h"))
+    return chunking.tiles(images, overlap=0)
+
+
+@query
+def files_by_age(spark, d):
+    own, now = files(spark, d).withColumn("processed_at", F.timestamp_seconds(F.col("processed_at") * 400)), F.timestamp_seconds(F.lit(31536000))
+    parts = [catalog.search(own, since=since, now=now).select(F.lit(since).alias("since"), "id") for since in (*catalog.DAYS, "ever")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query
+def types_seen(spark, d):
+    return catalog.types_seen(summary.long_form(raw(documents(spark, d)), "spans"))
+
+
+@query
+def exif_hits(spark, d):
+    rows = values(spark, d).selectExpr("k", f"{RECORD} AS text", "concat('Artist: ', email, '; ', pan) AS exif")
+    return rows.select("k", ocr.exif_hits(F.col("exif"), detect.pattern_spans("text")).alias("hits"))
+
+
+@query
+def encrypted_fields(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", crypto.encrypt_json(F.struct("c_name", "c_custkey"), F.lit(KEY)).alias("j"))
+    hidden = crypto.encrypt_fields(rows, ["c_name", "c_mktsegment"], F.lit(KEY)).withColumn("hidden", crypto.is_encrypted("c_name") & crypto.is_encrypted("c_mktsegment") & crypto.is_encrypted("j"))
+    shown = crypto.decrypt_fields(hidden, ["c_name", "c_mktsegment"], F.lit(KEY)).withColumn("node", crypto.decrypt_json("j", F.lit(KEY), "c_name string, c_custkey long"))
+    return shown.select("c_custkey", "c_name", "c_mktsegment", "hidden", F.col("node.c_name").alias("node_name"), F.col("node.c_custkey").alias("node_key"))
+
+
+@query
+def fresh_requests(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", crypto.hmac_sha256("n_name", "secret").alias("signature"))
+    check = lambda key: crypto.verified(F.col("n_name"), F.col("signature"), F.col("n_nationkey") * 3, F.lit(40), key)
+    return rows.select("n_nationkey", check("secret").alias("accepted"), check("other").alias("forged"))
+
+
+@query
+def insert_files(spark, d):
+    new = table(spark, d, "orders").select((-F.col("o_orderkey")).alias("id"), F.concat(F.lit("new_"), F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("name"), F.lit("txt").alias("file_type"))
+    return catalog.insert_files(files(spark, d), new).select("id", "name", "status", "total_pii")
+
+
+@query
+def files_looked_up(spark, d):
+    return catalog.looked_up(files(spark, d), audit(spark, d).select(F.col("file_id").alias("id"))).select("id", "name", "found")
+
+
+@query
+def report_json(spark, d):
+    rows = summary.long_form(raw(records(spark, d)), "spans", "doc_id")
+    out = rows.select("doc_id", "ord", F.col("ord").alias("id"), "entity_type", F.col("value").alias("original"), F.lit("[REDACTED]").alias("masked"), "start", "end", F.col("score").alias("confidence"), "layer")
+    return out.select("doc_id", "ord", writers.pii_report_json_column().alias("json"))
+
+
+@query
+def json_leaf_detection(spark, d):
+    """Leaves by path, each detected and masked on its own; blank ones are left out."""
+    rows = values(spark, d).select("k", F.to_json(F.struct("email", F.struct("pan", F.lit(" ").alias("blank")).alias("inner"))).alias("j"))
+    leaves = structured.json_leaves("j", {"email": "$.email", "inner.pan": "$.inner.pan", "inner.blank": "$.inner.blank", "none": "$.none"})
+    found = rows.select("k", F.inline(leaves))
+    return found.select("k", "path", masking.replace_values("value", masking.value_map(engines.gated_spans(F.col("value")))).alias("masked"))
+
+
+@query
+def json_array_parts(spark, d):
+    """Arrays of JSON taken apart and put together again."""
+    rows = values(spark, d).select("k", F.concat(F.lit('["'), "email", F.lit('", {"z": 1, "a": "x"}, null]')).alias("a"), F.concat(F.lit("["), F.col("k").cast("string"), F.lit(", true]")).alias("b"))
+    return rows.select("k", structured.json_merge(F.array(structured.json_items("a"), structured.json_items("b"))).alias("j"))
+
+
+@query
+def json_object_parts(spark, d):
+    rows = values(spark, d).select("k", F.array(F.concat(F.lit('{"z":1,"mail":"'), "email", F.lit('"}')), F.concat(F.lit('{"a":2,"z":'), F.col("k").cast("string"), F.lit("}"))).alias("parts"))
+    return rows.select("k", structured.json_update(F.col("parts")).alias("j"))
+
+
+@query
+def json_indent(spark, d):
+    rows = table(spark, d, "nation").selectExpr("n_nationkey", "concat('{', CASE WHEN n_nationkey % 2 = 0 THEN chr(10) ELSE '' END, '  \"a\": \"', n_name, '\"}') AS j")
+    return rows.select("n_nationkey", structured.json_indent("j").alias("indent"))
+
+
+@query
+def replace_in_order(spark, d):
+    """Values replaced in the order of their detection, not the longest first."""
+    entries = F.array(F.struct(F.lit("A").alias("value"), F.lit("<x>").alias("to")), F.struct(F.lit("Aadhaar").alias("value"), F.lit("[A]").alias("to")))
+    return records(spark, d).select("doc_id", masking.replace_values("text", entries, longest=False).alias("masked"))
+
+
+@query
+def time_left(spark, d):
+    jobs_ = chunk_status(spark, d)
+    return jobs_.select("job", F.round(summary.seconds_left("done", "total", F.col("job") * 60), 6).alias("seconds"))
+
+
+@query
+def entities_of_type(spark, d):
+    rows = summary.long_form(raw(records(spark, d)), "spans", "doc_id")
+    return diff.of_type(rows, "PAN").select("doc_id", "ord", "value")
+
+
+@query
+def page_values(spark, d):
+    """Distinct values of all texts on a page of fifty."""
+    rows = summary.long_form(raw(records(spark, d)).withColumn("page", F.floor(F.col("doc_id") / 50)), "spans", "page")
+    return masking.distinct_values(rows, "page")
+
+
+@query
+def file_ids(spark, d):
+    return values(spark, d).select("k", chunking.file_id(F.concat("print", F.lit("_report"))).alias("file_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

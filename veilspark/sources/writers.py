@@ -35,9 +35,13 @@ def pii_report(entities: DataFrame) -> DataFrame:
     return entities.select(F.lit(1).alias("Line"), F.col("entity_type").alias("Entity Type"), F.col("original").alias("Original Value"), F.col("masked").alias("Masked Value"), F.format_string("%.2f", "confidence").alias("Confidence"), F.col("layer").alias("Layer"))
 
 
+def pii_report_json_column() -> Column:
+    """A line of the report as JSON, of the eight columns by these names."""
+    return F.to_json(F.struct("id", "entity_type", "original", "masked", "start", "end", "confidence", "layer"))
+
+
 def pii_report_json(entities: DataFrame) -> DataFrame:
-    fields = ["id", "entity_type", "original", "masked", "start", "end", "confidence", "layer"]
-    return entities.select(F.to_json(F.struct(*fields)).alias("json"))
+    return entities.select(pii_report_json_column().alias("json"))
 
 
 def redaction_boxes(values: DataFrame, words: DataFrame, page: str = "page_idx") -> DataFrame:
