@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from veilspark import oracle
 from veilspark import queries as own
 
-CHOSEN = ("label_pairs", "mask_partial", "fixed_width", "chunk_overlap", "paragraph_pack", "tile_grid", "pii_distribution", "file_search", "audit_page", "diff_lines", "collapse_runs", "ocr_merge", "exif_text", "json_leaf_mask", "encrypt_roundtrip", "pipeline_plan", "run_mask", "update_results")
+CHOSEN = ("label_pairs", "mask_partial", "fixed_width", "chunk_overlap", "paragraph_pack", "tile_grid", "pii_distribution", "file_search", "audit_page", "diff_lines", "collapse_runs", "ocr_merge", "exif_text", "json_leaf_mask", "encrypt_roundtrip", "pipeline_plan", "run_mask", "update_results", "size_gates", "tile_grid_plain", "files_by_age", "files_looked_up", "insert_files", "encrypted_fields", "fresh_requests", "json_array_parts", "json_object_parts", "json_indent", "replace_in_order", "time_left", "file_ids")
 
 
 @pytest.fixture(scope="module")

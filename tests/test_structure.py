@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from veilspark.functions import crypto
-from veilspark.operators import chunking, diff, structured, tabular
+from veilspark.operators import catalog, chunking, diff, structured, tabular
 from veilspark.sources import readers, writers
 from veilspark.streaming import jobs
 
@@ -108,3 +108,19 @@ def test_matches_take_linear_time(spark):
 
     took(1000)
     assert took(64_000) < 2.6 * took(32_000) + 0.5
+
+
+def test_json_parts(spark):
+    rows = spark.createDataFrame([('["a \\"b\\"", {"z": 1, "a": [2]}, 1.50, null, true]', "[]"), ("[]", "[]"), ("no json", '["x"]')], "a string, b string")
+    items = [r[0] for r in rows.select(structured.json_items("a")).collect()]
+    assert items[:2] == [['"a \\"b\\""', '{"z":1,"a":[2]}', "1.5", "null", "true"], []]
+    assert rows.where("b = '[]'").select(structured.json_merge(F.array(structured.json_items("a"), structured.json_items("b")))).first()[0] == '["a \\"b\\"",{"z":1,"a":[2]},1.5,null,true]'
+    objects = spark.createDataFrame([(['{"k":1,"m":{"x":"y"}}', "{}", '{"n":[1,"2"],"k":"last"}'],), ([],)], "parts array<string>")
+    assert [r[0] for r in objects.select(structured.json_update(F.col("parts"))).collect()] == ['{"k":"last","m":{"x":"y"},"n":[1,"2"]}', "{}"]
+
+
+def test_looked_up(spark):
+    files = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    wanted = spark.createDataFrame([(2,), (2,), (7,), (None,)], "id long")
+    assert sorted(map(tuple, catalog.looked_up(files, wanted).select("id", "name", "found").collect())) == [(2, "b", True), (7, None, False)]
+    assert catalog.looked_up(files.limit(0), wanted.limit(0)).count() == 0

@@ -26,7 +26,8 @@ def json_indent(text: Column | str) -> Column:
 
 
 def json_items(text: Column | str) -> Column:
-    """Elements of a JSON array, each as JSON text: texts keep their quotes, the keys of objects their order."""
+    """Elements of a JSON array, each as JSON text: texts keep their quotes, the keys of objects their order; numbers are written in
+    their shortest form."""
     t = col(text)
     plain, typed = F.from_json(t, T.ArrayType(T.StringType())), F.from_json(t, "array<variant>")
     return F.zip_with(plain, typed, lambda p, v: F.when(p.isNull(), "null").when(F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(p))
