@@ -14,6 +14,10 @@ FLAGS = ("label_boosted", "proximity_boosted", "slide6_boosted", "column_name_bo
 MATCH = "struct<start:int,end:int,value:string>"
 
 
+#: Up to so many pairs are looked at one by one.
+FEW = 256
+
+
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -42,30 +46,25 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def running(values: Column, merge=lambda a, b: a + b, zero: int = 0, block: int = 512) -> Column:
-    """What merge gives for each whole number and all before it, such as running sums.
+def running(values: Column, merge=lambda a, b: a + b, zero: int = 0) -> Column:
+    """What merge (associative) gives for each whole number and all before it, such as running sums.
 
-    An accumulator array is copied at every element, so elements are folded in blocks, and the blocks' totals in turn: an element is
-    copied some block / 2 times, however long the array is.
+    Each step merges what stands twice as far back as the step before, so n numbers take log2(n) passes and no array grows by copies.
     """
+    steps = lambda own: F.sequence(F.lit(0), F.ceil(F.log2(F.size(own) + 1)).cast("int"))
 
-    def folded(own: Column, before: Column) -> Column:
-        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(merge(acc["at"], x))).alias("out"))
-        return F.aggregate(own, F.struct(before.cast("int").alias("at"), empty("int").alias("out")), step)["out"]
-
-    def blocked(own: Column) -> Column:
-        def joined(parts: Column) -> Column:
-            totals = folded(F.transform(parts, lambda x: F.aggregate(x, F.lit(zero), lambda a, b: merge(a, b))), F.lit(zero))
-            return let(totals, lambda ends: F.flatten(F.transform(parts, lambda x, i: folded(x, F.coalesce(F.get(ends, i - 1), F.lit(zero))))))
-
-        cut = F.transform(F.sequence(F.lit(0), ((F.size(own) - 1) / block).cast("int")), lambda i: F.slice(own, i * block + 1, F.lit(block)))
-        return F.when(F.size(own) <= block, folded(own, F.lit(zero))).otherwise(let(cut, joined))
+    def doubled(acc: Column, k: Column) -> Column:
+        # One step back is 1, 2, 4, ...; the number behind the last step is looked at once more, and nothing stands there.
+        back = F.pow(F.lit(2.0), k).cast("int")
+        return F.transform(acc, lambda x, i: F.when(i >= back, merge(F.get(acc, i - back), x)).otherwise(x))
 
-    return let(values, blocked)
+    first = lambda own: F.transform(own, lambda x, i: F.when(i == 0, merge(F.lit(zero), x)).otherwise(x)).cast("array<int>")
+    return let(values, lambda own: F.aggregate(steps(own), first(own), doubled))
 
 
 def inside(points: Column, zones: Column) -> Column:
-    """Per point whether it lies in a zone (struct of from and to, both included). All ends are sorted once, so no point looks at every zone."""
+    """Per point whether it lies in a zone (struct of from and to, both included). All ends are sorted once, so no point looks at every zone,
+    unless both are few."""
     # At one place zones open before the points and close behind them.
     event = lambda at, turn, place, step: F.struct(at.cast("bigint").alias("at"), F.lit(turn).alias("turn"), place.cast("int").alias("place"), F.lit(step).alias("step"))
 
@@ -78,7 +77,8 @@ def inside(points: Column, zones: Column) -> Column:
 
     marks = F.transform(points, lambda p, i: event(p, 1, i, 0))
     opened, closed = F.transform(zones, lambda z: event(z["from"], 0, F.lit(0), 1)), F.transform(zones, lambda z: event(z["to"], 2, F.lit(0), -1))
-    return F.when(F.size(zones) == 0, F.transform(points, lambda p: F.lit(False))).otherwise(let(F.sort_array(F.concat(marks, opened, closed)), swept))
+    plain = F.transform(points, lambda p: F.exists(zones, lambda z: (z["from"] <= p) & (p <= z["to"])))
+    return F.when(F.size(points) * F.size(zones) <= FEW, plain).otherwise(let(F.sort_array(F.concat(marks, opened, closed)), swept))
 
 
 def stretches(text: Column, body, block: int = 4096) -> Column:
@@ -98,20 +98,22 @@ def stretches(text: Column, body, block: int = 4096) -> Column:
     return let(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / block).cast("int")), lambda i: F.substring(text, i * block + 1, F.lit(block))), held)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of a pattern's leftmost, non-overlapping matches, in code points.
+def found_by(text: Column, pattern: str) -> Column:
+    """struct(found, gaps): a pattern's leftmost, non-overlapping matches, and what stands around them (null where there are none)."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda own: F.struct(own.alias("found"), F.when(F.size(own) > 0, F.split(text, pattern, -1)).alias("gaps")))
 
-    Offsets follow from the lengths of the matches and of the gaps between them, so the work stays in the JVM and in one row.
-    """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.filter(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), (F.length(g) + F.length(m)).alias("n"))), lambda x: x["m"].isNotNull())
 
-    def placed(own: Column) -> Column:
-        ends = running(F.transform(own, lambda x: x["n"]))
-        return F.zip_with(own, ends, lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("value")))
+def placed(found: Column, gaps: Column) -> Column:
+    """Array of (start, end, value), in code points. Offsets follow from the lengths of matches and gaps, so the work stays in the JVM and in one row."""
+    ends = running(F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(g) + F.length(m)))
+    return F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
 
-    # Most rows match few patterns: the cheap test comes first.
-    return F.when(text.rlike(pattern), let(steps, placed)).otherwise(empty(MATCH))
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, end, value) of a pattern's matches."""
+    # Most rows match few patterns.
+    return let(found_by(text, pattern), lambda own: F.when(own["gaps"].isNull(), empty(MATCH)).otherwise(placed(own["found"], own["gaps"])))
 
 
 def span(start: Column, ord: Column, end: Column, entity_type: Column, value: Column, score: Column, layer: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import SPAN, col, empty, lookup, matches, numbered, span, strip
+from veilspark.functions.core import SPAN, col, empty, found_by, lookup, matches, numbered, placed, span, strip
 
 Pattern = tuple[str, str, float, str]
 
@@ -37,17 +37,14 @@ def catalog() -> list[Pattern]:
 def pattern_spans(text: Column | str, patterns: list[Pattern] | None = None, layer: str = "regex") -> Column:
     """Spans of all patterns in catalog order; ord is the order of detection."""
     t = col(text)
-    parts = []
-    for entity, _, score, regex in patterns or catalog():
-        parts.append(F.transform(matches(t, regex), _spanned(entity, score, layer)))
-    found = numbered(F.concat(*parts))
+    each = [F.struct(found_by(t, regex).alias("own"), F.lit(entity).alias("entity"), F.lit(score).alias("score")) for entity, _, score, regex in patterns or catalog()]
+    # Places are worked out by one expression for all patterns that match, so that a plan holds it once.
+    hit = F.filter(F.array(*each), lambda x: x["own"]["gaps"].isNotNull())
+    spans = lambda x: F.transform(placed(x["own"]["found"], x["own"]["gaps"]), lambda m: span(m["start"], F.lit(0), m["end"], x["entity"], m["value"], x["score"], F.lit(layer)))
+    found = numbered(F.flatten(F.transform(hit, spans)))
     return found if patterns or _registered else F.when(t.rlike(NEEDED), found).otherwise(empty(SPAN))
 
 
-def _spanned(entity: str, score: float, layer: str) -> Callable[[Column], Column]:
-    return lambda m: span(m["start"], F.lit(0), m["end"], F.lit(entity), m["value"], F.lit(score), F.lit(layer))
-
-
 def labelled_sources(spans: Column) -> Column:
     """layer by type: patterns of one's own are `regex`, general ones `presidio_spacy`."""
     return F.transform(spans, lambda s: s.withField("layer", F.when(s["entity_type"].isin(*fixed.CUSTOM_TYPES), "regex").otherwise("presidio_spacy")))
@@ -84,11 +81,8 @@ def no_names(text: Column) -> Column:
 def gazetteer(names: dict[str, str], layer: str = "spacy", score: float = fixed.NAME_LAYER_SCORE) -> NameProvider:
     """A deterministic provider: names and their types."""
 
-    def find(text: Column) -> Column:
-        parts = [F.transform(matches(text, rf"\b{re.escape(name)}\b"), _spanned(kind, score, layer)) for name, kind in names.items()]
-        return numbered(F.concat(*parts)) if parts else empty(SPAN)
-
-    return find
+    own = [(kind, name, score, rf"\b{re.escape(name)}\b") for name, kind in names.items()]
+    return (lambda text: pattern_spans(text, own, layer)) if own else no_names
 
 
 def bert_layer(provider: NameProvider, keep_organisations: bool) -> NameProvider:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.core import col, let, running, stretches
 from veilspark.functions.mask import REDACTED, partial_mask, token
+from veilspark.functions.replace import replaced
 
 MODES = ("redact", "mask", "tokenize")
 
@@ -126,6 +127,26 @@ def replace_once(text: Column | str, entries: Column, ordered: bool = False) ->
     return let(F.filter(entries if ordered else longest_first(entries), lambda e: F.contains(t, e["value"])), walked)
 
 
+#: Up to so many values are replaced by built-ins, a pass over the text for each; more of them by one pass for all.
+FEW = 32
+
+
+def replace_many(texts: Column, entries: Column, way: str = "longest") -> Column:
+    """An array of texts, with the same entries replaced in each: `longest` first or `as given`, one after another, or all at `once`.
+
+    The work grows with the texts and with the entries, not with their product. A null array of texts stays null, and a null text in it too;
+    no entries leave all as it is. Not for use within a lambda, as many entries are left to an Arrow UDF.
+    """
+    few = F.size(entries) <= FEW
+    built_in = (lambda t: replace_once(t, entries)) if way == "once" else lambda t: replace_values(t, entries, longest=way == "longest")
+    return F.when(few, F.transform(texts, built_in)).otherwise(replaced(F.when(~few, texts), F.when(~few, entries), way))
+
+
+def replace_all(text: Column | str, entries: Column, way: str = "longest") -> Column:
+    """The same for one text."""
+    return replace_many(F.array(col(text)), entries, way)[0]
+
+
 def detokenize(text: Column | str, token_map: Column) -> Column:
     """The values that tokens stand for, put back."""
     return F.aggregate(F.map_entries(token_map), col(text), lambda acc, e: F.replace(acc, e["key"], e["value"]))

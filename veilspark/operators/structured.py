@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from veilspark.functions.core import col, let
 from veilspark.operators.chunking import sql_statements
-from veilspark.operators.masking import replace_values
+from veilspark.operators.masking import replace_all, replace_many
 
 
 def json_root(text: Column | str) -> Column:
@@ -91,15 +91,12 @@ def json_leaves(text: Column | str, paths: dict[str, str]) -> Column:
 
 def mask_sql(text: Column | str, entries: Column, joiner: str = "\n") -> Column:
     """Statements masked by value and joined again."""
-    return F.array_join(F.transform(sql_statements(text), lambda s: replace_values(s, entries)), joiner)
+    return F.array_join(replace_many(sql_statements(text), entries), joiner)
 
 
 def mask_runs(runs: Column, entries: Column) -> Column:
     """Runs of a paragraph: each is masked on its own, then across them; what only shows across runs moves into the first one."""
-    own = F.transform(runs, lambda r: replace_values(r, entries, longest=False))
-
-    def across(own: Column) -> Column:
-        full = F.array_join(own, "")
-        return let(replace_values(full, entries), lambda joined: F.when(joined != full, F.transform(own, lambda r, i: F.when(i == 0, joined).otherwise(""))).otherwise(own))
-
-    return let(own, across)
+    own = replace_many(runs, entries, "as given")
+    both = F.struct(own.alias("own"), replace_all(F.array_join(own, ""), entries).alias("joined"))
+    across = lambda x: F.when(x["joined"] != F.array_join(x["own"], ""), F.transform(x["own"], lambda r, i: F.when(i == 0, x["joined"]).otherwise(""))).otherwise(x["own"])
+    return let(both, across)

@@ -41,8 +41,8 @@ def gated_spans(text: Column, plan: Plan | None = None, providers: Providers | N
 
 def gated(docs: DataFrame, text: str = "text", mode: str = "redact", plan: Plan | None = None, providers: Providers | None = None, min_score: float = 0.0) -> DataFrame:
     """docs with spans, masked_text and summary."""
-    out = docs.withColumn("spans", resolve.at_least(gated_spans(F.col(text), plan, providers), min_score))
-    return out.withColumn("masked_text", masking.replace_values(text, masking.value_map(F.col("spans"), mode))).withColumn("summary", summary.summary("spans"))
+    out = docs.withColumn("spans", resolve.at_least(gated_spans(F.col(text), plan, providers), min_score)).withColumn("_entries", masking.value_map(F.col("spans"), mode))
+    return out.withColumn("masked_text", masking.replace_all(text, F.col("_entries"))).withColumn("summary", summary.summary("spans")).drop("_entries")
 
 
 def contextual(docs: DataFrame, text: str = "text", mode: str = "redact", providers: Providers | None = None, compose: bool = True, word_boost: float = 0.0) -> DataFrame:
