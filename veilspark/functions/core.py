@@ -31,6 +31,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def taken(array: Column, start: Column, n: Column) -> Column:
+    """n elements (one at least) of an array; slice() would copy the whole array each time."""
+    return F.transform(F.sequence(start, start + n - 1), lambda j: F.get(array, j))
+
+
 def clamp(score: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 

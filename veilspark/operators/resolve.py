@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import SPAN, empty, let, lookup, running
+from veilspark.functions.core import SPAN, empty, let, lookup, running, taken
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -34,7 +34,7 @@ def _fold(spans: Column, meets, beats) -> Column:
     def parted(own: Column) -> Column:
         def cut(reach: Column) -> Column:
             heads = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i)["start"] >= F.get(reach, i - 1)))
-            parts = lambda at: F.transform(at, lambda i, k: F.slice(own, i + 1, F.coalesce(F.get(at, k + 1), F.size(own)) - i))
+            parts = lambda at: F.transform(at, lambda i, k: taken(own, i, F.coalesce(F.get(at, k + 1), F.size(own)) - i))
             return F.flatten(F.transform(let(heads, parts), lambda part: F.when(F.size(part) == 1, part).otherwise(resolved(part))))
 
         return F.when(F.size(own) < 2, own).otherwise(let(running(F.transform(own, lambda s: s["end"]), F.greatest), cut))

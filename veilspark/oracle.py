@@ -5,7 +5,7 @@ from __future__ import annotations
 from veilspark.functions import fixed
 from veilspark.operators.context import SENTENCE
 from veilspark.operators.detect import LABEL_PATTERN
-from veilspark.queries import AUDIT_FIELDS, FILE_FIELDS, RECORD, SCRIPT, USER_FIELDS, VALUES, WORDS
+from veilspark.queries import AROUND, AUDIT_FIELDS, FILE_FIELDS, NUMBERS, RECORD, SCRIPT, USER_FIELDS, VALUES, WORDS
 
 
 def _fields(fields: dict[str, str]) -> str:
@@ -40,6 +40,23 @@ def _raw(source: str) -> str:
     return "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, m) - 1 AS INTEGER) AS ord, entity_type, start, CAST(start + length(value) AS INTEGER) AS stop, value, score FROM (" + " UNION ALL ".join(parts) + ")"
 
 
+def _segments() -> str:
+    """Lines cut sign by sign: each sign's entity, the last in the list that holds it, and runs of signs of one entity."""
+    docs = f"SELECT doc_id, text, regexp_replace(text, '{NUMBERS}', chr(1), 'g') AS masked FROM documents WHERE text IS NOT NULL"
+    listed = "SELECT doc_id, kind, m - 1 AS m, kind || (m - 1) AS id, start, start + length(value) AS stop FROM (" + " UNION ALL ".join(_placed("docs", x, f"'{k}' AS kind") for k, x in (("N", NUMBERS), ("W", AROUND))) + ")"
+    signs = lambda side, text: f"SELECT doc_id, '{side}' AS side, i, substring({text}, i + 1, 1) AS c FROM (SELECT doc_id, {text}, unnest(range(0, length({text}))) AS i FROM docs)"
+    left = "SELECT doc_id, 'original' AS side, start AS i, arg_max(id, (kind, m)) AS id FROM (SELECT doc_id, kind, m, id, unnest(range(start, stop)) AS start FROM ents) GROUP BY doc_id, start"
+    right = "SELECT doc_id, 'sanitized' AS side, i, 'N' || (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS id FROM signs WHERE side = 'sanitized' AND c = chr(1)"
+    numbered = "SELECT s.*, o.id, count(*) FILTER (c = chr(10)) OVER (PARTITION BY s.doc_id, s.side ORDER BY s.i) AS line FROM signs s LEFT JOIN owners o ON o.doc_id = s.doc_id AND o.side = s.side AND o.i = s.i"
+    parted = "SELECT *, lag(id) OVER w IS DISTINCT FROM id OR lag(i) OVER w IS NULL AS fresh FROM numbered WHERE c <> chr(10) WINDOW w AS (PARTITION BY doc_id, side, line ORDER BY i)"
+    runs = "SELECT doc_id, side, line, run, min(i) AS i, string_agg(c, '' ORDER BY i) AS text, any_value(id) AS id FROM (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY doc_id, side, line ORDER BY i) AS run FROM parted) GROUP BY doc_id, side, line, run"
+    ctes = {"docs": docs, "ents": listed, "signs": signs("original", "text") + " UNION ALL " + signs("sanitized", "masked"), "owners": f"{left} UNION ALL {right}", "numbered": numbered, "parted": parted, "runs": runs}
+    return (
+        "WITH " + ", ".join(f"{n} AS ({sql})" for n, sql in ctes.items()) + " SELECT doc_id, CAST(line + 1 AS INTEGER) AS line_no, bool_or(id IS NOT NULL) OVER (PARTITION BY doc_id, line) AS has_changes, side, "
+        "CAST(row_number() OVER (PARTITION BY doc_id, side, line ORDER BY run) - 1 AS INTEGER) AS seg_no, text, id IS NOT NULL AS is_pii, id AS entity_id, left(id, 1) AS entity_type FROM runs"
+    )
+
+
 def _dedup(source: str, kind: str) -> dict[str, str]:
     """The fold as a recursion: each span meets the first accepted one that it overlaps."""
     by = "doc_id, entity_type" if kind == "same" else "doc_id"
@@ -255,6 +272,7 @@ def _found() -> dict[str, str]:
         "update_results": files("SELECT id, CASE WHEN status <> 'PROCESSING' THEN status WHEN id % 4 = 1 THEN 'FAILED' ELSE 'DONE' END AS status, CASE WHEN status = 'PROCESSING' THEN id % 9 ELSE total_pii END AS total_pii FROM files"),
         "delete_files": files("SELECT a.id, CASE WHEN f.id IS NULL THEN a.file_id END AS file_id FROM audit a LEFT JOIN (SELECT id FROM files WHERE id % 6 = 0) f ON f.id = a.file_id"),
         "delete_users": files("SELECT id, uploaded_by FROM files WHERE uploaded_by NOT IN (SELECT id FROM users WHERE role = 'ADMIN')"),
+        "line_segments": _segments(),
         "diff_lines": LINES + "SELECT doc_id, line_no, original, sanitized, CAST(coalesce(sum(length(original) + 1) OVER w, 0) AS BIGINT) AS orig_offset, CAST(coalesce(sum(length(sanitized) + 1) OVER w, 0) AS BIGINT) AS san_offset, original <> sanitized AS has_changes FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "unified_view": LINES + "SELECT doc_id, line_no, 'unchanged' AS side, original AS text FROM x WHERE original = sanitized UNION ALL SELECT doc_id, line_no, 'orig', original FROM x WHERE original <> sanitized UNION ALL SELECT doc_id, line_no, 'san', sanitized FROM x WHERE original <> sanitized",
         "collapse_runs": RUNS,

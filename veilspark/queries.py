@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import crypto, fixed, mask
+from veilspark.functions.core import matches
 from veilspark.functions.text import clean
 from veilspark.operators import catalog, chunking, context, detect, diff, masking, ocr, resolve, structured, summary, tabular
 from veilspark.plans import config, engines
@@ -615,6 +616,21 @@ def segmented_lines(spark, d):
     return diff.synthesize(docs, "text", "m", "t", "l").select("doc_id", F.inline(diff.segmented("text", "m", "entities"))).select("doc_id", "line_no", "has_changes", F.size("original").alias("n_original"), F.size("sanitized").alias("n_sanitized"))
 
 
+#: Numbers, each masked by one sign, and what stands around them, which overlaps them and is not found in the masked text.
+NUMBERS, AROUND = "[0-9]{2,}", "[A-Za-z]+ [0-9]+"
+
+
+@query
+def line_segments(spark, d):
+    """Both sides of every document, cut at the borders of entities that overlap."""
+    entity = lambda kind, masked: lambda m, i: F.struct(F.concat(F.lit(kind), i.cast("string")).alias("id"), F.lit(kind).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), F.lit(masked).alias("masked"))
+    own = F.concat(F.transform(matches(F.col("text"), NUMBERS), entity("N", "\x01")), F.transform(matches(F.col("text"), AROUND), entity("W", "\x02")))
+    docs = documents(spark, d).where("text IS NOT NULL").withColumn("own", own).withColumn("masked", F.regexp_replace("text", NUMBERS, "\x01"))
+    lines = docs.select("doc_id", F.inline(diff.segmented("text", "masked", "own")))
+    side = lambda name: lines.select("doc_id", "line_no", "has_changes", F.lit(name).alias("side"), F.posexplode(name).alias("seg_no", "s"))
+    return side("original").union(side("sanitized")).select("doc_id", "line_no", "has_changes", "side", "seg_no", "s.*")
+
+
 # Images
 
 #: Twenty orders are an image, so that images grow in number with the table and not in size.
