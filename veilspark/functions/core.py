@@ -36,6 +36,12 @@ def taken(array: Column, start: Column, n: Column) -> Column:
     return F.transform(F.sequence(start, start + n - 1), lambda j: F.get(array, j))
 
 
+def groups(array: Column, n: int) -> Column:
+    """An array in groups of n; the last may be shorter, and no elements give no groups."""
+    cut = lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / n).cast("int")), lambda i: taken(own, i * n, F.least(F.lit(n), F.size(own) - i * n)))
+    return let(array, lambda own: F.when(F.size(own) > 0, cut(own)).otherwise(F.array()))
+
+
 def clamp(score: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 

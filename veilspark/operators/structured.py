@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions.core import col, let
+from veilspark.operators import jsontext
 from veilspark.operators.chunking import sql_statements
-from veilspark.operators.masking import replace_all, replace_many
+from veilspark.operators.detect import pattern_spans
+from veilspark.operators.masking import replace_all, replace_many, replace_values, value_map
+from veilspark.operators.resolve import dedup_same_type
 
 
 def json_root(text: Column | str) -> Column:
@@ -59,28 +59,30 @@ def mask_leaves(value: Column, kind: T.DataType, mask) -> Column:
     return value
 
 
-@F.pandas_udf(T.StringType())
-def _leaves_masked(text: pd.Series, entries: pd.Series) -> pd.Series:
-    def walk(node, pairs):
-        if isinstance(node, dict):
-            return {k: walk(v, pairs) for k, v in node.items()}
-        if isinstance(node, list):
-            return [walk(v, pairs) for v in node]
-        if isinstance(node, str):
-            for value, to in pairs:
-                node = node.replace(value, to)
-        return node
-
-    out = []
-    for t, own in zip(text, entries, strict=True):
-        pairs = sorted(((e["value"], e["to"]) for e in ([] if own is None else own)), key=lambda p: -len(p[0]))
-        out.append(None if t is None else json.dumps(walk(json.loads(t), pairs), ensure_ascii=False))
-    return pd.Series(out)
-
-
-def mask_json_text(text: Column | str, entries: Column) -> Column:
-    """Value replacements in the string leaves of JSON of any shape. Rebuilding an unknown shape is beyond built-ins, so this is an Arrow UDF."""
-    return _leaves_masked(col(text), entries)
+def mask_json_text(text: Column | str, entries: Column, indent: int | None = None) -> Column:
+    """Value replacements, one after another, in the string leaves of JSON of any shape; keys, numbers and the order of both stay. Null where the text is not JSON."""
+    return jsontext.rewritten(text, lambda values: F.transform(values, lambda v: replace_values(v, entries)), indent)
+
+
+def mask_json_values(docs: DataFrame, text: str, entries: str, indent: int | None = None) -> DataFrame:
+    """docs with masked_json: the same for entries that may be many, which are replaced in one pass over all leaves of a text."""
+    values = F.transform(jsontext.leaves(text, blank=True), lambda x: x["value"])
+    out = docs.withColumn("_values", replace_many(values, F.col(entries)))
+    return out.withColumn("masked_json", jsontext.rewritten(text, F.col("_values"), indent)).drop("_values")
+
+
+def sanitize_json(docs: DataFrame, text: str = "text", mode: str = "redact", indent: int | None = None, spans_of=None) -> DataFrame:
+    """docs with masked_json, and leaves (path, leaf_idx, value, spans): each string leaf is a text of its own to detect in, blank ones are not.
+
+    spans_of(column) gives a text's spans, by default those of the patterns, resolved within each type. Where a text is not JSON both are null.
+    """
+    spans_of = spans_of or (lambda value: dedup_same_type(pattern_spans(value)))
+    none = spans_of(F.lit(""))
+    judged = F.transform(jsontext.leaves(text, blank=True), lambda x: F.struct(x["path"].alias("path"), x["leaf_idx"].alias("leaf_idx"), x["value"].alias("value"), F.when(x["value"].rlike(jsontext.BLANK), none).otherwise(spans_of(x["value"])).alias("spans")))
+    out = docs.withColumn("_leaves", judged)
+    made = F.transform("_leaves", lambda x: F.when(F.size(x["spans"]) > 0, replace_values(x["value"], value_map(x["spans"], mode))).otherwise(x["value"]))
+    masked = jsontext.rewritten(text, made, indent)
+    return out.withColumn("masked_json", masked).withColumn("leaves", F.filter("_leaves", lambda x: ~x["value"].rlike(jsontext.BLANK))).drop("_leaves")
 
 
 def json_leaves(text: Column | str, paths: dict[str, str]) -> Column:

@@ -272,6 +272,11 @@ def _found() -> dict[str, str]:
         "update_results": files("SELECT id, CASE WHEN status <> 'PROCESSING' THEN status WHEN id % 4 = 1 THEN 'FAILED' ELSE 'DONE' END AS status, CASE WHEN status = 'PROCESSING' THEN id % 9 ELSE total_pii END AS total_pii FROM files"),
         "delete_files": files("SELECT a.id, CASE WHEN f.id IS NULL THEN a.file_id END AS file_id FROM audit a LEFT JOIN (SELECT id FROM files WHERE id % 6 = 0) f ON f.id = a.file_id"),
         "delete_users": files("SELECT id, uploaded_by FROM files WHERE uploaded_by NOT IN (SELECT id FROM users WHERE role = 'ADMIN')"),
+        "json_any_leaves": "SELECT doc_id, path, CAST(leaf_idx AS INTEGER) AS leaf_idx, value FROM (SELECT doc_id, '$.doc.parts[0].lines[' || i || ']' AS path, i AS leaf_idx, ls[i + 1] AS value FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) "
+        "UNION ALL SELECT doc_id, '$.doc.parts[0].tag', len(string_split(text, chr(10))), 'en' FROM documents WHERE text IS NOT NULL) WHERE trim(value, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''",
+        "json_any_mask": "SELECT doc_id, '{' || chr(10) || '  \"doc\": {' || chr(10) || '    \"doc_id\": ' || doc_id || ',' || chr(10) || '    \"parts\": [' || chr(10) || '      {' || chr(10) || '        \"lines\": [' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda l: '          ' || CAST(to_json(replace(replace(replace(l, 'the', '[T]'), 'doc', '[D]'), '1', '[1]')) AS VARCHAR)), ',' || chr(10)) "
+        "|| chr(10) || '        ],' || chr(10) || '        \"tag\": \"en\"' || chr(10) || '      }' || chr(10) || '    ]' || chr(10) || '  },' || chr(10) || '  \"none\": []' || chr(10) || '}' AS j FROM documents WHERE text IS NOT NULL",
+        "json_sanitized": _with(["v"], "SELECT k, concat('{\"k\": ', k::STRING, ', \"contact\": {\"email\": \"[REDACTED]\", \"list\": [\"[REDACTED]\", \"plain\", \" \", \"[REDACTED] / [REDACTED]\"]}}') AS masked_json, CAST(4 AS INTEGER) AS n_leaves, '$.contact.email $.contact.list[0] $.contact.list[3]' AS paths FROM v"),
         "line_segments": _segments(),
         "diff_lines": LINES + "SELECT doc_id, line_no, original, sanitized, CAST(coalesce(sum(length(original) + 1) OVER w, 0) AS BIGINT) AS orig_offset, CAST(coalesce(sum(length(sanitized) + 1) OVER w, 0) AS BIGINT) AS san_offset, original <> sanitized AS has_changes FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "unified_view": LINES + "SELECT doc_id, line_no, 'unchanged' AS side, original AS text FROM x WHERE original = sanitized UNION ALL SELECT doc_id, line_no, 'orig', original FROM x WHERE original <> sanitized UNION ALL SELECT doc_id, line_no, 'san', sanitized FROM x WHERE original <> sanitized",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import crypto, fixed, mask
 from veilspark.functions.core import matches
 from veilspark.functions.text import clean
-from veilspark.operators import catalog, chunking, context, detect, diff, masking, ocr, resolve, structured, summary, tabular
+from veilspark.operators import catalog, chunking, context, detect, diff, jsontext, masking, ocr, resolve, structured, summary, tabular
 from veilspark.plans import config, engines
 from veilspark.sources import readers, writers
 from veilspark.streaming import jobs
@@ -616,6 +616,30 @@ def segmented_lines(spark, d):
     return diff.synthesize(docs, "text", "m", "t", "l").select("doc_id", F.inline(diff.segmented("text", "m", "entities"))).select("doc_id", "line_no", "has_changes", F.size("original").alias("n_original"), F.size("sanitized").alias("n_sanitized"))
 
 
+def _nested(spark, d) -> DataFrame:
+    """Every document as JSON of a shape that no operator is told: its lines are elements two levels down."""
+    lines = F.split("text", "\n", -1)
+    return documents(spark, d).where("text IS NOT NULL").select("doc_id", F.to_json(F.struct(F.struct("doc_id", F.array(F.struct(lines.alias("lines"), F.lit("en").alias("tag"))).alias("parts")).alias("doc"), F.array().cast("array<int>").alias("none"))).alias("j"))
+
+
+@query
+def json_any_leaves(spark, d):
+    return _nested(spark, d).select("doc_id", F.inline(jsontext.leaves("j")))
+
+
+@query
+def json_any_mask(spark, d):
+    entries = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(to).alias("to")) for v, to in (("the", "[T]"), ("1", "[1]"), ("doc", "[D]"))])
+    return _nested(spark, d).select("doc_id", structured.mask_json_text("j", entries, indent=2).alias("j"))
+
+
+@query
+def json_sanitized(spark, d):
+    rows = values(spark, d).select("k", F.to_json(F.struct("k", F.struct("email", F.array(F.col("pan"), F.lit("plain"), F.lit(" "), F.array_join(F.array("upi", "pan"), " / ")).alias("list")).alias("contact"))).alias("j"))
+    done = structured.sanitize_json(rows, "j")
+    return done.select("k", "masked_json", F.size("leaves").alias("n_leaves"), F.array_join(F.transform(F.filter("leaves", lambda x: F.size(x["spans"]) > 0), lambda x: x["path"]), " ").alias("paths"))
+
+
 #: Numbers, each masked by one sign, and what stands around them, which overlaps them and is not found in the masked text.
 NUMBERS, AROUND = "[0-9]{2,}", "[A-Za-z]+ [0-9]+"
 
