@@ -87,9 +87,9 @@ def rewritten(text: Column | str, values: Callable[[Column], Column] | Column, i
 
         return let(F.transform(own, lambda y, i: _is_leaf(own, y, i)), put)
 
-    # What is given is an argument here and not a part of the lambda, where a Python function could not stand.
+    # What is given is named twice, so that Catalyst keeps it as a column of its own: a Python function could not stand within a lambda.
     given = F.lit(None).cast("array<string>") if change else values
-    return F.when(is_json(t), let(F.struct(_tokens(t).alias("own"), given.alias("given")), built))
+    return F.when(is_json(t) & (F.lit(True) if change else given.isNotNull()), let(F.struct(_tokens(t).alias("own"), given.alias("given")), built))
 
 
 def leaves(text: Column | str, blank: bool = False) -> Column:

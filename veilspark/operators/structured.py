@@ -66,9 +66,8 @@ def mask_json_text(text: Column | str, entries: Column, indent: int | None = Non
 
 def mask_json_values(docs: DataFrame, text: str, entries: str, indent: int | None = None) -> DataFrame:
     """docs with masked_json: the same for entries that may be many, which are replaced in one pass over all leaves of a text."""
-    values = F.transform(jsontext.leaves(text, blank=True), lambda x: x["value"])
-    out = docs.withColumn("_values", replace_many(values, F.col(entries)))
-    return out.withColumn("masked_json", jsontext.rewritten(text, F.col("_values"), indent)).drop("_values")
+    out = docs.withColumn("_found", jsontext.leaves(text, blank=True)).withColumn("_values", replace_many(F.col("_found.value"), F.col(entries)))
+    return out.withColumn("masked_json", jsontext.rewritten(text, F.col("_values"), indent)).drop("_found", "_values")
 
 
 def sanitize_json(docs: DataFrame, text: str = "text", mode: str = "redact", indent: int | None = None, spans_of=None) -> DataFrame:
