@@ -107,6 +107,11 @@ CHUNKS_STRUCTURED = {"csv": 10_000, "sql": 2_000, "json": 1_500}
 CHUNKS_LARGE = {"txt": 100_000, "pdf": 15, "docx": 400}
 CHUNKS_SMALL = {"txt": 30_000, "pdf": 5, "docx": 100}
 TEXT_OVERLAP, STATEMENT_OVERLAP, SAMPLE_ROWS = 500, 2, 500
+#: Marks round what a chunk has of its neighbours: of texts, and as patterns of scripts; and the lines that open a script.
+OVERLAP_BEFORE, OVERLAP_AFTER = "###OVERLAP_BEFORE###", "###OVERLAP_AFTER###"
+SCRIPT_BEFORE = r"(?s)--\s*CONTEXT_OVERLAP_START.*?--\s*CONTEXT_OVERLAP_END\s*\n?"
+SCRIPT_AFTER = r"(?s)--\s*CONTEXT_OVERLAP_AFTER_START.*?--\s*CONTEXT_OVERLAP_AFTER_END\s*\n?"
+SCRIPT_HEADER = r"(?i)\A(?:[^\S\n]*(?:--|#|(?:SET|USE)(?=\s))[^\n]*(?:\n|\z))*"
 GRID, TILE_OVERLAP, SMALL_IMAGE = 4, 50, 400
 COLLAPSE_OVER, COLLAPSE_CONTEXT = 5, 3
 ANCHOR_CHARS, MOST_ORIGINAL, LEAST_BRIDGE, MOST_MASKED = 10, 400, 2, 200

@@ -57,6 +57,23 @@ def _segments() -> str:
     )
 
 
+PARAGRAPHS = "SELECT doc_id, text, list_filter(string_split(text, chr(10) || chr(10)), lambda p: NOT regexp_full_match(p, '\\s*')) AS ps FROM documents WHERE text IS NOT NULL"
+#: Groups of paragraphs: a new one is opened where a paragraph no longer fits.
+GROUPED = (
+    "SELECT doc_id, list_append(r.done, r.cur) AS gs FROM (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {'done': CAST([] AS VARCHAR[]), 'cur': p, 'size': length(p)}), "
+    "lambda a, b: CASE WHEN a.size + b.size > 2000 THEN {'done': list_append(a.done, a.cur), 'cur': b.cur, 'size': b.size} ELSE {'done': a.done, 'cur': a.cur || chr(10) || chr(10) || b.cur, 'size': a.size + b.size} END) AS r FROM ps WHERE len(ps) > 0)"
+)
+
+
+def _chunked(body: str) -> str:
+    """Spans of windows of 30,000 signs with 500 on either side, counted from the start of the whole text."""
+    n, o = fixed.CHUNKS_SMALL["txt"], fixed.TEXT_OVERLAP
+    dossiers = "SELECT doc_id // 100 AS big, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM records GROUP BY 1"
+    windows = f"SELECT big * 1000 + i AS doc_id, least(i * {n}, {o}) AS lead, i * {n} AS base, length(substring(text, i * {n} + 1, {n})) AS size, substring(text, greatest(i * {n} - {o}, 0) + 1, least(i * {n}, {o}) + {n} + {o}) AS text FROM (SELECT big, text, unnest(range(0, greatest(1, (length(text) + {n - 1}) // {n}))) AS i FROM dossiers)"
+    out = "SELECT s.doc_id // 1000 AS doc_id, CAST(s.doc_id % 1000 AS INTEGER) AS idx, s.start >= lead AND s.start < lead + size AS own, entity_type, CAST(s.start - lead + base AS INTEGER) AS start, CAST(s.stop - lead + base AS INTEGER) AS stop, value, round(score, 6) AS score FROM d_same s JOIN windows w ON w.doc_id = s.doc_id"
+    return _with(["v", "records"], body, dossiers=dossiers, windows=windows, raw=_raw("windows"), **_dedup("raw", "same"), found=out)
+
+
 def _dedup(source: str, kind: str) -> dict[str, str]:
     """The fold as a recursion: each span meets the first accepted one that it overlaps."""
     by = "doc_id, entity_type" if kind == "same" else "doc_id"
@@ -272,6 +289,12 @@ def _found() -> dict[str, str]:
         "update_results": files("SELECT id, CASE WHEN status <> 'PROCESSING' THEN status WHEN id % 4 = 1 THEN 'FAILED' ELSE 'DONE' END AS status, CASE WHEN status = 'PROCESSING' THEN id % 9 ELSE total_pii END AS total_pii FROM files"),
         "delete_files": files("SELECT a.id, CASE WHEN f.id IS NULL THEN a.file_id END AS file_id FROM audit a LEFT JOIN (SELECT id FROM files WHERE id % 6 = 0) f ON f.id = a.file_id"),
         "delete_users": files("SELECT id, uploaded_by FROM files WHERE uploaded_by NOT IN (SELECT id FROM users WHERE role = 'ADMIN')"),
+        "overlap_marked": f"WITH ps AS ({PARAGRAPHS}), g AS ({GROUPED}) SELECT doc_id, CAST(i AS INTEGER) AS idx, CASE WHEN i > 0 THEN right(gs[i], 500) || chr(10) || '###OVERLAP_BEFORE###' || chr(10) ELSE '' END || gs[i + 1] || CASE WHEN i < len(gs) - 1 THEN chr(10) || '###OVERLAP_AFTER###' || chr(10) || left(gs[i + 2], 500) ELSE '' END AS content FROM (SELECT doc_id, gs, unnest(range(0, len(gs))) AS i FROM g)",
+        "overlap_merged": f"WITH ps AS ({PARAGRAPHS}), m AS (SELECT doc_id, len(ps) AS n, array_to_string(ps, chr(10) || chr(10)) || chr(10) AS again FROM ps), c AS (SELECT *, len(list_filter(string_split(again, chr(10) || chr(10)), lambda p: NOT regexp_full_match(p, '\\s*'))) AS k FROM m) SELECT doc_id, again, CAST(n AS INTEGER) AS paragraphs, CAST(k AS INTEGER) AS merged_paragraphs, k = n AS intact FROM c",
+        "scripts_merged": "SELECT doc_id, '-- dump' || chr(10) || 'SET x = 1' || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY g) || chr(10) AS again FROM (SELECT doc_id, i // 3 AS g, string_agg('insert ' || chr(39) || regexp_replace(l, '[^a-z ]', '', 'g') || chr(39) || ';', chr(10) ORDER BY i) AS part FROM (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) GROUP BY doc_id, g) GROUP BY doc_id",
+        "stitched_text": "SELECT doc_id, text AS again FROM documents WHERE text IS NOT NULL",
+        "chunk_union": _chunked("SELECT * FROM found"),
+        "chunk_summaries": _chunked("SELECT doc_id, entity_type, count(*) AS n, true AS overlap FROM found GROUP BY ALL UNION ALL SELECT doc_id, entity_type, count(*), false FROM found WHERE own GROUP BY ALL"),
         "json_any_leaves": "SELECT doc_id, path, CAST(leaf_idx AS INTEGER) AS leaf_idx, value FROM (SELECT doc_id, '$.doc.parts[0].lines[' || i || ']' AS path, i AS leaf_idx, ls[i + 1] AS value FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) "
         "UNION ALL SELECT doc_id, '$.doc.parts[0].tag', len(string_split(text, chr(10))), 'en' FROM documents WHERE text IS NOT NULL) WHERE trim(value, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''",
         "json_any_mask": "SELECT doc_id, '{' || chr(10) || '  \"doc\": {' || chr(10) || '    \"doc_id\": ' || doc_id || ',' || chr(10) || '    \"parts\": [' || chr(10) || '      {' || chr(10) || '        \"lines\": [' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda l: '          ' || CAST(to_json(replace(replace(replace(l, 'the', '[T]'), 'doc', '[D]'), '1', '[1]')) AS VARCHAR)), ',' || chr(10)) "

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import crypto, fixed, mask
 from veilspark.functions.core import matches
 from veilspark.functions.text import clean
-from veilspark.operators import catalog, chunking, context, detect, diff, jsontext, masking, ocr, resolve, structured, summary, tabular
+from veilspark.operators import catalog, chunking, context, detect, diff, jsontext, masking, ocr, resolve, stitching, structured, summary, tabular
 from veilspark.plans import config, engines
 from veilspark.sources import readers, writers
 from veilspark.streaming import jobs
@@ -386,6 +386,57 @@ def merge_integrity(spark, d):
     return documents(spark, d).select("doc_id", F.inline(F.array(chunking.integrity("text", F.array_join(chunking.pack_paragraphs("text", 500), "")))))
 
 
+@query
+def overlap_marked(spark, d):
+    return documents(spark, d).where("text IS NOT NULL").select("doc_id", F.posexplode(stitching.marked(stitching.paragraph_groups("text", 2000))).alias("idx", "content"))
+
+
+@query
+def overlap_merged(spark, d):
+    docs = documents(spark, d).where("text IS NOT NULL").withColumn("again", stitching.merged(stitching.marked(stitching.paragraph_groups("text", 2000))))
+    return docs.select("doc_id", "again", F.inline(F.array(stitching.same_paragraphs("text", "again"))))
+
+
+@query
+def scripts_merged(spark, d):
+    """A script of statements per document, under a header that only the original has, marked in groups of three and merged."""
+    body = F.transform(F.split("text", "\n", -1), lambda l: F.concat(F.lit("insert '"), F.regexp_replace(l, "[^a-z ]", ""), F.lit("';")))
+    docs = documents(spark, d).where("text IS NOT NULL").withColumn("body", body).withColumn("script", F.concat(F.lit("-- dump\nSET x = 1\n\n"), F.array_join("body", "\n")))
+    return docs.select("doc_id", stitching.merged_script(stitching.marked_statements(F.col("body"), 3), "script").alias("again"))
+
+
+@query
+def stitched_text(spark, d):
+    """Texts cut into windows that repeat 500 signs of the next, and put together by what neighbours share."""
+    parts = F.transform(chunking.with_context(chunking.fixed_width("text", 3000)), lambda c: F.concat(c["text"], c["after"]))
+    return documents(spark, d).where("text IS NOT NULL").select("doc_id", stitching.stitched(parts).alias("again"))
+
+
+def _dossiers(spark, d) -> DataFrame:
+    """The records of a hundred customers as one text."""
+    rows = records(spark, d).groupBy(F.floor(F.col("doc_id") / 100).alias("big")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("own"))
+    return rows.select(F.col("big").alias("doc_id"), F.array_join("own.text", "\n").alias("text"))
+
+
+def _chunk_spans(spark, d) -> DataFrame:
+    chunks = chunking.with_context(chunking.fixed_width("text", fixed.CHUNKS_SMALL["txt"]))
+    return _dossiers(spark, d).withColumn("found", stitching.chunk_spans(chunks, engines.gated_spans))
+
+
+@query
+def chunk_union(spark, d):
+    rows = _chunk_spans(spark, d).select("doc_id", F.inline("found"))
+    return rows.select("doc_id", "idx", "own", "span.entity_type", "span.start", F.col("span.end").alias("stop"), "span.value", F.round("span.score", 6).alias("score"))
+
+
+@query
+def chunk_summaries(spark, d):
+    """Counts by type with overlaps counted as often as they are found, and once."""
+    found = _chunk_spans(spark, d)
+    side = lambda overlap: found.select("doc_id", F.explode(stitching.counted(F.col("found"), overlap)).alias("s")).groupBy("doc_id", "s.entity_type").agg(F.count("*").alias("n")).withColumn("overlap", F.lit(overlap))
+    return side(True).union(side(False))
+
+
 # Structured inputs
 
 
