@@ -684,6 +684,14 @@ def json_any_mask(spark, d):
     return _nested(spark, d).select("doc_id", structured.mask_json_text("j", entries, indent=2).alias("j"))
 
 
+@query
+def json_like_original(spark, d):
+    """JSON written again as its original is: indented where that is, the order of keys and the spelling of numbers kept."""
+    rows = values(spark, d).withColumn("o", F.when(F.col("k") % 2 == 0, F.concat(F.lit('{\n  "z": 1.50,\n  "a": [\n    "'), "email", F.lit('"\n  ]\n}'))).otherwise(F.concat(F.lit('{"z": 1.50, "a": ["'), "email", F.lit('"]}'))))
+    squeezed = F.concat(F.lit('{"z":1.50,"a":["'), F.col("email"), F.lit('"]}'))
+    return rows.select("k", writers.json_like(squeezed, "o").alias("j"))
+
+
 @query
 def json_sanitized(spark, d):
     rows = values(spark, d).select("k", F.to_json(F.struct("k", F.struct("email", F.array(F.col("pan"), F.lit("plain"), F.lit(" "), F.array_join(F.array("upi", "pan"), " / ")).alias("list")).alias("contact"))).alias("j"))

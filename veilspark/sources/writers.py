@@ -9,6 +9,9 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.operators import jsontext
+from veilspark.operators.structured import json_indent
+from veilspark.sources.ordered import OrderedFile
 from veilspark.sources.readers import W
 
 
@@ -21,9 +24,20 @@ def write_texts(docs: DataFrame, path: str, text: str = "text") -> None:
     docs.select(text).write.mode("overwrite").text(path)
 
 
+def write_ordered(df: DataFrame, path: str, index: str = "row_idx", kind: str = "csv", single: bool = True) -> None:
+    """Rows in the order of `index`, which is not written, as one file with its header once; see `ordered.OrderedFile` for what `single` does."""
+    df.sparkSession.dataSource.register(OrderedFile)
+    df.orderBy(index).drop(index).write.format(OrderedFile.name()).option("kind", kind).option("single", str(single).lower()).mode("overwrite").save(path)
+
+
 def write_csv(df: DataFrame, path: str, index: str = "row_idx") -> None:
-    """Rows in order, a header in every part."""
-    df.orderBy(index).drop(index).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """One CSV file, rows in order, header once; nulls are empty cells."""
+    write_ordered(df.select(index, *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != index]), path, index)
+
+
+def json_like(text: Column | str, original: Column | str) -> Column:
+    """JSON written as the original is: with two spaces of indent if its head is indented, else on one line. Null where the text is not JSON."""
+    return F.when(json_indent(original) == 2, jsontext.written(text, 2)).otherwise(jsontext.written(text))
 
 
 def json_text(value: Column, indent: bool = False) -> Column:
