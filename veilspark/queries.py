@@ -684,6 +684,17 @@ def json_any_mask(spark, d):
     return _nested(spark, d).select("doc_id", structured.mask_json_text("j", entries, indent=2).alias("j"))
 
 
+@query
+def ciphertext_forms(spark, d):
+    """Values in each of three forms read by one function; every seventh ciphertext has another's tag."""
+    key, rows = F.lit("0123456789abcdef0123456789abcdef"), values(spark, d).select("k", F.concat_ws(" ", "email", "pan").alias("plain"))
+    nonce = F.unhex(F.md5(F.col("k").cast("string").cast("binary")))
+    forms = rows.withColumn("dots", crypto.encrypt_dotted("plain", key)).withColumn("colons", crypto.encrypt_colons("plain", key, nonce)).withColumn("own", crypto.encrypt("plain", key))
+    wrong = F.concat_ws(":", F.split_part("colons", F.lit(":"), F.lit(1)), F.base64(F.unhex(F.md5("plain"))), F.split_part("colons", F.lit(":"), F.lit(3)))
+    forms = forms.withColumn("colons", F.when(F.col("k") % 7 == 0, wrong).otherwise(F.col("colons")))
+    return forms.select("k", *[crypto.read_any(c, key).alias(c) for c in ("dots", "colons", "own", "plain")])
+
+
 @query
 def json_like_original(spark, d):
     """JSON written again as its original is: indented where that is, the order of keys and the spelling of numbers kept."""
