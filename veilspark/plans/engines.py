@@ -17,6 +17,7 @@ from veilspark.functions.core import SPAN, empty
 from veilspark.functions.text import clean
 from veilspark.operators import chunking, context, detect, masking, resolve, summary
 from veilspark.plans.config import Plan
+from veilspark.sources import readers
 
 
 @dataclass
@@ -83,9 +84,43 @@ def chunked(docs: DataFrame, text: str = "text", n: int = fixed.CHUNKS_SMALL["tx
 PROFILES = {"gated": gated, "contextual": contextual}
 
 
-def detect_text(spark, text: str, mode: str = "redact", profile: str = "contextual") -> DataFrame:
-    """One text, as a DataFrame of one row."""
-    return PROFILES[profile](spark.createDataFrame([(text,)], "text string"), mode=mode)
+def detect_report(docs: DataFrame, text: str = "text", mode: str = "redact", **how) -> DataFrame:
+    """The contextual profile with what it has masked, `detected`, and three summaries of that: by type, by layer and by confidence."""
+    out = contextual(docs, text, mode, **how).withColumn("_hit", resolve.to_mask(F.col("spans")))
+    shown = F.transform("_hit", lambda s: F.struct(s["entity_type"].alias("type"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.round(s["score"], 4).alias("score"), F.coalesce(s["layer"], F.lit("presidio_spacy")).alias("source"), *[s[f].alias(f) for f in ("label_boosted", "proximity_boosted", "slide6_boosted")]))
+    layers = ("regex", "presidio_spacy", "indic_bert")
+    known = summary.summary(F.transform("_hit", lambda s: s.withField("layer", F.when(s["layer"].isin(*layers), s["layer"]).otherwise("presidio_spacy"))), layers)
+    out = out.withColumn("detected", shown).withColumn("_sum", known)
+    return out.select(*docs.columns, "cleaned_text", "detected", "masked_text", "token_map", "_sum.pii_summary", "_sum.layer_breakdown", F.struct(F.col("high"), F.col("medium")).alias("confidence_breakdown"))
+
+
+def detect_text(spark, text: str, mode: str = "redact", profile: str = "report") -> DataFrame:
+    """One text, as a DataFrame of one row: the report of the contextual profile, or either profile's own columns."""
+    return (PROFILES | {"report": detect_report})[profile](spark.createDataFrame([(text,)], "text string"), mode=mode)
+
+
+def process_files(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None, attempts: int = 2, **how) -> DataFrame:
+    """Files (name, file_type, content) read and masked as `sanitize_files` does; what fails costs its own row alone.
+
+    Each file is read by its type's extractor, in an Arrow UDF that catches what it raises: the file is tried `attempts` times, by itself,
+    and then has the error's name and words in `error` and no text. A type without an extractor, an empty content that should not be one and
+    a null content are errors of that kind, too. All other files have their results, and `failed` and `retried` go on from there.
+    """
+    text = readers.extracted_text(files, extractors or readers.EXTRACTORS, attempts)
+    good = sanitize_files(text.where("_error IS NULL").drop("_error", "content"), **how)
+    bad = text.where("_error IS NOT NULL").drop("content").withColumnRenamed("_error", "error")
+    more = {f.name: f.dataType for f in good.schema.fields if f.name not in bad.columns}
+    return good.unionByName(bad.select("*", *[F.lit(None).cast(t).alias(n) for n, t in more.items()]))
+
+
+def failed(done: DataFrame) -> DataFrame:
+    return done.where("error IS NOT NULL")
+
+
+def retried(done: DataFrame, files: DataFrame, key: str = "name", **how) -> DataFrame:
+    """done, with the files that failed processed once more and no others: results that are there stay as they are."""
+    again = process_files(files.join(failed(done).select(key), key, "left_semi"), **how)
+    return done.where("error IS NULL").unionByName(again)
 
 
 def sanitize_files(files: DataFrame, mode: str = "redact", profile: str = "gated", providers: Providers | None = None) -> DataFrame:

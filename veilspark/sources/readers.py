@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -76,6 +77,93 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, part string, para_idx int, runs array<string>")
 
 
+def _decoded(content: bytes) -> str:
+    return content.decode("utf-8", "replace")
+
+
+def _json(content: bytes) -> str:
+    text = _decoded(content)
+    json.loads(text)
+    return text
+
+
+def _docx(content: bytes) -> str:
+    return "\n".join("".join(runs) for _, _, runs in paragraphs_of(content))
+
+
+#: How the text of a file is had, by its type. Types that need outside libraries are added by the caller.
+EXTRACTORS = {"txt": _decoded, "md": _decoded, "sql": _decoded, "csv": _decoded, "json": _json, "docx": _docx}
+
+
+def extracted_text(files: DataFrame, extractors: dict, attempts: int = 1) -> DataFrame:
+    """files(file_type, content) with text and _error: what an extractor raises is caught with its file, and tried again by itself."""
+
+    def run(kinds: pa.Array, contents: pa.Array) -> pa.Array:
+        out = []
+        for kind, content in zip(kinds.to_pylist(), contents.to_pylist(), strict=True):
+            own = extractors.get((kind or "").lower().lstrip("."))
+            text, error = None, None
+            if own is None:
+                error = "unknown file type"
+            elif content is None:
+                error = "no content"
+            else:
+                for _ in range(attempts):
+                    try:
+                        text, error = own(content), None
+                        break
+                    except Exception as e:  # whatever a reader of one file raises is that file's error
+                        error = f"{type(e).__name__}: {e}"
+            out.append({"text": text, "error": error})
+        return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
+
+    found = files.withColumn("_found", F.arrow_udf(run, "struct<text:string,error:string>")("file_type", "content"))
+    return found.withColumn("text", F.col("_found.text")).withColumn("_error", F.col("_found.error")).drop("_found")
+
+
+def csv_table(spark: SparkSession, path: str) -> DataFrame:
+    """`csv_files` for files that may be empty or hold a header alone, which give no rows; no file at all, or none with a header, gives no columns."""
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path")
+    # Paths of a table's files are few, and are what a read is told anyway.
+    full = sorted(r.path for r in sizes.collect())
+    return csv_files(spark, full) if full else spark.createDataFrame([], "")
+
+
+def image_sizes(files: DataFrame) -> DataFrame:
+    """files(content) with width, height and size_error, from the first bytes of PNG and JPEG files: no pixel is decoded.
+
+    What is of another kind, empty, or cut off before its size has nulls and says so.
+    """
+
+    def run(contents: pa.Array) -> pa.Array:
+        out = []
+        for content in contents.to_pylist():
+            size = image_size(content or b"")
+            out.append({"width": size and size[0], "height": size and size[1], "error": None if size else "no PNG or JPEG header with a size"})
+        return pa.array(out, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("error", pa.string())]))
+
+    found = files.withColumn("_size", F.arrow_udf(run, "struct<width:int,height:int,error:string>")("content"))
+    return found.withColumn("width", F.col("_size.width")).withColumn("height", F.col("_size.height")).withColumn("size_error", F.col("_size.error")).drop("_size")
+
+
+def image_size(head: bytes) -> tuple[int, int] | None:
+    """(width, height): a PNG's first chunk has them; a JPEG's stand in its frame header, which is found by going from segment to segment."""
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR" and len(head) >= 24:
+        return int.from_bytes(head[16:20], "big"), int.from_bytes(head[20:24], "big")
+    if head[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 4 <= len(head) and head[at] == 0xFF:
+        kind, size = head[at + 1], int.from_bytes(head[at + 2 : at + 4], "big")
+        if kind == 0xFF:
+            at += 1
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return (int.from_bytes(head[at + 7 : at + 9], "big"), int.from_bytes(head[at + 5 : at + 7], "big")) if at + 9 <= len(head) else None
+        else:
+            at += 2 + size
+    return None
+
+
 def extracted(files: DataFrame, extract, schema: str) -> DataFrame:
     """Pages, words or tags that an outside library finds: extract(content) yields tuples for `schema`, beside the path.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from veilspark.functions.text import decoded
@@ -32,6 +34,52 @@ def sanitize_stream(docs: DataFrame, sink: str, checkpoint: str, mode: str = "re
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Progress(StreamingQueryListener):
+    """The states of queries as they go, in order, as rows of a table: started, each batch with its numbers, idle, ended or failed.
+
+    Only numbers of batches come here, never their rows, and `most` rows of them are kept.
+    """
+
+    SCHEMA = "name string, run string, state string, batch long, rows long, rows_per_second double, late long, error string"
+
+    def __init__(self, spark: SparkSession, most: int = 10_000) -> None:
+        super().__init__()
+        self.spark, self.rows, self.names = spark, collections.deque(maxlen=most), {}
+        spark.streams.addListener(self)
+
+    def _put(self, run, state: str, batch: int | None = None, rows: int | None = None, speed: float | None = None, late: int | None = None, error: str | None = None) -> None:
+        self.rows.append((self.names.get(str(run)), str(run), state, batch, rows, speed, late, error))
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.runId)] = event.name
+        self._put(event.runId, "started")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        self._put(p.runId, "running", p.batchId, p.numInputRows, p.processedRowsPerSecond, late)
+
+    def onQueryIdle(self, event) -> None:
+        self._put(event.runId, "idle")
+
+    def onQueryTerminated(self, event) -> None:
+        self._put(event.runId, "failed" if event.exception else "ended", error=event.exception)
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(list(self.rows), self.SCHEMA)
+
+    def stop(self) -> None:
+        self.spark.streams.removeListener(self)
+
+
+def first_seen(events: DataFrame, key: str = "signature", at: str = "at", late: str = "30 seconds") -> DataFrame:
+    """Events without those whose key has come within the time that a late one may take: a signature that is sent again is left out.
+
+    State is kept for that time only, so it is bounded by the events of it.
+    """
+    return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
 def fresh(events: DataFrame, at: str = "at", sent: str = "sent", old: int = 30, early: int = 5) -> DataFrame:
     """Events that are neither too old nor from the future."""
     age = F.col(at).cast("double") - F.col(sent).cast("double")
