@@ -94,9 +94,8 @@ def test_plans():
 def test_registered_pattern(spark):
     before = len(detect.catalog())
     assert not detect.register_pattern("BAD", "broken", "([", 0.5)
-    assert detect.register_pattern("BADGE", "badge", r"\bB-[a-z]{4}\b", 0.9, ["badge"])
-    try:
+    with detect.registering():
+        assert detect.register_pattern("BADGE", "badge", r"\bB-[a-z]{4}\b", 0.9, ["badge"])
         row = spark.createDataFrame([("no digits, B-abcd",)], "text string").select(detect.pattern_spans("text").alias("s")).first()
         assert [(s.entity_type, s.value) for s in row.s] == [("BADGE", "B-abcd")] and len(detect.catalog()) == before + 1
-    finally:
-        detect._registered.clear()
+    assert len(detect.catalog()) == before and "BADGE" not in detect.fixed.CONTEXT_WORDS

@@ -173,9 +173,9 @@ def decrypt_fields(df: DataFrame, fields: list[str], key: Column) -> DataFrame:
 
 
 def probe(df: DataFrame, field: str) -> DataFrame:
-    """no_data, active (all values encrypted) or partial."""
-    v = F.col(field)
-    return df.agg(F.when(F.count(v) == 0, "no_data").when(F.bool_and(is_encrypted(v)), "active").otherwise("partial").alias("verdict"))
+    """no_data, active (all values encrypted) or partial; nulls and empty texts are no values."""
+    v = F.nullif(F.col(f"`{field}`"), F.lit(""))
+    return df.agg(F.when(F.count(v) == 0, "no_data").when(F.bool_and(F.when(v.isNotNull(), is_encrypted(v))), "active").otherwise("partial").alias("verdict"))
 
 
 def _xored(key: bytes, pad: int) -> bytes:

@@ -116,12 +116,32 @@ GRID, TILE_OVERLAP, SMALL_IMAGE = 4, 50, 400
 COLLAPSE_OVER, COLLAPSE_CONTEXT = 5, 3
 ANCHOR_CHARS, MOST_ORIGINAL, LEAST_BRIDGE, MOST_MASKED = 10, 400, 2, 200
 
-# The shapes of masked values, in the order in which they are tried; each must fit the whole value.
-MASK_SHAPES: list[tuple[str, str]] = [
-    ("PHONE", r"(?=.*\*)\+?[\d\s\-*()]{8,}"),
-    ("IP_ADDRESS", r"\d+\.\*+\.\*+\..*"),
-    ("IP_ADDRESS", r"\*+\.\*+\.\*+\.\*+"),
-    ("CARD_NUMBER", r"[X\d*][\sX\d*\-]{11,19}"),
-    ("PAN", r"[A-Z*]{5}[\dA-Z*]{5}"),
-    ("AADHAAR", r"[\dX*\-\s]{12,16}"),
+# How texts are normalised, as (pattern, replacement), in order. \x0B is the vertical tab.
+BEFORE_STRIP = [
+    ("[\\u200b-\\u200d\\u2028\\u2029\\ufeff]", ""),
+    ("[\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]", " "),
+    ("[\\u2011-\\u2015\\u2212]", "-"),
+    (r"(?<=\d),(?=\d)", " "),
+    (r"(?<=\d)_(?=\d)", "-"),
+    (r"[ \t\r\f\x0B]+", " "),
+    (r"\n{3,}", "\n\n"),
+]
+AFTER_STRIP = [
+    (r"(?<=\d)l(?=\d)", "1"),
+    (r"(?<=\d)l\b", "1"),
+    (r"\bl(?=\d)", "1"),
+    (r"(?<=\d)O(?=\d)", "0"),
+    (r"(?<=\d)O\b", "0"),
+    (r"\bO(?=\d)", "0"),
+    (r"\b(\d{1,2})[.\-](\d{1,2})[.\-](\d{2,4})\b", "$1/$2/$3"),
+]
+
+# The shapes of masked values, in the order in which they are tried; all patterns of one must be found.
+MASK_SHAPES: list[tuple[str, tuple[str, ...]]] = [
+    ("PHONE", (r"^\+?[\d\s\-\*\(\)]{8,}$", r"\*")),
+    ("IP_ADDRESS", (r"^\d+\.\*+\.\*+\.",)),
+    ("IP_ADDRESS", (r"^\*+\.\*+\.\*+\.\*+$",)),
+    ("CARD_NUMBER", (r"^[X\d*][\sX\d*\-]{11,19}$",)),
+    ("PAN", (r"^[A-Z*]{5}[\dA-Z*]{5}$",)),
+    ("AADHAAR", (r"^[\dX*\-\s]{12,16}$",)),
 ]

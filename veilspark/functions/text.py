@@ -9,28 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilspark.functions import fixed
 from veilspark.functions.core import col, strip
 
-#: (pattern, replacement), in order. \x0B is the vertical tab.
-BEFORE_STRIP = [
-    ("[\\u200b-\\u200d\\u2028\\u2029\\ufeff]", ""),
-    ("[\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]", " "),
-    ("[\\u2011-\\u2015\\u2212]", "-"),
-    (r"(?<=\d),(?=\d)", " "),
-    (r"(?<=\d)_(?=\d)", "-"),
-    (r"[ \t\r\f\x0B]+", " "),
-    (r"\n{3,}", "\n\n"),
-]
-AFTER_STRIP = [
-    (r"(?<=\d)l(?=\d)", "1"),
-    (r"(?<=\d)l\b", "1"),
-    (r"\bl(?=\d)", "1"),
-    (r"(?<=\d)O(?=\d)", "0"),
-    (r"(?<=\d)O\b", "0"),
-    (r"\bO(?=\d)", "0"),
-    (r"\b(\d{1,2})[.\-](\d{1,2})[.\-](\d{2,4})\b", "$1/$2/$3"),
-]
-
 
 @F.pandas_udf(T.StringType())
 def _composed(text: pd.Series) -> pd.Series:
@@ -50,9 +31,9 @@ def decoded(content: Column | str) -> Column:
 
 def clean(text: Column | str, compose: bool = True) -> Column:
     t = nfc(text) if compose else col(text)
-    for pattern, to in BEFORE_STRIP:
+    for pattern, to in fixed.BEFORE_STRIP:
         t = F.regexp_replace(t, pattern, to)
     t = strip(t)
-    for pattern, to in AFTER_STRIP:
+    for pattern, to in fixed.AFTER_STRIP:
         t = F.regexp_replace(t, pattern, to)
     return t

@@ -33,7 +33,8 @@ def groups_of(items: Column, n: int) -> Column:
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """Rows numbered from 0 in the order of the input: a number within the partition plus one offset per partition.
 
-    Only the count of each partition is shuffled and sent to all tasks, never the rows.
+    Only the count of each partition is shuffled and sent to all tasks, never the rows. df is read twice and must come in one order both
+    times, as a file does; what a shuffle or a random choice has made is to be written first.
     """
     marked = df.withColumn("_m", F.monotonically_increasing_id())
     part = F.shiftright("_m", 33).alias("_p")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def register_pattern(entity: str, name: str, regex: str, score: float, context:
     return True
 
 
+@contextlib.contextmanager
+def registering() -> Iterator[None]:
+    """Patterns that are registered within hold until its end: another session's catalog is as it was."""
+    patterns, words = list(_registered), {k: list(v) for k, v in fixed.CONTEXT_WORDS.items()}
+    try:
+        yield
+    finally:
+        _registered[:] = patterns
+        fixed.CONTEXT_WORDS.clear()
+        fixed.CONTEXT_WORDS.update(words)
+
+
 def catalog() -> list[Pattern]:
     return [*fixed.PATTERNS, *_registered]
 

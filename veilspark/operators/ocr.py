@@ -34,7 +34,8 @@ def merge_words(first: DataFrame, second: DataFrame, image: str = "img_id") -> D
 
 
 def reading_order(words: DataFrame, *keys: str) -> DataFrame:
-    return words.orderBy(*keys, "y", "x")
+    """From the top, then from the left; equal places by text."""
+    return words.orderBy(*keys, "y", "x", "text")
 
 
 def reading_text(words: DataFrame, image: str = "img_id") -> DataFrame:

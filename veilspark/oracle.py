@@ -296,6 +296,7 @@ def _found() -> dict[str, str]:
         "chunk_union": _chunked("SELECT * FROM found"),
         "chunk_summaries": _chunked("SELECT doc_id, entity_type, count(*) AS n, true AS overlap FROM found GROUP BY ALL UNION ALL SELECT doc_id, entity_type, count(*), false FROM found WHERE own GROUP BY ALL"),
         "ciphertext_forms": _with(["v"], "SELECT k, email || ' ' || pan AS dots, CASE WHEN k % 7 = 0 THEN '[DECRYPTION_FAILED]' ELSE email || ' ' || pan END AS colons, email || ' ' || pan AS own, email || ' ' || pan AS plain FROM v"),
+        "encryption_verdicts": "SELECT * FROM (VALUES ('none', 'no_data'), ('all', 'active'), ('some', 'partial'), ('blanks', 'active'), ('plain', 'partial')) v(field, verdict) WHERE (SELECT count(*) FROM customer) > 0",
         "json_like_original": _with(["v"], "SELECT k, CASE WHEN k % 2 = 0 THEN '{' || chr(10) || '  \"z\": 1.50,' || chr(10) || '  \"a\": [' || chr(10) || '    \"' || email || '\"' || chr(10) || '  ]' || chr(10) || '}' ELSE '{\"z\": 1.50, \"a\": [\"' || email || '\"]}' END AS j FROM v"),
         "json_any_leaves": "SELECT doc_id, path, CAST(leaf_idx AS INTEGER) AS leaf_idx, value FROM (SELECT doc_id, '$.doc.parts[0].lines[' || i || ']' AS path, i AS leaf_idx, ls[i + 1] AS value FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) "
         "UNION ALL SELECT doc_id, '$.doc.parts[0].tag', len(string_split(text, chr(10))), 'en' FROM documents WHERE text IS NOT NULL) WHERE trim(value, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''",

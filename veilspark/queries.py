@@ -7,6 +7,7 @@ customers, audit rows from events).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -805,6 +806,15 @@ def encryption_probe(spark, d):
     return crypto.probe(rows, "c")
 
 
+@query
+def encryption_verdicts(spark, d):
+    """The probe's three answers: of a column without values, of one that is encrypted throughout, and of ones that are in part or not at all."""
+    key, k = F.lit(KEY), F.col("c_custkey")
+    rows = table(spark, d, "customer").select(F.lit(None).cast("string").alias("none"), crypto.encrypt("c_name", key).alias("all"), F.when(k % 3 == 0, crypto.encrypt("c_name", key)).when(k % 3 == 1, F.col("c_name")).alias("some"), F.when(k % 2 == 0, crypto.encrypt("c_name", key)).alias("blanks"), F.col("c_name").alias("plain"))
+    parts = [crypto.probe(rows, c).select(F.lit(c).alias("field"), "verdict") for c in rows.columns]
+    return functools.reduce(DataFrame.union, parts)
+
+
 @query
 def signed_requests(spark, d):
     return table(spark, d, "nation").select("n_nationkey", crypto.hmac_sha256("n_name", "secret").alias("signature"))
