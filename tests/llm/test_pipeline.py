@@ -143,4 +143,4 @@ def test_run_equals_brute_force(spark, small):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 14))
