@@ -5,7 +5,7 @@ from __future__ import annotations
 from veilspark.functions import fixed
 from veilspark.operators.context import SENTENCE
 from veilspark.operators.detect import LABEL_PATTERN
-from veilspark.queries import AROUND, AUDIT_FIELDS, FILE_FIELDS, NUMBERS, RECORD, SCRIPT, USER_FIELDS, VALUES, WORDS
+from veilspark.queries import AROUND, AUDIT_FIELDS, COLUMN_NAMES, FILE_FIELDS, MASKED, NUMBERS, RECORD, SCRIPT, USER_FIELDS, VALUES, WORDS
 
 
 def _fields(fields: dict[str, str]) -> str:
@@ -74,6 +74,37 @@ def _chunked(body: str) -> str:
     return _with(["v", "records"], body, dossiers=dossiers, windows=windows, raw=_raw("windows"), **_dedup("raw", "same"), found=out)
 
 
+def _named_types() -> str:
+    labels = ", ".join(f"({_q(label)}, {_q(kind)})" for label, kind in fixed.LABELS.items())
+    names = ", ".join(map(_q, COLUMN_NAMES))
+    return (
+        f"WITH n AS (SELECT c_custkey AS k, lower(c_mktsegment) || '_' || list_extract([{names}], CAST(c_custkey % {len(COLUMN_NAMES)} + 1 AS BIGINT)) AS name FROM customer), p AS (SELECT *, replace(replace(lower(name), '_', ' '), '-', ' ') AS plain FROM n) "
+        f"SELECT k, any_value(name) AS name, arg_min(kind, (strpos(plain, label), -length(label))) AS entity_type FROM p LEFT JOIN (VALUES {labels}) l(label, kind) ON contains(plain, label) GROUP BY k"
+    )
+
+
+def _people() -> str:
+    from veilspark.sources.readers import CITIES, FIRST, LAST, STATES, STREETS
+
+    pick = lambda words, step: f"list_extract([{', '.join(map(_q, words))}], CAST((k // {step}) % {len(words)} + 1 AS BIGINT))"
+    pad = lambda x, w: f"lpad(CAST(({x}) % {10**w} AS VARCHAR), {w}, '0')"
+    letter = lambda x: f"chr(CAST(65 + ({x}) % 26 AS INTEGER))"
+    phone = lambda step: f"'+91' || (6000000000 + (k * {step}) % 3999999999)"
+    return (
+        f"SELECT CAST(k AS VARCHAR) AS id, {pick(FIRST, 1)} || ' ' || {pick(LAST, 8)} AS full_name, 'user' || k || '@mail.example.com' AS email, {phone(7919)} AS phone, {phone(104729)} AS alt_phone, (2000 + k % 8000) || ' ' || {pad('k * 7', 4)} || ' ' || {pad('k * 13', 4)} AS aadhaar, "
+        f"'ABC' || {letter('k')} || {letter('k * 3')} || {pad('k', 4)} || {letter('k * 5')} AS pan, {pad('k % 28 + 1', 2)} || '/' || {pad('k % 12 + 1', 2)} || '/' || (1950 + k % 50) AS dob, CASE k % 2 WHEN 0 THEN 'F' ELSE 'M' END AS gender, (k % 200 + 1) || ' ' || {pick(STREETS, 3)} AS address, "
+        f"{pick(CITIES, 1)} AS city, {pick(STATES, 1)} AS state, CAST(100000 + (k * 37) % 899999 AS VARCHAR) AS pincode, CAST(100000000000 + k * 104729 AS VARCHAR) AS account_number, 'SBIN0' || {pad('k', 6)} AS ifsc FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer)"
+    )
+
+
+def _shapes() -> str:
+    types = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in fixed.VIEWER_TYPES.items())
+    shaped = " ".join("WHEN " + " AND ".join(f"regexp_matches(m, {_q(x)})" for x in shapes) + f" THEN {_q(kind)}" for kind, shapes in fixed.MASK_SHAPES)
+    masked = f"CASE k % {len(MASKED)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(MASKED)) + " END"
+    token = "regexp_full_match(m, '<<[A-Z_]+_[0-9]+>>')"
+    return f"SELECT k, m AS masked, CASE WHEN {token} THEN CASE regexp_extract(m, '<<([A-Z_]+)_[0-9]+>>', 1) {types} ELSE 'NAME' END WHEN contains(m, '@') THEN 'EMAIL' {shaped} END AS entity_type FROM (SELECT k, {masked} AS m FROM (SELECT c_custkey AS k FROM customer))"
+
+
 def _dedup(source: str, kind: str) -> dict[str, str]:
     """The fold as a recursion: each span meets the first accepted one that it overlaps."""
     by = "doc_id, entity_type" if kind == "same" else "doc_id"
@@ -297,6 +328,10 @@ def _found() -> dict[str, str]:
         "chunk_summaries": _chunked("SELECT doc_id, entity_type, count(*) AS n, true AS overlap FROM found GROUP BY ALL UNION ALL SELECT doc_id, entity_type, count(*), false FROM found WHERE own GROUP BY ALL"),
         "ciphertext_forms": _with(["v"], "SELECT k, email || ' ' || pan AS dots, CASE WHEN k % 7 = 0 THEN '[DECRYPTION_FAILED]' ELSE email || ' ' || pan END AS colons, email || ' ' || pan AS own, email || ' ' || pan AS plain FROM v"),
         "encryption_verdicts": "SELECT * FROM (VALUES ('none', 'no_data'), ('all', 'active'), ('some', 'partial'), ('blanks', 'active'), ('plain', 'partial')) v(field, verdict) WHERE (SELECT count(*) FROM customer) > 0",
+        "column_types": _named_types(),
+        "people_of_customers": _people(),
+        "mask_shapes": _shapes(),
+        "dealt_queues": "SELECT k, CASE WHEN r + s + b = 0 THEN 'regex' ELSE trim(repeat('regex ', r) || repeat('spacy ', s) || repeat('bert ', b)) END AS layers, trim(repeat('PAN ', k % 3) || repeat('PHONE ', k % 2) || repeat('NAME ', k % 4)) AS types FROM (SELECT c_custkey AS k, c_custkey % 3 AS r, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE c_custkey % 4 END AS s, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 4 ELSE 1 END AS b FROM customer)",
         "json_like_original": _with(["v"], "SELECT k, CASE WHEN k % 2 = 0 THEN '{' || chr(10) || '  \"z\": 1.50,' || chr(10) || '  \"a\": [' || chr(10) || '    \"' || email || '\"' || chr(10) || '  ]' || chr(10) || '}' ELSE '{\"z\": 1.50, \"a\": [\"' || email || '\"]}' END AS j FROM v"),
         "json_any_leaves": "SELECT doc_id, path, CAST(leaf_idx AS INTEGER) AS leaf_idx, value FROM (SELECT doc_id, '$.doc.parts[0].lines[' || i || ']' AS path, i AS leaf_idx, ls[i + 1] AS value FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) "
         "UNION ALL SELECT doc_id, '$.doc.parts[0].tag', len(string_split(text, chr(10))), 'en' FROM documents WHERE text IS NOT NULL) WHERE trim(value, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''",

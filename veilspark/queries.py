@@ -150,6 +150,44 @@ def column_pii_type(spark, d):
     return names.select("name", detect.column_type_of("name").alias("entity_type"))
 
 
+#: Names of columns as tables have them; each row of the table below has one behind its own word.
+COLUMN_NAMES = ("aadhaar_no", "phone", "emp-pan", "email_address", "full_name", "zip", "company", "Date-Of-Birth", "notes", "account", "pp_no", "credit_card")
+
+
+@query
+def column_types(spark, d):
+    """Types that names tell, for a name from each customer."""
+    k = F.col("c_custkey")
+    name = F.concat_ws("_", F.lower("c_mktsegment"), F.element_at(F.array(*map(F.lit, COLUMN_NAMES)), (k % len(COLUMN_NAMES) + 1).cast("int")))
+    return table(spark, d, "customer").select(k.alias("k"), name.alias("name")).withColumn("entity_type", detect.column_type_of("name"))
+
+
+@query
+def people_of_customers(spark, d):
+    return readers.people_of(table(spark, d, "customer"), "c_custkey")
+
+
+#: A masked form for each row, with its number where there is room for one.
+MASKED = ("'<<PAN_' || k || '>>'", "'u***@m***.com'", "'98765*****'", "'+91 (22) ***-' || k", "'10.***.***.' || k", "'***.***.***.***'", "'XXXX XXXX XXXX 1234'", "'AB***1234F'", "'XXXX-XXXX-12'", "'[REDACTED]'", "'plain ' || k", "''", "'<<AADHAAR_VID_001>>'", "'****'")
+
+
+@query
+def mask_shapes(spark, d):
+    """Types that the shapes of masked values tell."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    masked = F.expr("CASE k % " + str(len(MASKED)) + " " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(MASKED)) + " END")
+    return rows.withColumn("masked", masked).withColumn("entity_type", diff.guess_type("masked"))
+
+
+@query
+def dealt_queues(spark, d):
+    """Layers and types as often as they count, by either naming of the layers."""
+    k = F.col("c_custkey")
+    names = F.when(k % 2 == 0, F.create_map(F.lit("regex"), k % 3, F.lit("spacy"), k % 2, F.lit("bert"), k % 4)).otherwise(F.create_map(F.lit("regex"), k % 3, F.lit("presidio_spacy"), k % 4, F.lit("indic_bert"), k % 2))
+    counts = F.create_map(F.lit("PAN"), k % 3, F.lit("IN_PHONE"), k % 2, F.lit("OTHER"), k % 4)
+    return table(spark, d, "customer").select(k.alias("k"), F.array_join(diff.layer_queue(names), " ").alias("layers"), F.array_join(diff.type_queue(counts), " ").alias("types"))
+
+
 @query
 def context_word_boost(spark, d):
     return listed(raw(records(spark, d)), detect.context_words_boost("text", F.col("spans")))

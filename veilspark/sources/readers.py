@@ -190,19 +190,28 @@ def from_text(spark: SparkSession, *texts: str) -> DataFrame:
 
 #: The words that generated people are put together from.
 FIRST = ["Aarav", "Diya", "Ishaan", "Kavya", "Rohan", "Meera", "Arjun", "Ananya"]
-LAST = ["Sharma", "Patel", "Reddy", "Nair", "Gupta", "Singh", "Iyer", "Das"]
-CITIES = ["Mumbai", "Delhi", "Bengaluru", "Chennai", "Kolkata", "Pune"]
+LAST = ["Sharma", "Patel", "Reddy", "Nair", "Gupta", "Singh", "Iyer"]
+CITIES = ["Mumbai", "Delhi", "Bengaluru", "Chennai", "Kolkata"]
+STATES = ["Maharashtra", "Delhi", "Karnataka", "Tamil Nadu", "West Bengal"]
+STREETS = ["MG Road", "Park Street", "Ring Road"]
 
 
-def people(spark: SparkSession, n: int) -> DataFrame:
-    """n made-up records with personal data in every column, a function of the row number alone."""
-    k = F.col("id")
-    pick = lambda words, step: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(F.lit(step), k), F.lit(len(words))) + 1).cast("int"))
+def people_of(rows: DataFrame, key: str) -> DataFrame:
+    """A made-up record with personal data in every column for each row, a function of its whole-number key alone."""
+    k = F.col(f"`{key}`").cast("bigint")
+    pick = lambda words, step: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.floor(k / step), F.lit(len(words))) + 1).cast("int"))
     pad = lambda x, w: F.lpad(F.pmod(x, F.lit(10**w)).cast("string"), w, "0")
     letter = lambda x: F.chr((65 + F.pmod(x, F.lit(26))).cast("int"))
-    return spark.range(n).select(
-        k.cast("string").alias("id"), F.concat_ws(" ", pick(FIRST, 1), pick(LAST, 2)).alias("full_name"), F.concat(F.lit("user"), k, F.lit("@mail.example.com")).alias("email"),
-        F.concat(F.lit("+91"), (6000000000 + F.pmod(k * 7919, F.lit(3999999999))).cast("string")).alias("phone"), F.concat_ws(" ", (2000 + F.pmod(k, F.lit(8000))).cast("string"), pad(k * 7, 4), pad(k * 13, 4)).alias("aadhaar"),
-        F.concat(F.lit("ABC"), letter(k), letter(k * 3), pad(k, 4), letter(k * 5)).alias("pan"), F.concat(pad(k % 28 + 1, 2), F.lit("/"), pad(k % 12 + 1, 2), F.lit("/"), (1950 + k % 50).cast("string")).alias("dob"),
-        pick(CITIES, 3).alias("city"), F.concat(F.lit("user"), k, F.lit("@oksbi")).alias("upi"), F.concat(F.lit("SBIN0"), pad(k, 6)).alias("ifsc"), (100000000000 + k * 104729).cast("string").alias("account_number"),
+    phone = lambda step: F.concat(F.lit("+91"), (6000000000 + F.pmod(k * step, F.lit(3999999999))).cast("string"))
+    return rows.select(
+        k.cast("string").alias("id"), F.concat_ws(" ", pick(FIRST, 1), pick(LAST, 8)).alias("full_name"), F.concat(F.lit("user"), k.cast("string"), F.lit("@mail.example.com")).alias("email"), phone(7919).alias("phone"), phone(104729).alias("alt_phone"),
+        F.concat_ws(" ", (2000 + F.pmod(k, F.lit(8000))).cast("string"), pad(k * 7, 4), pad(k * 13, 4)).alias("aadhaar"), F.concat(F.lit("ABC"), letter(k), letter(k * 3), pad(k, 4), letter(k * 5)).alias("pan"),
+        F.concat(pad(k % 28 + 1, 2), F.lit("/"), pad(k % 12 + 1, 2), F.lit("/"), (1950 + k % 50).cast("string")).alias("dob"), F.element_at(F.array(F.lit("F"), F.lit("M")), (k % 2 + 1).cast("int")).alias("gender"),
+        F.concat((k % 200 + 1).cast("string"), F.lit(" "), pick(STREETS, 3)).alias("address"), pick(CITIES, 1).alias("city"), pick(STATES, 1).alias("state"), (100000 + F.pmod(k * 37, F.lit(899999))).cast("string").alias("pincode"),
+        (100000000000 + k * 104729).cast("string").alias("account_number"), F.concat(F.lit("SBIN0"), pad(k, 6)).alias("ifsc"),
     )
+
+
+def people(spark: SparkSession, n: int) -> DataFrame:
+    """n such records, numbered from 0."""
+    return people_of(spark.range(n), "id")
