@@ -97,6 +97,19 @@ def _people() -> str:
     )
 
 
+def _entities() -> str:
+    """Per form and value: mask, type, confidence and layer; the places follow from the lengths of what stands before. The stars of an address
+    leave its first letter and its last four signs as they are, so these belong to no entity."""
+    known = [("tokens", 1, "<<AADHAAR_001>>", "AADHAAR", 1.0, "regex"), ("tokens", 2, "<<PAN_001>>", "PAN", 1.0, "spacy"), ("tokens", 3, "<<EMAIL_ADDRESS_001>>", "EMAIL", 1.0, "regex"), ("stars", 1, "****", "PAN", 0.8, "regex"), ("stars", 2, "*****", "UPI", 0.8, "spacy"), ("stars", 3, "***@m***", "EMAIL", 0.9, "regex")]
+    rows = ", ".join(f"({_q(f)}, {i}, {_q(m)}, {_q(t)}, CAST({c} AS DOUBLE), {_q(layer)})" for f, i, m, t, c, layer in known)
+    return _with(
+        ["v"],
+        f"SELECT k, form, concat('synth-', start, '-', coalesce(san, 0)) AS id, entity_type, original, masked, CAST(start AS INTEGER) AS start, CAST(start + length(original) AS INTEGER) AS stop, confidence, layer FROM (SELECT k, e.*, CASE WHEN i = 1 THEN aadhaar WHEN i = 2 THEN pan WHEN form = 'stars' THEN substring(email, 2, length(email) - 5) ELSE email END AS original, "
+        "CASE i WHEN 1 THEN 9 WHEN 2 THEN 19 + length(aadhaar) ELSE 30 + length(aadhaar) + length(pan) + (form = 'stars')::INTEGER END AS start, CASE i WHEN 1 THEN 9 WHEN 2 THEN 19 + length(m1) ELSE 30 + length(m1) + length(m2) + (form = 'stars')::INTEGER END AS san "
+        f"FROM v, (SELECT *, max(CASE WHEN i = 1 THEN masked END) OVER (PARTITION BY form) AS m1, max(CASE WHEN i = 2 THEN masked END) OVER (PARTITION BY form) AS m2 FROM (VALUES {rows}) x(form, i, masked, entity_type, confidence, layer)) e)",
+    )
+
+
 def _shapes() -> str:
     types = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in fixed.VIEWER_TYPES.items())
     shaped = " ".join("WHEN " + " AND ".join(f"regexp_matches(m, {_q(x)})" for x in shapes) + f" THEN {_q(kind)}" for kind, shapes in fixed.MASK_SHAPES)
@@ -328,6 +341,7 @@ def _found() -> dict[str, str]:
         "chunk_summaries": _chunked("SELECT doc_id, entity_type, count(*) AS n, true AS overlap FROM found GROUP BY ALL UNION ALL SELECT doc_id, entity_type, count(*), false FROM found WHERE own GROUP BY ALL"),
         "ciphertext_forms": _with(["v"], "SELECT k, email || ' ' || pan AS dots, CASE WHEN k % 7 = 0 THEN '[DECRYPTION_FAILED]' ELSE email || ' ' || pan END AS colons, email || ' ' || pan AS own, email || ' ' || pan AS plain FROM v"),
         "encryption_verdicts": "SELECT * FROM (VALUES ('none', 'no_data'), ('all', 'active'), ('some', 'partial'), ('blanks', 'active'), ('plain', 'partial')) v(field, verdict) WHERE (SELECT count(*) FROM customer) > 0",
+        "entities_found_again": _entities(),
         "column_types": _named_types(),
         "people_of_customers": _people(),
         "mask_shapes": _shapes(),

@@ -352,6 +352,18 @@ def contextual_engine(spark, d):
     return out.select("doc_id", "masked_text", "high", "medium", "low")
 
 
+@query
+def documents_contextual(spark, d):
+    """The contextual profile over every document, composition included."""
+    return engines.contextual(documents(spark, d), mode="tokenize").select("doc_id", "masked_text", F.size("spans").alias("n_spans"), F.size("token_map").alias("n_tokens"), "high", "medium", "low")
+
+
+@query
+def documents_chunked(spark, d):
+    """Every document in chunks of the size that the plan for texts has."""
+    return engines.chunked(documents(spark, d)).select("doc_id", "masked_text", F.size("spans").alias("n_spans"), "n_chunks")
+
+
 @query
 def chunked_engine(spark, d):
     out = engines.chunked(records(spark, d), n=300)
@@ -700,6 +712,17 @@ def synthesize_entities(spark, d):
     return diff.synthesize(docs, "text", "m", "t", "l").select("doc_id", F.inline("entities"))
 
 
+@query
+def entities_found_again(spark, d):
+    """Values between words that are known again, masked by tokens and by stars: entities with types, layers and confidence from the two texts alone."""
+    v = values(spark, d)
+    text = F.concat(F.lit("Aadhaar: "), "aadhaar", F.lit(" | PAN is "), "pan", F.lit(" | mail to "), "email", F.lit(" | that is all"))
+    forms = {"tokens": F.lit("Aadhaar: <<AADHAAR_001>> | PAN is <<PAN_001>> | mail to <<EMAIL_ADDRESS_001>> | that is all"), "stars": F.concat(F.lit("Aadhaar: **** | PAN is ***** | mail to u***@m***.com | that is all"))}
+    counts = {"t": F.create_map(F.lit("PAN"), F.lit(1), F.lit("UPI"), F.lit(2)), "l": F.create_map(F.lit("regex"), F.lit(1), F.lit("spacy"), F.lit(1))}
+    parts = [diff.synthesize(v.select("k", F.lit(name).alias("form"), text.alias("text"), masked.alias("m")).withColumns(counts), "text", "m", "t", "l") for name, masked in forms.items()]
+    return parts[0].union(parts[1]).select("k", "form", F.inline("entities")).withColumnRenamed("end", "stop")
+
+
 @query
 def segmented_lines(spark, d):
     docs = records(spark, d).withColumn("m", F.regexp_replace("text", "[0-9]{4,}", "****")).withColumn("t", F.create_map(F.lit("PAN"), F.lit(2))).withColumn("l", F.create_map(F.lit("regex"), F.lit(1)))
