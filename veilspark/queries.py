@@ -67,8 +67,14 @@ def picked(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{sql} AS {name}" for name, sql in fields.items()])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out to all cores where their table has fewer files than that: work on texts is worth it. Tables of many files are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def values(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").selectExpr("cast(c_custkey AS BIGINT) AS k", "c_name").selectExpr("k", "c_name", *[f"{sql} AS {n}" for n, sql in VALUES.items()])
+    return spread(table(spark, d, "customer").selectExpr("cast(c_custkey AS BIGINT) AS k", "c_name"), "k").selectExpr("k", "c_name", *[f"{sql} AS {n}" for n, sql in VALUES.items()])
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +82,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
