@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed, mask
-from veilspark.functions.core import SPAN, matches
+from veilspark.functions.core import SPAN, matches, rows_of
 from veilspark.functions.text import clean
 from veilspark.operators import detect, masking, resolve
 from veilspark.plans import config, engines
@@ -99,3 +99,28 @@ def test_registered_pattern(spark):
         row = spark.createDataFrame([("no digits, B-abcd",)], "text string").select(detect.pattern_spans("text").alias("s")).first()
         assert [(s.entity_type, s.value) for s in row.s] == [("BADGE", "B-abcd")] and len(detect.catalog()) == before + 1
     assert len(detect.catalog()) == before and "BADGE" not in detect.fixed.CONTEXT_WORDS
+
+
+def test_quicker_patterns_match_the_same(spark):
+    """Each pattern as it is searched for, against the catalog's own form, over texts dense in values and near misses, signs of \x01 included."""
+    dice = random.Random(3)
+    parts = ["2345 6789 0123", "2345-6789-0123", "2345.6789.0123", "2345/6789/0123", "234567890123", "ABCDE1234F", "+91 9876543210", "09876543210", "98765 43210", "9876-543210", "987 6543210", "user.x@oksbi", "SBIN0123456", "A1234567", "1111 2222 3333 4444", "1111-2222-3333-4444", "4111 1111 1111 1111", "5211111111111111", "6011-1111-1111-1111", "37121111 1111 1111", "123", "1234", "fp_hash_abcd1234", "face_tmp_abcd1234", "0123456789abcdef" * 2, "android-0123abcd", "ios-0123abcd", "01234567-89ab-1cde-8f01-23456789abcd", "a.b@c-d.org", "10.0.255.3", "é", "x", "_", " ", "\n", "-", ".", "/", "@", "\x01", "7", "Z"]
+    texts = ["".join(dice.choice(parts) + dice.choice(["", "", " ", "x", "_"]) for _ in range(dice.randrange(25))) for _ in range(600)]
+    assert all(any(re.search(p[3], t) for t in texts) for p in fixed.PATTERNS)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    own = F.array(*[F.struct(F.lit(p[0]).alias("kind"), F.regexp_extract_all("text", F.lit(p[3]), F.lit(0)).alias("found")) for p in fixed.PATTERNS])
+    want = F.flatten(F.transform(own, lambda x: F.transform(x["found"], lambda v: F.concat_ws(":", x["kind"], v))))
+    got = F.transform(detect.pattern_spans("text"), lambda s: F.concat_ws(":", s["entity_type"], s["value"]))
+    whole = F.forall(detect.pattern_spans("text"), lambda s: F.substring("text", s["start"] + 1, s["end"] - s["start"]) == s["value"])
+    assert df.select((got == want).alias("same"), whole.alias("whole")).where("NOT same OR NOT whole").count() == 0
+
+
+def test_spans_as_rows_are_searched_once(spark, small):
+    """No test on the spans stands below the dealing out of rows, where one task would search every text before it is dealt."""
+    from veilspark import queries as own
+
+    for name in ("regex_detect_spans", "anchor_rule", "line_number", "type_summary", "chunk_union"):
+        plan = own.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Filter" in line and "RLIKE" in line for line in plan.split("\n")) == 0, name
+    rows = spark.createDataFrame([(1, [(1, "a"), (2, "b")]), (2, []), (3, None)], "k int, s array<struct<n:int,t:string>>")
+    assert [tuple(r) for r in rows_of(rows, "s", "k").orderBy("n").collect()] == [(1, 1, "a"), (1, 2, "b")]

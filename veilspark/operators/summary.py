@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import col, let
+from veilspark.functions.core import col, let, rows_of
 from veilspark.operators.resolve import tier
 
 
 def long_form(docs: DataFrame, spans: str, *keys: str) -> DataFrame:
     """One row per span, beside the key columns."""
-    return docs.select(*keys, F.inline(spans))
+    return rows_of(docs, spans, *keys)
 
 
 def type_summary(spans: DataFrame, *keys: str) -> DataFrame:
