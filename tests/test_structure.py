@@ -124,3 +124,20 @@ def test_looked_up(spark):
     wanted = spark.createDataFrame([(2,), (2,), (7,), (None,)], "id long")
     assert sorted(map(tuple, catalog.looked_up(files, wanted).select("id", "name", "found").collect())) == [(2, "b", True), (7, None, False)]
     assert catalog.looked_up(files.limit(0), wanted.limit(0)).count() == 0
+
+
+def test_row_numbers_of_a_sorted_table(spark):
+    """Counting reads one column and numbering reads all, so that the partitions of a sorted table are put together differently in each."""
+    from veilspark.operators import chunking
+
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16kb", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1kb", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(4000).selectExpr("id * 7 % 4000 AS k", "concat(sha2(cast(id AS STRING), 512), sha2(cast(-id AS STRING), 512), sha2(cast(id * 3 AS STRING), 512), sha2(cast(id * 5 AS STRING), 512)) AS t").repartition(4).orderBy("k")
+        rows = chunking.with_row_index(df).select("k", "t", "row_idx").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 4000 and all(r.k == r.row_idx for r in rows)
