@@ -141,3 +141,13 @@ def test_row_numbers_of_a_sorted_table(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(rows) == 4000 and all(r.k == r.row_idx for r in rows)
+
+
+def test_chunks_are_searched_once(spark, small):
+    """The plan holds each pattern once for a chunk's spans and masks, and packs a text once for all counts of it."""
+    from veilspark import queries as own
+
+    plan = lambda name: own.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    # A pattern is named by the pass that most texts take and twice by the one for texts that hold its sign.
+    assert plan("chunked_engine").count("@(?:oksbi") == 3
+    assert plan("merge_integrity").count("split(") == 2

@@ -110,7 +110,7 @@ def chunk_spans(chunks: Column, spans_of) -> Column:
             lead, size = F.length(c["before"]), F.length(c["text"])
             place = lambda s: s.withField("start", (s["start"] - lead + end - size).cast("int")).withField("end", (s["end"] - lead + end - size).cast("int"))
             own = lambda s: (s["start"] >= lead) & (s["start"] < lead + size)
-            return F.transform(spans_of(F.concat(c["before"], c["text"], c["after"])), lambda s: F.struct(c["idx"].alias("idx"), own(s).alias("own"), place(s).alias("span")))
+            return F.transform(let(F.concat(c["before"], c["text"], c["after"]), lambda t: spans_of(t)), lambda s: F.struct(c["idx"].alias("idx"), own(s).alias("own"), place(s).alias("span")))
 
         return let(running(F.transform(all_, lambda c: F.length(c["text"]))), lambda ends: F.flatten(F.zip_with(all_, ends, one)))
 

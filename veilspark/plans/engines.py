@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import SPAN, empty
+from veilspark.functions.core import SPAN, empty, let
 from veilspark.functions.text import clean
 from veilspark.operators import chunking, context, detect, masking, resolve, summary
 from veilspark.plans.config import Plan
@@ -71,11 +71,14 @@ def chunked(docs: DataFrame, text: str = "text", n: int = fixed.CHUNKS_SMALL["tx
     parts = docs.withColumn("_chunks", chunking.with_context(chunking.pack_paragraphs(text, n)))
 
     def one(c: Column) -> Column:
-        whole = F.concat(c["before"], c["text"], c["after"])
         lead, size = F.length(c["before"]), F.length(c["text"])
-        found = gated_spans(whole)
-        own = found if count_overlap else F.filter(found, lambda s: (s["start"] >= lead) & (s["start"] < lead + size))
-        return F.struct(masking.replace_values(c["text"], masking.value_map(found, mode)).alias("text"), own.alias("spans"))
+
+        def both(found: Column) -> Column:
+            own = found if count_overlap else F.filter(found, lambda s: (s["start"] >= lead) & (s["start"] < lead + size))
+            return F.struct(masking.replace_values(c["text"], masking.value_map(found, mode)).alias("text"), own.alias("spans"))
+
+        # A chunk is put together and searched once for its spans and its masks.
+        return let(let(F.concat(c["before"], c["text"], c["after"]), lambda t: gated_spans(t)), both)
 
     done = parts.withColumn("_done", F.transform("_chunks", one))
     return done.select(*docs.columns, F.array_join(F.transform("_done", lambda c: c["text"]), "").alias("masked_text"), F.flatten(F.transform("_done", lambda c: c["spans"])).alias("spans"), F.size("_chunks").alias("n_chunks"))
