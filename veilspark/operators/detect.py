@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import SIGN, SPAN, col, empty, found_by, let, lookup, matches, numbered, placed, span, strip
+from veilspark.functions.core import SIGN, SPAN, col, empty, found_by, let, lookup, matches, numbered, placed, running, span, strip
 
 Pattern = tuple[str, str, float, str]
 
@@ -69,23 +69,43 @@ def quick(regex: str) -> str:
     return f"{m[1]}(?<=\\b{m[1]})" + (f"{m[1]}{{{n - 1}}}" if n > 1 else "") + regex[m.end() :]
 
 
-def _matched(text: Column, pattern: Pattern, signed: Column) -> Column:
-    """struct(found, gaps) of one pattern."""
-    if pattern not in fixed.PATTERNS:
-        return found_by(text, pattern[3], signed)
-    own, held = found_by(text, quick(pattern[3]), signed), HELD.get(pattern[1])
+def _turns(text: Column, pattern: Pattern, signed: Column) -> Column:
+    """Gaps and matches of a pattern of the fixed catalog, in turn, with a null behind those of signed texts; what stands second is null or missing where there are none."""
+    regex, held = quick(pattern[3]), HELD.get(pattern[1])
+    once = F.split(F.regexp_replace(text, regex, f"{SIGN}$0{SIGN}"), SIGN, -1)
+    twice = F.flatten(F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda gap, m: F.array(gap, m)))
+    own = F.when(signed, twice).otherwise(once)
     return F.when(F.contains(text, F.lit(held)), own) if held else own
 
 
+def _in_turn(x: Column) -> Column:
+    """(start, end, value, place of the pattern) of each match in x, a struct of turns and place."""
+    turns = x["turns"]
+    one = lambda start, end, value: F.struct(start.alias("start"), end.alias("end"), value.alias("value"), x["place"].alias("place"))
+    every = lambda ends: F.transform(F.sequence(F.lit(1), F.size(ends) - 1, F.lit(2)), lambda i: one(F.get(ends, i - 1), F.get(ends, i), F.get(turns, i)))
+    # Nobody asks where the last gap ends.
+    return let(running(F.transform(F.slice(turns, F.lit(1), F.size(turns) - 1), lambda t: F.length(t))), every)
+
+
 def pattern_spans(text: Column | str, patterns: list[Pattern] | None = None, layer: str = "regex") -> Column:
     """Spans of all patterns in catalog order; ord is the order of detection."""
     t = col(text)
-    each = lambda signed: F.array(*[F.struct(_matched(t, p, signed).alias("own"), F.lit(p[0]).alias("entity"), F.lit(p[2]).alias("score")) for p in patterns or catalog()])
-    # Places are worked out by one expression for all patterns that match, so that a plan holds it once.
-    hit = F.filter(let(F.contains(t, F.lit(SIGN)), each), lambda x: x["own"]["gaps"].isNotNull())
-    spans = lambda x: F.transform(placed(x["own"]["found"], x["own"]["gaps"]), lambda m: span(m["start"], F.lit(0), m["end"], x["entity"], m["value"], x["score"], F.lit(layer)))
-    found = numbered(F.flatten(F.transform(hit, spans)))
-    return found if patterns or _registered else F.when(t.rlike(NEEDED), found).otherwise(empty(SPAN))
+    if patterns or _registered:
+        # Patterns that are not known may match any sign.
+        each = lambda signed: F.array(*[F.struct(found_by(t, quick(p[3]) if p in fixed.PATTERNS else p[3], signed).alias("own"), F.lit(p[0]).alias("entity"), F.lit(p[2]).alias("score")) for p in patterns or catalog()])
+        # Places are worked out by one expression for all patterns that match, so that a plan holds it once.
+        hit = F.filter(let(F.contains(t, F.lit(SIGN)), each), lambda x: x["own"]["gaps"].isNotNull())
+        spans = lambda x: F.transform(placed(x["own"]["found"], x["own"]["gaps"]), lambda m: span(m["start"], F.lit(0), m["end"], x["entity"], m["value"], x["score"], F.lit(layer)))
+        return numbered(F.flatten(F.transform(hit, spans)))
+
+    def spans_of(signed: Column) -> Column:
+        # What a lambda gives is copied, so gaps stay within it, and spans take their form last.
+        each = F.array(*[F.struct(_turns(t, p, signed).alias("turns"), F.lit(i).alias("place")) for i, p in enumerate(fixed.PATTERNS)])
+        return F.flatten(F.transform(F.filter(each, lambda x: F.get(x["turns"], F.lit(1)).isNotNull()), _in_turn))
+
+    of = lambda m, k: F.get(F.array(*[F.lit(p[k]) for p in fixed.PATTERNS]), m["place"])
+    found = F.transform(let(F.contains(t, F.lit(SIGN)), spans_of), lambda m, i: span(m["start"], i, m["end"], of(m, 0), m["value"], of(m, 2), F.lit(layer)))
+    return F.when(t.rlike(NEEDED), found).otherwise(empty(SPAN))
 
 
 def labelled_sources(spans: Column) -> Column:

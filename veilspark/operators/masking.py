@@ -33,14 +33,13 @@ def mask_positions(text: Column | str, spans: Column, mode: str = "redact") -> C
     """struct(masked_text, token_map): spans are replaced from the last to the first, and tokens number from there. Unknown modes redact."""
     t = col(text)
     ordered = F.sort_array(F.transform(spans, lambda s, i: F.struct((-s["start"]).alias("k"), i.alias("i"), s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"))))
-    numbers = _counted(ordered) if mode == "tokenize" else F.transform(ordered, lambda x: F.lit(0))
 
-    def masked(part) -> Column:
+    def masked(part, own: Column) -> Column:
         def piece(x: Column, n: Column) -> Column:
             def of(value: Column) -> Column:
                 return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), _replacement(value, x["entity_type"], n, mode).alias("to"))
 
-            return let(part(x["start"], x["end"] - x["start"]), of)
+            return let(part(x["start"], x["end"] - x["start"]), of) if mode in MODES[1:] else of(F.lit(""))
 
         def put(pieces: Column) -> Column:
             def joined(forward: Column) -> Column:
@@ -55,9 +54,11 @@ def mask_positions(text: Column | str, spans: Column, mode: str = "redact") -> C
             tokens = F.map_from_entries(F.transform(pieces, lambda p: F.struct(p["to"], p["value"]))) if mode == "tokenize" else F.create_map().cast("map<string,string>")
             return F.struct(let(F.reverse(pieces), joined).alias("masked_text"), tokens.alias("token_map"))
 
-        return let(F.zip_with(ordered, numbers, piece), put)
+        pieces = F.zip_with(own, _counted(own), piece) if mode == "tokenize" else F.transform(own, lambda x: piece(x, F.lit(0)))
+        return let(pieces, put)
 
-    return stretches(t, masked)
+    # Spans may be the result of a search: they are worked out once, before all that is made of them.
+    return let(ordered, lambda own: stretches(t, lambda part: masked(part, own)))
 
 
 ENTRY = "struct<value:string,to:string>"

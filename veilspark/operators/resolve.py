@@ -6,14 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.core import SPAN, empty, let, lookup, running, taken
+from veilspark.functions.core import empty, let, lookup, running, taken
 
 
 def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
-def _fold(spans: Column, meets, beats) -> Column:
+#: What a fold looks at: copies of whole spans are dear, and each step makes some.
+KEY = "struct<start:int,place:int,end:int,score:double,kind:string,rank:int>"
+
+
+def _fold(spans: Column, meets, beats, kind=lambda s: F.lit(""), rank=lambda s: F.lit(0)) -> Column:
     """Spans by start; each is compared with the first accepted one that it meets, and takes its place if it beats it.
 
     Spans are parted where one starts behind the ends of all before it: none meets across such a place, so each part is folded on its own.
@@ -27,19 +31,25 @@ def _fold(spans: Column, meets, beats) -> Column:
         return let(F.coalesce(F.array_position(F.transform(acc, lambda a: meets(x, a)), F.lit(True)), F.lit(0)).cast("int"), placed)
 
     def resolved(part: Column) -> Column:
-        accepted = F.aggregate(part, empty(SPAN), step)
+        accepted = F.aggregate(part, empty(KEY), step)
         # By start again; spans of one start stay in the order of acceptance.
-        return F.transform(F.sort_array(F.transform(accepted, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s.alias("s")))), lambda x: x["s"])
+        return F.transform(F.sort_array(F.transform(accepted, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s["place"].alias("place")))), lambda x: x["place"])
+
+    def parted(keys: Column) -> Column:
+        """Places of the spans that stay."""
 
-    def parted(own: Column) -> Column:
         def cut(reach: Column) -> Column:
-            heads = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i)["start"] >= F.get(reach, i - 1)))
-            parts = lambda at: F.transform(at, lambda i, k: taken(own, i, F.coalesce(F.get(at, k + 1), F.size(own)) - i))
-            return F.flatten(F.transform(let(heads, parts), lambda part: F.when(F.size(part) == 1, part).otherwise(resolved(part))))
+            heads = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: (i == 0) | (F.get(keys, i)["start"] >= F.get(reach, i - 1)))
+            parts = lambda at: F.transform(at, lambda i, k: taken(keys, i, F.coalesce(F.get(at, k + 1), F.size(keys)) - i))
+            return F.flatten(F.transform(let(heads, parts), lambda part: F.when(F.size(part) == 1, F.transform(part, lambda s: s["place"])).otherwise(resolved(part))))
+
+        return let(running(F.transform(keys, lambda s: s["end"]), F.greatest), cut)
 
-        return F.when(F.size(own) < 2, own).otherwise(let(running(F.transform(own, lambda s: s["end"]), F.greatest), cut))
+    def stay(own: Column) -> Column:
+        keys = F.transform(own, lambda s, i: F.struct(s["start"].alias("start"), i.cast("int").alias("place"), s["end"].alias("end"), s["score"].alias("score"), kind(s).alias("kind"), rank(s).cast("int").alias("rank")))
+        return F.when(F.size(own) < 2, own).otherwise(F.transform(let(keys, parted), lambda place: F.get(own, place)))
 
-    return let(F.sort_array(spans), parted)
+    return let(F.sort_array(spans), stay)
 
 
 def dedup_any_type(spans: Column) -> Column:
@@ -50,7 +60,8 @@ def dedup_any_type(spans: Column) -> Column:
 def dedup_same_type(spans: Column) -> Column:
     """Overlapping spans of one type: the higher score stays; on a tie the layer decides, then the earlier one."""
     rank = lambda s: lookup(s["layer"], {k: str(v) for k, v in fixed.LAYER_PRIORITY.items()}, F.lit("0")).cast("int")
-    return _fold(spans, lambda x, a: (x["entity_type"] == a["entity_type"]) & _overlaps(x, a), lambda x, a: (x["score"] > a["score"]) | ((x["score"] == a["score"]) & (rank(x) > rank(a))))
+    meets, beats = lambda x, a: (x["kind"] == a["kind"]) & _overlaps(x, a), lambda x, a: (x["score"] > a["score"]) | ((x["score"] == a["score"]) & (x["rank"] > a["rank"]))
+    return _fold(spans, meets, beats, lambda s: s["entity_type"], rank)
 
 
 def tier(score: Column, standalone: Column) -> Column:
