@@ -181,3 +181,28 @@ def test_lines_are_dealt_to_tasks_by_their_number(spark, small, monkeypatch):
     n = spark.read.parquet(f"{small}/lineitem.parquet").count()
     monkeypatch.setattr(own, "TASK_LINES", n // 10, raising=False)
     assert own.queries()["collapse_runs"](spark, small).rdd.getNumPartitions() == -(-n // (n // 10))
+
+
+def test_small_files_are_dealt_out_too(spark, tmp_path, monkeypatch):
+    """Small files are read many to a task: their number alone does not deal rows out to the tasks they need."""
+    from veilspark import queries as own
+
+    monkeypatch.setattr(own, "TASK_ROWS", 40)
+    spark.range(2000).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name").repartition(60).write.parquet(str(tmp_path / "customer.parquet"))
+    read = own.table(spark, str(tmp_path), "customer")
+    assert len(read.inputFiles()) >= 50 > read.rdd.getNumPartitions()
+    dealt = own.records(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == 50 and dealt.count() == dealt.select("doc_id").distinct().count() == 2000
+
+
+def test_zones_are_worked_out_once_for_all_points(spark):
+    """Zones and points that are not columns yet stand once in the plan, whatever is made of them, and answers are those of each pair."""
+    from veilspark.functions.core import inside
+
+    rows = [(k, list(range(0, 40, 3)), [(a, a + k) for a in range(0, k * 5, 5)]) for k in range(1, 25)]
+    df = spark.createDataFrame(rows, "k int, p array<int>, z array<struct<`from`:int,`to`:int>>")
+    got = df.select("*", inside(F.filter("p", lambda p: p != 101), F.filter("z", lambda z: z["to"] != 202)).alias("hit"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" = 101") == 1 and plan.count(" = 202") == 1
+    for row in got.collect():
+        assert row.hit == [any(a <= p <= b for a, b in row.z) for p in row.p]
