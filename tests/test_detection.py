@@ -124,3 +124,19 @@ def test_spans_as_rows_are_searched_once(spark, small):
         assert sum("Filter" in line and "RLIKE" in line for line in plan.split("\n")) == 0, name
     rows = spark.createDataFrame([(1, [(1, "a"), (2, "b")]), (2, []), (3, None)], "k int, s array<struct<n:int,t:string>>")
     assert [tuple(r) for r in rows_of(rows, "s", "k").orderBy("n").collect()] == [(1, 1, "a"), (1, 2, "b")]
+
+
+def test_quick_labels_match_the_same(spark):
+    """Labels as they are searched for, against their plain pattern: letters beyond ASCII that equal one of ASCII where case does not count included."""
+    dice = random.Random(5)
+    parts = [*fixed.LABELS, *map(str.upper, fixed.LABELS), "\u017fpouse", "\u0130P", "\u0131fsc", "\u212aard", "pp no", "e-mai", "k", "\n", "x", "9"]
+    texts = ["".join(dice.choice(parts) + dice.choice([":", " = ", " : ", ": v", " ", ""]) for _ in range(dice.randrange(20))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    same = [F.regexp_extract_all("t", F.lit(detect.QUICK_LABELS), F.lit(k)) == F.regexp_extract_all("t", F.lit(detect.LABEL_PATTERN), F.lit(k)) for k in range(4)]
+    assert df.where(~(same[0] & same[1] & same[2] & same[3])).count() == 0
+    assert df.where(F.regexp_extract("t", detect.QUICK_LABELS, 1).rlike("[\u017f\u0130\u0131]")).count() > 0
+
+
+def test_digits_are_taken_once():
+    """A phone's digits are searched once for its mask, not for each look at them."""
+    assert str(mask.mask_phone(F.col("v"))).count("regexp_replace") == 1 and str(mask.mask_account(F.col("v"))).count("regexp_replace") == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.core import col, strip
+from veilspark.functions.core import col, let, strip
 
 REDACTED = "[REDACTED]"
 
@@ -28,10 +28,11 @@ def mask_email(value: Column) -> Column:
 
 
 def mask_phone(value: Column) -> Column:
-    d = digits(value)
-    n = F.length(d)
-    own = F.when(d.startswith("91") & (n == 12), F.substring(d, 3, 10)).when(d.startswith("0") & (n == 11), F.substring(d, 2, 10)).otherwise(d)
-    return F.concat(F.left(own, F.lit(4)), F.lit("******"))
+    def own(d: Column) -> Column:
+        n = F.length(d)
+        return F.when(d.startswith("91") & (n == 12), F.substring(d, 3, 10)).when(d.startswith("0") & (n == 11), F.substring(d, 2, 10)).otherwise(d)
+
+    return F.concat(F.left(let(digits(value), own), F.lit(4)), F.lit("******"))
 
 
 def mask_card(value: Column) -> Column:
@@ -62,8 +63,7 @@ def mask_date(value: Column) -> Column:
 
 
 def mask_account(value: Column) -> Column:
-    d = digits(value)
-    return F.concat(F.repeat(F.lit("*"), F.greatest(F.length(d) - 4, F.lit(4))), F.right(d, F.lit(4)))
+    return let(digits(value), lambda d: F.concat(F.repeat(F.lit("*"), F.greatest(F.length(d) - 4, F.lit(4))), F.right(d, F.lit(4))))
 
 
 def mask_location(value: Column) -> Column:

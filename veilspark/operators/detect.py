@@ -170,17 +170,32 @@ PAIR = "struct<label:string,value:string,entity_type:string,label_start:int,labe
 LABEL_PATTERN = "(?iu)(" + "|".join(re.escape(x) for x in sorted(fixed.LABELS, key=len, reverse=True)) + r")(\s*[:=]\s*)([^\n]{0,100})"
 
 
+def _quick_labels() -> str:
+    """LABEL_PATTERN with the same matches: labels parted by their first letter, which most places of a text fail at once.
+
+    The letters beyond ASCII are those that equal one of ASCII where case does not count.
+    """
+    own: dict[str, list[str]] = {}
+    for label in sorted(fixed.LABELS, key=len, reverse=True):
+        own.setdefault(label[0], []).append(re.escape(label[1:]))
+    heads = "".join(own) + "".join(own).upper() + "\u0130\u0131\u017f\u212a"
+    return f"(?iu)(?-iu:(?=[{heads}]))(" + "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in own.items()) + ")" + LABEL_PATTERN[LABEL_PATTERN.index(r"(\s*[:=]") :]
+
+
+QUICK_LABELS = _quick_labels()
+
+
 def label_pairs(text: Column | str) -> Column:
     """Array of label, value, type and offsets, for "label: value" and "label = value"."""
     t = col(text)
 
     def pair(m: Column) -> Column:
-        label, sign, raw = (F.regexp_extract(m["value"], LABEL_PATTERN, k) for k in (1, 2, 3))  # a match is short
+        label, sign, raw = (F.regexp_extract(m["value"], QUICK_LABELS, k) for k in (1, 2, 3))  # a match is short
         value = strip(raw)
         start = m["start"] + F.length(label) + F.length(sign)
         return F.struct(F.lower(label).alias("label"), value.alias("value"), lookup(F.lower(label), fixed.LABELS, F.lit(None).cast("string")).alias("entity_type"), m["start"].alias("label_start"), (m["start"] + F.length(label)).alias("label_end"), start.alias("value_start"), (start + F.length(value)).alias("value_end"))
 
-    return F.filter(F.transform(matches(t, LABEL_PATTERN), pair), lambda p: (p["value"] != "") & p["entity_type"].isNotNull())
+    return F.filter(F.transform(matches(t, QUICK_LABELS), pair), lambda p: (p["value"] != "") & p["entity_type"].isNotNull())
 
 
 def column_type(name: str) -> str | None:
