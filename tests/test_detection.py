@@ -140,3 +140,26 @@ def test_quick_labels_match_the_same(spark):
 def test_digits_are_taken_once():
     """A phone's digits are searched once for its mask, not for each look at them."""
     assert str(mask.mask_phone(F.col("v"))).count("regexp_replace") == 1 and str(mask.mask_account(F.col("v"))).count("regexp_replace") == 1
+
+
+def test_patterns_are_searched_at_once(spark):
+    """Most patterns are found by one search: a text is not read again for each of them."""
+    plan = spark.createDataFrame([("x 123",)], "text string").select(detect.pattern_spans("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.lower().count("regexp_replace(") <= 2 * (1 + len(detect.ALONE)) < len(fixed.PATTERNS)
+
+
+def test_group_and_length_tell_the_pattern():
+    assert sorted(detect.ALONE + [detect._PLACES[name] for g in detect.GROUPS for name in g]) == list(range(len(fixed.PATTERNS)))
+    for g in detect.GROUPS:
+        lengths = [n for own in g.values() for n in own]
+        assert len(lengths) == len(set(lengths)) and max(lengths) <= detect.LONGEST
+
+
+def test_overlaps_of_one_pattern_are_left_out(spark):
+    """Rows of values that overlap others of their pattern, short ones and one longer than what is put one behind another, against each pattern's own search."""
+    chains = ["2345 " * 9, "2345-" * 7, "2345." * 5, "2345/" * 6, "98765 " * 5, "4111-" * 9 + "1", "1.2.3.4.5.6.7.8.9.10.11.12", "+919876543210+919876543210", "2345 6789 0123\u03012345 6789 0123", "\u00e92345 6789 0123", "\x012345 6789\x01 2345 6789 2345\x01", "4111 11111111 1111 1111 4111", "2345 " * 3000]
+    df = spark.createDataFrame([(t,) for t in chains], "text string")
+    of = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["start"], m["end"], m["value"])
+    own = F.flatten(F.array(*[F.transform(matches(F.col("text"), p[3]), of(p[0])) for p in fixed.PATTERNS]))
+    got = F.transform(detect.pattern_spans("text"), lambda s: F.struct(s["entity_type"].alias("kind"), s["start"], s["end"], s["value"]))
+    assert df.select((own == got).alias("same"), F.size(got).alias("n")).where("NOT same OR n = 0").count() == 0

@@ -17,13 +17,10 @@ Pattern = tuple[str, str, float, str]
 #: What any pattern's match must hold; texts without it are spared all of them.
 NEEDED = r"[0-9@_]|[a-f]{32}|android-|ios-"
 
-#: What each match of a pattern holds: texts without it are spared the pattern.
-HELD = {
-    "aadhaar_dashed": "-", "aadhaar_dotted": ".", "aadhaar_slashed": "/", "in_phone_plus91": "+91", "upi_vpa": "@", "aadhaar_vid_dashed": "-", "biometric_fp_hash": "fp_hash_", "biometric_face_tmp": "face_tmp_",
-    "device_android": "android-", "device_ios": "ios-", "device_uuid": "-", "std_email": "@", "std_ip": ".",
-}
+#: What each match of a pattern that is searched for by itself holds: texts without it are spared the pattern.
+HELD = {"in_phone_plus91": "+91", "upi_vpa": "@", "biometric_fp_hash": "fp_hash_", "biometric_face_tmp": "face_tmp_", "device_ios": "ios-", "std_email": "@"}
 #: Starts of patterns, and the same with a sign looked at before the word border is worked out, or without steps back that lead nowhere.
-QUICKER = ((r"\b[A-Za-z0-9._%+\-]+@", r"\b[A-Za-z0-9._%+\-]++@"), (r"\b[\w.\-+]+@", r"\b[\w.\-+]++@"), (r"\b(?:4\d{3}|5[1-5]\d{2}|6011|3[47]\d{2})", r"[3-6](?<=\b[3-6])(?:(?<=4)\d{3}|(?<=5)[1-5]\d{2}|(?<=6)011|(?<=3)[47]\d{2})"), (r"\b\d{9,18}", r"\d(?<=\b\d)\d{8,17}"), (r"\b(?:(?:25[0-5]", r"(?=[0-9])\b(?:(?:25[0-5]"))
+QUICKER = ((r"\b[A-Za-z0-9._%+\-]+@", r"\b[\w.%+\-]++@"), (r"(?:\+91[\s\-]?)", r"\+91[\s\-]?"), (r"\b[\w.\-+]+@", r"\b[\w.\-+]++@"), (r"\b(?:4\d{3}|5[1-5]\d{2}|6011|3[47]\d{2})", r"[3-6](?<=\b[3-6])(?:(?<=4)\d{3}|(?<=5)[1-5]\d{2}|(?<=6)011|(?<=3)[47]\d{2})"), (r"\b\d{9,18}", r"\d(?<=\b\d)\d{8,17}"), (r"\b(?:(?:25[0-5]", r"(?=[0-9])\b(?:(?:25[0-5]"))
 #: A word border, then one sign of a class, a digit or a letter that must be there.
 BORDER = re.compile(r"\\b(\[[A-Za-z0-9-]+\]|\\d|[A-Za-z0-9])(?:\{(\d+)\})?(?![?*+{])")
 
@@ -69,22 +66,100 @@ def quick(regex: str) -> str:
     return f"{m[1]}(?<=\\b{m[1]})" + (f"{m[1]}{{{n - 1}}}" if n > 1 else "") + regex[m.end() :]
 
 
-def _turns(text: Column, pattern: Pattern, signed: Column) -> Column:
-    """Gaps and matches of a pattern of the fixed catalog, in turn, with a null behind those of signed texts; what stands second is null or missing where there are none."""
-    regex, held = quick(pattern[3]), HELD.get(pattern[1])
-    once = F.split(F.regexp_replace(text, regex, f"{SIGN}$0{SIGN}"), SIGN, -1)
-    twice = F.flatten(F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda gap, m: F.array(gap, m)))
-    own = F.when(signed, twice).otherwise(once)
-    return F.when(F.contains(text, F.lit(held)), own) if held else own
+#: Patterns that one search finds, with the lengths of their matches. No two of a group match at one place, nor at one length, so group and length tell the pattern.
+GROUPS = (
+    {"cvv_3digit": (3,), "cvv_4digit": (4,), "passport_in": (8,), "in_phone_bare": (10,), "in_phone_0prefix": (11,), "aadhaar_plain": (12,), "aadhaar_vid_plain": (16,), "biometric_hex_hash": (32, 64), "device_uuid": (36,)},
+    {"account_9to18_digits": range(9, 19), "aadhaar_vid_spaced": (19,)},
+    {"pan_standard": (10,), "in_phone_split_5_5": (11,), "aadhaar_spaced": (14,), "aadhaar_vid_dashed": (19,)},
+    {"ifsc_standard": (11,), "aadhaar_dashed": (14,)},
+    {"in_phone_split_4_6": (11,), "aadhaar_dotted": (14,)},
+    {"in_phone_split_3_7": (11,), "aadhaar_slashed": (14,)},
+    {"std_cc": range(16, 20)},
+    {"std_ip": range(7, 16), "device_android": range(16, 66)},
+)
+#: Longer matches are of a pattern without a longest length, and count as so long.
+LONGEST = 65
+_PLACES = {p[1]: i for i, p in enumerate(fixed.PATTERNS)}
+#: Places of the patterns that are searched for one by one: their matches begin at other places than behind a sign, or at many of one word.
+ALONE = [i for name, i in _PLACES.items() if not any(name in g for g in GROUPS)]
+#: Place of the pattern by group and length, written as a text, which plans hold as one value.
+BY_LENGTH = ",".join(str(next((_PLACES[name] for name, lengths in g.items() if n in lengths), -1)) for g in GROUPS for n in range(LONGEST + 1))
+#: A sign, and behind it what matches there, a part for each group. Only its head can fail: a word border, and what the patterns begin with.
+AT_ONCE = r"\W(?=[\dA-Za-f][\dA-Za-fn.][\dA-Za-fd.])(?=\d|[A-Z]{1,5}\d|\p{XDigit}{8}|android-)\b" + "".join("(?=(" + "|".join(fixed.PATTERNS[_PLACES[name]][3].removeprefix(r"\b") for name in g) + ")?)" for g in GROUPS)
+#: A sign that no pattern of the fixed catalog knows, as it knows none for SIGN.
+OTHER = "\x02"
+HIT = "struct<place:int,start:int,end:int,value:string>"
+#: So many matches are put one behind another at most, as each step copies them.
+BLOCK = 256
+
+
+def _hit(place: Column, start: Column, end: Column, value: Column) -> Column:
+    return F.struct(place.cast("int").alias("place"), start.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))
+
+
+def _alone(text: Column) -> Column:
+    """Hits of the patterns in ALONE, a search for each."""
+
+    def turns(pattern: Pattern) -> Column:
+        """Gaps and matches in turn; what stands second is null or missing where there are none."""
+        own, held = F.split(F.regexp_replace(text, quick(pattern[3]), f"{SIGN}$0{SIGN}"), SIGN, -1), HELD.get(pattern[1])
+        return F.when(F.contains(text, F.lit(held)), own) if held else own
+
+    def hits(x: Column) -> Column:
+        every = lambda ends: F.transform(F.sequence(F.lit(1), F.size(ends) - 1, F.lit(2)), lambda i: _hit(x["place"], F.get(ends, i - 1), F.get(ends, i), F.get(x["turns"], i)))
+        # Nobody asks where the last gap ends.
+        return let(running(F.transform(F.slice(x["turns"], F.lit(1), F.size(x["turns"]) - 1), lambda t: F.length(t))), every)
+
+    # What a lambda gives is copied, so gaps stay within it, and spans take their form last.
+    each = F.array(*[F.struct(turns(fixed.PATTERNS[i]).alias("turns"), F.lit(i).alias("place")) for i in ALONE])
+    return F.flatten(F.transform(F.filter(each, lambda x: F.get(x["turns"], F.lit(1)).isNotNull()), hits))
+
+
+def _together(text: Column) -> Column:
+    """Hits of the patterns in GROUPS, among them those that overlap another of their pattern."""
+    n = len(GROUPS) + 1
+    # A gap, a part for each group, the next gap and so on. Matches stand in the gaps as well, so these make up the text, behind a sign for its start.
+    marked = F.split(F.regexp_replace(F.concat(F.lit("\n"), text), AT_ONCE, f"$0{SIGN}" + "".join(f"${k}{SIGN}" for k in range(1, n))), SIGN, -1)
+    place = lambda j, m: F.get(F.split(F.lit(BY_LENGTH), ",").cast("array<int>"), (j % n - 1) * (LONGEST + 1) + F.least(F.length(m), F.lit(LONGEST)))
+    hit = lambda j, start, m: _hit(place(j, m), start, start + F.length(m), m)
+
+    def hits(parts: Column) -> Column:
+        gaps = F.transform(F.sequence(F.lit(0), F.size(parts) - 2, F.lit(n)), lambda j: F.length(F.get(parts, j)))
+        full = F.array_compact(F.transform(parts, lambda m, j: F.when((m != "") & (j % n != 0), j)))
+        every = lambda starts: F.transform(full, lambda j: hit(j, F.get(starts, F.floor(j / n).cast("int")), F.get(parts, j)))
+        return F.when(F.size(parts) == 1, empty(HIT)).otherwise(let(running(gaps, zero=-1), every))
+
+    return let(marked, hits)
+
+
+def _leftmost(found: Column) -> Column:
+    """Hits by place and start without those that overlap one of their pattern that stays, as a search from the left would find them.
+
+    Of one pattern, what starts later ends later too, so an overlap is one with the hit before.
+    """
+    meets = lambda a, x: (a["place"] == x["place"]) & (a["end"] > x["start"])
+
+    def put(acc: Column, x: Column) -> Column:
+        more = lambda done, own: F.struct(done.alias("done"), own.alias("own"), x.alias("last"))
+        turned = more(F.concat(acc["done"], F.array(acc["own"])), F.array(x))
+        return F.when(meets(acc["last"], x), acc).when(F.size(acc["own"]) < BLOCK, more(acc["done"], F.concat(acc["own"], F.array(x)))).otherwise(turned)
+
+    start = F.struct(empty(f"array<{HIT}>").alias("done"), empty(HIT).alias("own"), F.lit(None).cast(HIT).alias("last"))
+    walked = lambda own: F.aggregate(own, start, put, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["own"]))))
 
+    def judged(own: Column) -> Column:
+        over = F.transform(own, lambda x, i: F.coalesce(meets(F.get(own, i - 1), x), F.lit(False)))
+        # Where no two in succession overlap what stands before them, the former stays and the latter goes.
+        twice = lambda found: F.array_contains(F.transform(found, lambda x, i: x & F.coalesce(F.get(found, i - 1), F.lit(False))), True)
+        return let(over, lambda found: F.when(~F.array_contains(found, True), own).when(twice(found), walked(own)).otherwise(F.filter(own, lambda x, i: ~F.get(found, i))))
 
-def _in_turn(x: Column) -> Column:
-    """(start, end, value, place of the pattern) of each match in x, a struct of turns and place."""
-    turns = x["turns"]
-    one = lambda start, end, value: F.struct(start.alias("start"), end.alias("end"), value.alias("value"), x["place"].alias("place"))
-    every = lambda ends: F.transform(F.sequence(F.lit(1), F.size(ends) - 1, F.lit(2)), lambda i: one(F.get(ends, i - 1), F.get(ends, i), F.get(turns, i)))
-    # Nobody asks where the last gap ends.
-    return let(running(F.transform(F.slice(turns, F.lit(1), F.size(turns) - 1), lambda t: F.length(t))), every)
+    return let(found, judged)
+
+
+def _hits(text: Column) -> Column:
+    """Leftmost matches of each pattern of the fixed catalog that do not overlap, by place of the pattern and start."""
+    clear = F.when(F.contains(text, F.lit(SIGN)), F.translate(text, SIGN, OTHER)).otherwise(text)
+    return let(clear, lambda t: _leftmost(F.sort_array(F.concat(_together(t), _alone(t)))))
 
 
 def pattern_spans(text: Column | str, patterns: list[Pattern] | None = None, layer: str = "regex") -> Column:
@@ -98,13 +173,8 @@ def pattern_spans(text: Column | str, patterns: list[Pattern] | None = None, lay
         spans = lambda x: F.transform(placed(x["own"]["found"], x["own"]["gaps"]), lambda m: span(m["start"], F.lit(0), m["end"], x["entity"], m["value"], x["score"], F.lit(layer)))
         return numbered(F.flatten(F.transform(hit, spans)))
 
-    def spans_of(signed: Column) -> Column:
-        # What a lambda gives is copied, so gaps stay within it, and spans take their form last.
-        each = F.array(*[F.struct(_turns(t, p, signed).alias("turns"), F.lit(i).alias("place")) for i, p in enumerate(fixed.PATTERNS)])
-        return F.flatten(F.transform(F.filter(each, lambda x: F.get(x["turns"], F.lit(1)).isNotNull()), _in_turn))
-
     of = lambda m, k: F.get(F.array(*[F.lit(p[k]) for p in fixed.PATTERNS]), m["place"])
-    found = F.transform(let(F.contains(t, F.lit(SIGN)), spans_of), lambda m, i: span(m["start"], i, m["end"], of(m, 0), m["value"], of(m, 2), F.lit(layer)))
+    found = F.transform(_hits(t), lambda m, i: span(m["start"], i, m["end"], of(m, 0), m["value"], of(m, 2), F.lit(layer)))
     return F.when(t.rlike(NEEDED), found).otherwise(empty(SPAN))
 
 
