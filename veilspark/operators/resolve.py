@@ -41,7 +41,9 @@ def _fold(spans: Column, meets, beats, kind=lambda s: F.lit(""), rank=lambda s:
         def cut(reach: Column) -> Column:
             heads = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: (i == 0) | (F.get(keys, i)["start"] >= F.get(reach, i - 1)))
             parts = lambda at: F.transform(at, lambda i, k: taken(keys, i, F.coalesce(F.get(at, k + 1), F.size(keys)) - i))
-            return F.flatten(F.transform(let(heads, parts), lambda part: F.when(F.size(part) == 1, F.transform(part, lambda s: s["place"])).otherwise(resolved(part))))
+            # Where the first meets all others and none beats it, it alone stays.
+            alone = lambda part: F.forall(part, lambda s: meets(s, part[0]) & ~beats(s, part[0]))
+            return F.flatten(F.transform(let(heads, parts), lambda part: F.when((F.size(part) == 1) | alone(part), F.array(part[0]["place"])).otherwise(resolved(part))))
 
         return let(running(F.transform(keys, lambda s: s["end"]), F.greatest), cut)
 
