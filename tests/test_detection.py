@@ -173,3 +173,9 @@ def test_parts_with_one_winner_are_not_folded(spark):
         own = [(s.start, s.ord, s.end, s.entity_type, s.score, s.layer) for s in row.s]
         assert [(s.start, s.ord, s.end, s.entity_type, s.score, s.layer) for s in row.a] == fold(own, False)
     assert "forall(" in df.select(resolve.dedup_any_type(F.col("s")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_token_map_needs_no_masked_text(spark):
+    df = spark.createDataFrame([("PAN: ABCDE1234F and PAN ABCDE1234G, a@b.org",), ("none",), (None,)], "text string").withColumn("s", resolve.dedup_any_type(detect.pattern_spans("text")))
+    rows = df.select(masking.mask_positions("text", F.col("s"), "tokenize")["token_map"].alias("want"), masking.token_map("text", F.col("s")).alias("got")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and len(rows[0].got) == 3

@@ -29,18 +29,32 @@ def _replacement(value: Column, entity_type: Column, n: Column, mode: str) -> Co
     return token(entity_type, n) if mode == "tokenize" else F.lit(REDACTED)
 
 
+def _from_last(spans: Column) -> Column:
+    """What masks need of spans, from the last to the first."""
+    return F.sort_array(F.transform(spans, lambda s, i: F.struct((-s["start"]).alias("k"), i.alias("i"), s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"))))
+
+
+def _pieces(own: Column, part, mode: str) -> Column:
+    """Start, end, value and replacement of each span."""
+
+    def piece(x: Column, n: Column) -> Column:
+        def of(value: Column) -> Column:
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), _replacement(value, x["entity_type"], n, mode).alias("to"))
+
+        return let(part(x["start"], x["end"] - x["start"]), of) if mode in MODES[1:] else of(F.lit(""))
+
+    return F.zip_with(own, _counted(own), piece) if mode == "tokenize" else F.transform(own, lambda x: piece(x, F.lit(0)))
+
+
+def _tokens(pieces: Column) -> Column:
+    return F.map_from_entries(F.transform(pieces, lambda p: F.struct(p["to"], p["value"])))
+
+
 def mask_positions(text: Column | str, spans: Column, mode: str = "redact") -> Column:
     """struct(masked_text, token_map): spans are replaced from the last to the first, and tokens number from there. Unknown modes redact."""
     t = col(text)
-    ordered = F.sort_array(F.transform(spans, lambda s, i: F.struct((-s["start"]).alias("k"), i.alias("i"), s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"))))
 
     def masked(part, own: Column) -> Column:
-        def piece(x: Column, n: Column) -> Column:
-            def of(value: Column) -> Column:
-                return F.struct(x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), _replacement(value, x["entity_type"], n, mode).alias("to"))
-
-            return let(part(x["start"], x["end"] - x["start"]), of) if mode in MODES[1:] else of(F.lit(""))
-
         def put(pieces: Column) -> Column:
             def joined(forward: Column) -> Column:
                 last = lambda i: F.coalesce(F.get(forward, i - 1)["end"], F.lit(0))
@@ -51,14 +65,18 @@ def mask_positions(text: Column | str, spans: Column, mode: str = "redact") -> C
                 meets = F.exists(F.transform(forward, lambda p, i: (last(i) > p["start"]) | (p["end"] < p["start"])), lambda x: x)
                 return F.when(F.size(forward) == 0, t).when(meets, across).otherwise(F.concat(F.array_join(parts, ""), rest))
 
-            tokens = F.map_from_entries(F.transform(pieces, lambda p: F.struct(p["to"], p["value"]))) if mode == "tokenize" else F.create_map().cast("map<string,string>")
+            tokens = _tokens(pieces) if mode == "tokenize" else F.create_map().cast("map<string,string>")
             return F.struct(let(F.reverse(pieces), joined).alias("masked_text"), tokens.alias("token_map"))
 
-        pieces = F.zip_with(own, _counted(own), piece) if mode == "tokenize" else F.transform(own, lambda x: piece(x, F.lit(0)))
-        return let(pieces, put)
+        return let(_pieces(own, part, mode), put)
 
     # Spans may be the result of a search: they are worked out once, before all that is made of them.
-    return let(ordered, lambda own: stretches(t, lambda part: masked(part, own)))
+    return let(_from_last(spans), lambda own: stretches(t, lambda part: masked(part, own)))
+
+
+def token_map(text: Column | str, spans: Column) -> Column:
+    """The token_map of `mask_positions`, for those who need no masked text."""
+    return let(_from_last(spans), lambda own: stretches(col(text), lambda part: _tokens(_pieces(own, part, "tokenize"))))
 
 
 ENTRY = "struct<value:string,to:string>"
